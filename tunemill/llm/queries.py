@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunemill.llm import bpe, exact_dedup, secrets
+from tunemill.llm import bpe, exact_dedup, mixing, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_ranks(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(_table(spark, sf_dir, "documents"))["taken"].select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("digest", "text_sha256")
@@ -33,12 +37,44 @@ def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe_chunks": op9_bpe_chunks,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_low_discrepancy_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   cast('0x' || substr(md5('7:' || doc_id), 1, 15) AS bigint) AS point
+            FROM documents),
+        s0 AS (SELECT source, sum(size)::double AS n FROM d GROUP BY source),
+        s1 AS (SELECT source, n, [5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::double AS w,
+                      2 * n AS cap, 1.5 * sum(n) OVER () AS total FROM s0),
+        s2 AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+                      sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM s1),
+        level AS (SELECT max((total - below) / above) AS level FROM s2),
+        s3 AS (SELECT source, n, least(cap, w * level) AS target FROM s1, level),
+        s4 AS (SELECT *, sum(target) OVER (ORDER BY source IS NULL, source ROWS UNBOUNDED PRECEDING) AS hi,
+                      greatest(1, least(4096, cast(floor(sum(target) OVER ()) AS bigint) // (4096 * count(*) OVER ()))) AS block,
+                      sum(target) OVER () AS words FROM s3),
+        slots AS (SELECT i, (i % 2147483648) * 1327217885 % 2147483648 / 2147483648.0::double * words AS pos
+                  FROM (SELECT DISTINCT words, block FROM s4), range(cast(ceil(words / block) AS bigint)) r(i)),
+        ranked AS (SELECT source, block, n, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS rank
+                   FROM slots JOIN s4 ON pos >= hi - target AND pos < hi),
+        uses AS (SELECT source, rank % cast(ceil(n / block) AS bigint) AS b, count(*) AS uses FROM ranked
+                 WHERE rank < 2 * cast(ceil(n / block) AS bigint) GROUP BY ALL),
+        placed AS (SELECT doc_id, d.source, size, block,
+                          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY point, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+                   FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+        cut AS (SELECT doc_id, source, block, pos, size, unnest(range(cast(pos // block AS bigint), cast((pos + size - 1) // block + 1 AS bigint))) AS b
+                FROM placed WHERE size > 0),
+        got AS (SELECT doc_id, sum((least(pos + size, (cut.b + 1) * block) - greatest(pos, cut.b * block)) * uses) AS taken
+                FROM cut JOIN uses ON cut.source IS NOT DISTINCT FROM uses.source AND cut.b = uses.b GROUP BY doc_id)
+        SELECT d.doc_id, d.size, cast(s3.n AS bigint) AS source_size, s3.target, cast(coalesce(got.taken, 0) AS bigint) AS taken
+        FROM d JOIN s3 ON d.source IS NOT DISTINCT FROM s3.source LEFT JOIN got ON got.doc_id = d.doc_id
+    """,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
