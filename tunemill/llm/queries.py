@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunemill.llm import bpe, exact_dedup, mixing, secrets
+from tunemill.llm import bpe, exact_dedup, mixing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pu_quality": op7_pu_quality,
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe_chunks": op9_bpe_chunks,
 }
