@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tunemill.llm import bpe, exact_dedup, mixing, quality, secrets
+from tunemill.llm import ann, bpe, exact_dedup, mixing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def tokenizer_ranks(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op3_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))["taken"].select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,6 +45,7 @@ def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hilbert_ann": op1_hilbert_ann,
     "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pu_quality": op7_pu_quality,
