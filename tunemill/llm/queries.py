@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tunemill.llm import ann, bpe, exact_dedup, mixing, quality, secrets
+from tunemill.llm import ann, bpe, exact_dedup, lm, mixing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op3_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))["taken"].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_table(spark, sf_dir, "documents"), lambda doc_id: F.crc32(doc_id) % 7 == 2)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
     return found.withColumnRenamed("digest", "text_sha256")
@@ -47,6 +52,7 @@ def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_ann": op1_hilbert_ann,
     "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
+    "op5_backoff_lm": op5_backoff_lm,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pu_quality": op7_pu_quality,
     "op8_secret_scan": op8_secret_scan,
