@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunemill.llm import ann, bpe, exact_dedup, jaccard, lm, mixing, quality, secrets
+from tunemill.llm import ann, bpe, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op3_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))["taken"].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_bwt_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(_table(spark, sf_dir, "documents"), lambda doc_id: F.crc32(doc_id) % 7 == 2)
 
@@ -56,6 +60,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_ann": op1_hilbert_ann,
     "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
+    "op4_bwt_substrings": op4_bwt_substrings,
     "op5_backoff_lm": op5_backoff_lm,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_pu_quality": op7_pu_quality,
