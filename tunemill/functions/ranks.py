@@ -17,12 +17,12 @@ def global_rank(df: DataFrame, order: list[Column | str], out: str = "rank") ->
     of the partitions before theirs; only one row per partition meets in one task.
     """
     ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *order).sortWithinPartitions(*order)
-    placed = written(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", _ROW_BITS)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    ranked = placed.withColumn("_part", part).join(small(starts), "_part")
-    return ranked.withColumn(out, F.col("_start") + F.col("_at") % (1 << _ROW_BITS)).drop("_part", "_start", "_at")
+    placed = written(ranged.withColumn("_row_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_row_at", _ROW_BITS)
+    before = Window.orderBy("_row_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_row_part")).count().select("_row_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_part_start"))
+    ranked = placed.withColumn("_row_part", part).join(small(starts), "_row_part")
+    return ranked.withColumn(out, F.col("_part_start") + F.col("_row_at") % (1 << _ROW_BITS)).drop("_row_part", "_part_start", "_row_at")
 
 
 def nth_values(df: DataFrame, col: str, **at: float) -> DataFrame:
