@@ -54,6 +54,22 @@ def _block_arrays(texts: list[str | None], order: int) -> tuple[np.ndarray, list
     return n_tokens, out
 
 
+def _short(h: np.ndarray, n_ranges: int, n: int) -> bytes:
+    """Hashes of a range. Tokens keep all bits; longer n-grams, which only weigh the model, 40 bits after the range's."""
+    if n == 1:
+        return h.tobytes()
+    bits = np.uint64(n_ranges.bit_length() - 1)
+    return np.ascontiguousarray(((h << bits) >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _long(packed: bytes, n: int) -> np.ndarray:
+    if n == 1:
+        return np.frombuffer(packed, np.uint64)
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
+
+
 def _packed(a: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
 
@@ -122,14 +138,14 @@ def score_texts(
                 out["range"].append(r)
                 out["block"].append(int(table.column("block")[0].as_py()))
                 out["n"].append(n)
-                out["hashes"].append(h.tobytes())
+                out["hashes"].append(_short(h, n_ranges, n))
                 out["counts"].append(_packed(c))
         return pa.table(out, schema=pa.schema([("range", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     def answer(table: pa.Table) -> pa.Table:
         """Counts over all blocks, in the order of each question."""
         blocks = table.column("block").to_pylist()
-        hashes = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        hashes = [_long(h, n) for h, n in zip(table.column("hashes").to_pylist(), table.column("n").to_pylist(), strict=True)]
         counts = [np.frombuffer(zlib.decompress(c), np.uint32) for c in table.column("counts").to_pylist()]
         sizes = [len(h) for h in hashes]
         _, place = np.unique(np.concatenate(hashes), return_inverse=True)
