@@ -256,6 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         state = state[place] if len(unique) else state
         number, ids = table.column("block")[0].as_py(), table.column("doc_id").to_pylist()
         seen: dict[tuple[int, bytes], int] = {}
+        copies: list[list[int]] = []  # by document and start, neighbours joined
         out: dict[str, list] = {c: [] for c in sent.names}
 
         def put(hash_: int | None, o: int, lo: int, hi: int, part: bytes | None) -> None:
@@ -270,10 +271,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 part = data[s:e]
                 key = int(signed[i]) if state[i] == 1 else xxhash.xxh3_64_intdigest(part) - (1 << 63)
                 if (key, part) in seen:
-                    put(None, o, s, e, None)
+                    if copies and copies[-1][0] == o and s <= copies[-1][2]:
+                        copies[-1][2] = max(copies[-1][2], e)
+                    else:
+                        copies.append([o, s, e])
                 else:
                     seen[key, part] = 1
                     put(key, o, s, e, part)
+        for o, s, e in copies:
+            put(None, o, s, e, None)
         return pa.table(out, schema=sent)
 
     sent = pa.schema([("hash", pa.int64()), ("block", pa.int32()), ("row", pa.int32()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary())])
@@ -353,7 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = rows.groupBy("block").applyInArrow(ask, "range int, block int, hashes binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(answer, "block int, range int, state binary")
     found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "hash long, block int, row int, doc long, lo int, hi int, part binary")
-    bucket = F.pmod(F.coalesce(F.xxhash64("hash"), F.xxhash64("block", "row")), F.lit(1 << range_bits))
+    bucket = F.pmod(F.when(F.col("hash").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("block", "row")), F.lit(1 << range_bits))
     flags = found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(expand, "block int, row int, lo int, hi int")
     out = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out
