@@ -12,7 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 #: A chunk has about this many bytes; a power of two.
 CHUNK = 256
 #: Chunks and joins that a task keeps; then it starts anew, which costs time but no exactness.
-KEEP = 200_000
+KEEP = 60_000
 END_TEXT, END_ID = "<|endoftext|>", 50256
 
 _SYNC = re.compile(rb"[A-Za-z0-9](?= [A-Za-z])")
@@ -59,22 +60,22 @@ class ChunkEncoder:
             self.bytes_of[i] = b
         self.bytes_of[END_ID] = END_TEXT.encode()
         self.chunk, self.keep = chunk, keep
-        self.inner: dict[bytes, tuple[int, int, list[int]]] = {}
-        self.joins: dict[bytes, list[int]] = {}
+        self.inner: dict[bytes, tuple[int, int, array]] = {}
+        self.joins: dict[bytes, array] = {}
         self.reused = self.made = 0
 
-    def _join(self, data: bytes) -> list[int]:
+    def _join(self, data: bytes) -> array:
         ids = self.joins.get(data)
         if ids is None:
             if len(self.joins) >= self.keep:
                 self.joins.clear()
-            ids = self._encode(data.decode())
+            ids = array("I", self._encode(data.decode()))
             if len(data) <= 4 * self.chunk:
                 self.joins[data] = ids
         return ids
 
-    def _inner(self, data: bytes) -> tuple[int, int, list[int]]:
-        """First and last safe position, and the ids between them; (-1, -1, []) if there is none."""
+    def _inner(self, data: bytes) -> tuple[int, int, array]:
+        """First and last safe position, and the ids between them; (-1, -1, none) if there is none."""
         found = self.inner.get(data)
         if found is not None:
             self.reused += 1
@@ -82,7 +83,7 @@ class ChunkEncoder:
         self.made += 1
         first = _SYNC.search(data)
         if first is None:
-            found = (-1, -1, [])
+            found = (-1, -1, array("I"))
         else:
             lo = first.end()
             tail = len(data)
@@ -97,14 +98,14 @@ class ChunkEncoder:
                     hi = last.end()
                     break
                 step *= 4
-            found = (lo, hi, self._encode(data[lo:hi].decode()) if hi > lo else [])
+            found = (lo, hi, array("I", self._encode(data[lo:hi].decode()) if hi > lo else []))
         if len(self.inner) >= self.keep:
             self.inner.clear()
         self.inner[data] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
+    def encode(self, text: str) -> array:
+        ids = array("I")
         parts = text.split(END_TEXT) if END_TEXT in text else [text]
         for k, part in enumerate(parts):
             if k:
@@ -123,7 +124,7 @@ class ChunkEncoder:
                 ids += self._join(data[join_from:])
         return ids
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode(errors="replace")
 
 
@@ -142,7 +143,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                 n, all_ids, ids_sha, text_sha = [], [], [], []
                 for text in part.column(1).to_pylist():
                     ids = coder.encode(text or "")
-                    packed = np.array(ids, dtype="<u4")
+                    packed = np.frombuffer(ids, np.uint32).astype("<u4")
                     n.append(len(ids))
                     all_ids.append(packed.astype(np.int32) if with_ids else None)
                     ids_sha.append(hashlib.sha256(packed.tobytes()).hexdigest())

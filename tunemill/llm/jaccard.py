@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ PERCENT, N = 80, 5
 #: Documents of a tile, pivots of a block of more, and documents of a bucket of small blocks.
 TILE, PIVOTS, BUCKET = 1024, 32, 1024
 #: Text that a task turns into shingles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shingle_sets(texts: list[str | None], words: Words, n: int = N) -> list[np.ndarray]:
@@ -52,7 +53,7 @@ def shingle_sets(texts: list[str | None], words: Words, n: int = N) -> list[np.n
 
 def _slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size = np.cumsum(np.frombuffer(np.array([len(t) if t else 0 for t in batch.column(text_at).to_pylist()], np.int64), np.int64) + 64)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
         lo = 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
@@ -241,7 +242,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = sets.select("node", "n", "d1", "d2", "doc_id").join(found, "node")
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = named.join(least_id, "component").groupBy("n", "d1", "d2").agg(F.min("component_id").alias("linked_id"))
-    ids = classes.select("n", "d1", "d2", "class_id").join(joined, ["n", "d1", "d2"], "left")
+    # written, so that the last join has two plain sides and Spark can split the rows of a large class
+    ids = written(classes.select("n", "d1", "d2", "class_id").join(joined, ["n", "d1", "d2"], "left"), "near-classes")
     out = rows.join(ids, ["n", "d1", "d2"], "left")
     empty = F.col("n") == 0
     return out.select(

@@ -12,7 +12,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class Words(dict):
     """64-bit hashes of words; starts anew when it holds too many, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
