@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunemill.llm import ann, bpe, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings
+from tunemill.llm import ann, bpe, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings, surrogates
+
+
+#: The registered query's key; a user passes a secret one to replace_private.
+SURROGATE_KEY = "registered-query"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +28,10 @@ def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(_table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op3_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, sf_dir, "documents"))["taken"].select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,6 +67,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_ann": op1_hilbert_ann,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
     "op4_bwt_substrings": op4_bwt_substrings,
     "op5_backoff_lm": op5_backoff_lm,
