@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunemill.llm.names import fresh
 from tunemill.session import small, written
 
 #: At most 62, since the salts that hold a text are kept as bits of a long.
@@ -65,10 +66,11 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with one row of each group of equal texts, the one with the largest id; all columns stay as they are."""
     kind = docs.schema[id_col].dataType.simpleString()
     groups = written(exact_groups(docs, id_col, text_col, salts), "exact-groups")
-    dropped = small(written(groups.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_dropped")), "exact-dropped"))
-    marked = docs.withColumn("_digest", sha256_text(F.coalesce(F.col(text_col), F.lit(""))))
-    same = (F.col("_digest") == F.col("_dropped")) & F.col(id_col).cast(kind).eqNullSafe(F.col("_id"))
+    own_digest, gone_digest, gone_id = fresh(docs, "_digest", "_dropped", "_id")
+    dropped = small(written(groups.filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)), "exact-dropped"))
+    marked = docs.withColumn(own_digest, sha256_text(F.coalesce(F.col(text_col), F.lit(""))))
+    same = (F.col(own_digest) == F.col(gone_digest)) & F.col(id_col).cast(kind).eqNullSafe(F.col(gone_id))
     left = marked.join(dropped, same, "left_anti")
     if not groups.filter("kept").groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates([id_col, "_digest"])  # rows that repeat both id and text
+        left = left.dropDuplicates([id_col, own_digest])  # rows that repeat both id and text
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunemill.llm.components import connected_components
+from tunemill.llm.names import fresh
 from tunemill.llm.shingles import Words, grams, mixed, tokens
 from tunemill.session import small, written
 
@@ -292,5 +293,6 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """docs with one document of each component, the one with the smallest id; all columns stay as they are.
 
     Documents without words are kept. Rows that repeat an id stay if the id does; rows without id stay."""
-    groups = near_groups(docs, id_col, text_col, percent, n).filter("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(small(written(groups, "near-dropped")), F.col(f"`{id_col}`") == F.col("_id"), "left_anti")
+    (key,) = fresh(docs, "_id")
+    groups = near_groups(docs, id_col, text_col, percent, n).filter("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(small(written(groups, "near-dropped")), F.col(f"`{id_col}`") == F.col(key), "left_anti")

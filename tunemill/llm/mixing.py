@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunemill.functions.prefix import prefix_sums
+from tunemill.llm.names import fresh
 from tunemill.session import small, written
 
 # What counts as a word, and the weights that sources get in turn.
@@ -109,8 +110,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     taken = mix_plan(docs, id_col, text_col, source_col, **params)["taken"]
     times = F.expr("cast(ceil(taken / size) as int)")
-    wanted = taken.filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.max(times).alias("_times"))
+    key, source, n, turn = fresh(docs, "_id", "_source", "_times", "_turn")
+    wanted = taken.filter("taken > 0").groupBy(F.col("doc_id").alias(key), F.col("source").alias(source)).agg(F.max(times).alias(n))
     wanted = small(written(wanted, "mix-wanted"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("_source"))
-    out = docs.join(wanted, same).withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(key)) & F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(source))
+    out = docs.join(wanted, same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(n))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

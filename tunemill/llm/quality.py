@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunemill.llm.names import fresh
 from tunemill.session import small, written
 
 #: Most trusted positives, and most unlabelled rows, that the fit sees (documented bound; chosen by a hash of the id).
@@ -166,6 +167,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs without those that score below the threshold; columns stay. Of rows with one id, all stay if one does."""
     scored = written(score_quality(docs, labels, id_col, text_col, threshold=threshold), "quality-scores")
-    worst = scored.groupBy("doc_id").agg(F.max("predicted").alias("predicted")).filter("predicted = 0").select(F.col("doc_id").alias("_id"))
+    (key,) = fresh(docs, "_id")
+    worst = scored.groupBy("doc_id").agg(F.max("predicted").alias("predicted")).filter("predicted = 0").select(F.col("doc_id").alias(key))
     gone = small(written(worst, "quality-rejected"))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(key)), "left_anti")
