@@ -35,7 +35,8 @@ def behavior_spikes(spark, sf_dir):
 
 
 def rolling_health(spark, sf_dir):
-    return M.rolling(_series(spark, sf_dir)).select("run", "step", *[F.round(c, 5).alias(c) for c in ("mean", "std", "cv")])
+    # 1e-9 is added since means of two-decimal values can lie half-way between rounded ones, on either side by order of summing
+    return M.rolling(_series(spark, sf_dir)).select("run", "step", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("mean", "std", "cv")])
 
 
 def entropy_trend(spark, sf_dir):
@@ -292,7 +293,7 @@ _SPIKE = """CASE WHEN s.step <= 20 THEN {warm} ELSE CASE WHEN z < 2.0 THEN {ema}
 ORACLE_SQL = {
     "loss_spikes": f"WITH {_H}, {_FIN}, w AS (SELECT run, v, avg(v) OVER p AS m, count(*) OVER p AS c FROM f WINDOW p AS (PARTITION BY run ORDER BY step ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) SELECT run, count(*) FILTER (c = 20 AND m > 0 AND v > 3 * m) AS spikes FROM w GROUP BY run",
     "behavior_spikes": f"WITH {_S}, w AS (SELECT run, step, v, avg(v) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM s) SELECT run, count(*) FILTER (step > 20 AND v > 3 * m) AS spikes FROM w GROUP BY run",
-    "rolling_health": f"WITH {_S}, w AS (SELECT run, step, count(*) OVER p AS n, avg(v) OVER p AS m, stddev_samp(v) OVER p AS d FROM s WINDOW p AS (PARTITION BY run ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT run, step, CASE WHEN n > 1 THEN round(m, 5) END AS mean, CASE WHEN n > 1 THEN round(d, 5) END AS std, CASE WHEN n > 1 THEN round(d / greatest(abs(m), 1e-8), 5) END AS cv FROM w",
+    "rolling_health": f"WITH {_S}, w AS (SELECT run, step, count(*) OVER p AS n, avg(v) OVER p AS m, stddev_samp(v) OVER p AS d FROM s WINDOW p AS (PARTITION BY run ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT run, step, CASE WHEN n > 1 THEN round(m + 1e-9, 5) END AS mean, CASE WHEN n > 1 THEN round(d + 1e-9, 5) END AS std, CASE WHEN n > 1 THEN round(d / greatest(abs(m), 1e-8) + 1e-9, 5) END AS cv FROM w",
     "entropy_trend": f"""WITH {_S}, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS b FROM s), c AS (SELECT run, count(*) AS n, avg(v) AS m, least(count(*), 20) AS q FROM k WHERE b <= 100 GROUP BY run),
         t AS (SELECT c.run, c.n, c.m, avg(v) FILTER (b > q - q // 2) AS a, avg(v) FILTER (b <= q - q // 2) AS z FROM k JOIN c ON c.run = k.run WHERE b <= q GROUP BY ALL)
         SELECT run, n, round((z - a) / greatest(abs(a), 1e-8), 6) AS trend, m < 10 AS collapsed FROM t WHERE n >= 10""",
