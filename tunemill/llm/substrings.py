@@ -29,7 +29,7 @@ from tunemill.llm.shingles import mixed
 
 LENGTH, GRAM = 100, 32
 #: Text of a block, text to a hash range of minimizers, and bytes that one transform takes (more only for one minimizer).
-BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 4 << 20, 16 << 20, 1 << 19
+BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 2 << 20, 16 << 20, 1 << 19
 #: Segments of one minimizer from which each of its windows goes by its own hash instead.
 HOT = 16384
 _BASE = 0x100000001B3
@@ -359,7 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = rows.groupBy("block").applyInArrow(ask, "range int, block int, hashes binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(answer, "block int, range int, state binary")
     found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "hash long, block int, row int, doc long, lo int, hi int, part binary")
-    bucket = F.pmod(F.when(F.col("hash").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("block", "row")), F.lit(4 << range_bits))
+    bucket = F.pmod(F.when(F.col("hash").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("block", "row")), F.lit(8 << range_bits))
     flags = found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(expand, "block int, row int, lo int, hi int")
     out = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out
