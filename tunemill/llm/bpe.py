@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunemill.llm.workers import releasing
+
 #: A chunk has about this many bytes; a power of two.
 CHUNK = 256
 #: Chunks and joins that a task keeps; then it starts anew, which costs time but no exactness.
@@ -153,4 +155,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(releasing(run), f"doc_id {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tunemill.llm.components import connected_components
 from tunemill.llm.names import fresh
 from tunemill.llm.shingles import Words, grams, mixed, tokens
+from tunemill.llm.workers import releasing
 from tunemill.session import small, written
 
 PERCENT, N = 80, 5
@@ -171,7 +172,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 none = [pa.nulls(1, part.schema.field(0).type), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())]
                 yield pa.RecordBatch.from_arrays([*none, pa.ListArray.from_arrays(pa.array([0, len(marks)], pa.int32()), pa.array(marks))], names=names)
 
-    heads = written(texts.mapInArrow(first_bound, f"doc_id {kind}, n int, d1 long, d2 long, known int, rest array<long>"), "near-heads")
+    heads = written(texts.mapInArrow(releasing(first_bound), f"doc_id {kind}, n int, d1 long, d2 long, known int, rest array<long>"), "near-heads")
     rows = heads.filter("n is not null").select("doc_id", "n", "d1", "d2")
     # k must hold for the smallest partner too; equal sets make their class pass
     in_two = heads.select("d1", F.explode("rest").alias("gram")).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("gram")))
@@ -189,7 +190,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array([len(s) for s in sets], pa.int32()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n", "d1", "d2", "grams"])
 
-    sets = texts.join(passed, "doc_id", "left_semi").mapInArrow(whole_sets, f"doc_id {kind}, n int, d1 long, d2 long, grams array<long>")
+    sets = texts.join(passed, "doc_id", "left_semi").mapInArrow(releasing(whole_sets), f"doc_id {kind}, n int, d1 long, d2 long, grams array<long>")
     sets = written(sets.filter("n > 0").withColumn("node", F.monotonically_increasing_id()), "near-sets")
     n_sets = sets.count()
 

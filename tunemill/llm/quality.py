@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunemill.llm.names import fresh
+from tunemill.llm.workers import releasing
 from tunemill.session import small, written
 
 #: Most trusted positives, and most unlabelled rows, that the fit sees (documented bound; chosen by a hash of the id).
@@ -78,7 +79,7 @@ def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["doc_id", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<float>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(releasing(run), f"doc_id {kind}, x array<float>")
 
 
 @dataclass
@@ -160,7 +161,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
 
     kind = table.schema["doc_id"].dataType.simpleString()
-    scored = table.mapInArrow(run, f"doc_id {kind}, score double")
+    scored = table.mapInArrow(releasing(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
