@@ -118,6 +118,24 @@ def test_tour_is_a_permutation_and_repeats(spark):
     assert ordering.tour(np.zeros((0, 4)), 0, 1, 0) == []
 
 
+def test_band_neighbours_see_all_chunks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(round(x, 1)) for x in rng.standard_normal(4)]) for i in rng.permutation(45).tolist()]
+    rows += [(100 + i, v) for i, v in rows[:5]]  # ties of different chunks
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    want = {}
+    for i, u in unit.items():
+        s = {j: round(float(u @ v), 9) for j, v in unit.items() if j != i}
+        want[i] = (sum(0.3 <= x <= 0.5 for x in s.values()), min(s, key=lambda j: (-s[j], j)), max(s.values()))
+    for chunk in (7, 50, 1000):
+        got = {r.vec_id: (r.in_band, r.nearest, r.similarity) for r in ordering.band_neighbours(df, 0.3, 0.5, chunk=chunk).collect()}
+        assert got.keys() == want.keys()
+        for i in want:
+            assert got[i][:2] == want[i][:2] and math.isclose(got[i][2], want[i][2], abs_tol=1e-8)
+    assert ordering.band_neighbours(df.limit(0), 0.3, 0.5).count() == 0 == ordering.band_neighbours(df.limit(1), 0.3, 0.5).count()
+
+
 def test_losses(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 2) for _ in range(12)], rng.randrange(12)) for i in range(20)]

@@ -1,4 +1,4 @@
-"""Ordering by similarity within bounded chunks."""
+"""Ordering by similarity within bounded chunks, and neighbours over the whole table."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tunemill.functions.ranks import global_rank, seeded
 
-#: Vectors that one tour or one similarity matrix sees.
+#: Vectors that one tour sees, or either side of one similarity matrix.
 CHUNK = 10_000
 
 
@@ -25,23 +25,49 @@ def chunked(vectors: DataFrame, id_col: str = "vec_id", chunk: int = CHUNK, seed
 
 
 def band_neighbours(vectors: DataFrame, low: float, high: float, id_col: str = "vec_id", vec_col: str = "embedding", chunk: int = CHUNK) -> DataFrame:
-    """Per vector of a chunk: how many others lie in the similarity band, and the nearest one (ties to the smaller id)."""
+    """Per vector: how many of all others lie in the similarity band, and the nearest one (ties to the smaller id).
+
+    Each two chunks meet once, in a task of their own, and count for the vectors of both; `chunk` bounds a
+    task's matrix and changes no result. A vector without any other gives no row. Ids do not repeat.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        u, ids = _unit(pdf, vec_col), pdf[id_col].to_numpy()
-        count, near, best = [], [], []
+        same = pdf["chunk"].nunique() == 1 and pdf["_left"].iloc[0] == pdf["_right"].iloc[0]
+        sides = [pdf[pdf["chunk"] == pdf["_left"]], pdf[pdf["chunk"] == pdf["_right"]]]
+        if sides[0].empty or sides[1].empty:
+            return pd.DataFrame({id_col: [], "in_band": [], "nearest": [], "similarity": []})
+        (u, ids), (v, others) = ((_unit(x, vec_col), x[id_col].to_numpy()) for x in sides)
+        count, best, near = [], [], []
+        back = [np.zeros(len(v), np.int64), np.full(len(v), -np.inf), np.zeros(len(v), np.int64)]
         for lo in range(0, len(u), 512):
-            s = np.round(u[lo : lo + 512] @ u.T, 9)
-            s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-            count += ((s >= low) & (s <= high)).sum(1).tolist()
+            s = np.round(u[lo : lo + 512] @ v.T, 9)
+            if same:
+                s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
+            inside = (s >= low) & (s <= high)
             at = s.argmax(1)
-            near += ids[at].tolist()
-            best += s[np.arange(len(s)), at].tolist()
-        return pd.DataFrame({id_col: ids, "in_band": count, "nearest": near, "similarity": best})
+            count.append(inside.sum(1))
+            best.append(s[np.arange(len(s)), at])
+            near.append(others[at])
+            if not same:
+                at = s.argmax(0)
+                most = s[at, np.arange(len(v))]
+                closer = most > back[1]
+                back[0] += inside.sum(0)
+                back[1][closer], back[2][closer] = most[closer], ids[lo + at[closer]]
+        found = [pd.DataFrame({id_col: ids, "in_band": np.concatenate(count), "nearest": np.concatenate(near), "similarity": np.concatenate(best)})]
+        if not same:
+            found.append(pd.DataFrame({id_col: others, "in_band": back[0], "nearest": back[2], "similarity": back[1]}))
+        out = pd.concat(found)
+        return out[out["similarity"] > -np.inf]
 
     rows = chunked(vectors.select(id_col, vec_col), id_col, chunk)
-    return rows.groupBy("chunk").applyInPandas(run, f"{id_col} bigint, in_band bigint, nearest bigint, similarity double")
+    last = rows.agg(F.max("chunk").alias("last")).first().last or 0
+    met = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    met = met.withColumn("_left", F.least("chunk", "_other")).withColumn("_right", F.greatest("chunk", "_other")).drop("_other")
+    found = met.groupBy("_left", "_right").applyInPandas(run, f"{id_col} bigint, in_band bigint, nearest bigint, similarity double")
+    found = found.groupBy(id_col).agg(F.sum("in_band").alias("in_band"), F.min(F.struct((-F.col("similarity")).alias("far"), "nearest")).alias("_best"))
+    return found.select(id_col, "in_band", F.col("_best.nearest").alias("nearest"), (-F.col("_best.far")).alias("similarity"))
 
 
 def tour(unit: np.ndarray, low: float, high: float, seed: int) -> list[int]:
