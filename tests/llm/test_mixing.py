@@ -61,6 +61,19 @@ def test_schedule_is_low_discrepancy(spark):
     assert (words.w <= 5).all() and (words.w == 5).mean() > 0.9
 
 
+def test_small_sources_beside_a_hot_one(spark):
+    small = {f"s{n:04d}": n for n in (1, 3, 50, 90, 300, 700, 2000, 5000)}
+    rows = [(k, "w " * 20_000, "hot", -1) for k in range(500)]
+    for name, n in small.items():
+        sizes = [n // 4, n - n // 4]
+        rows += [(len(rows) + j, "w " * size, name, -1) for j, size in enumerate(sizes)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    taken = {r.source: r for r in mix_plan(df)["taken"].groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert taken.keys() == {"hot", *small}
+    for r in taken.values():
+        assert abs(r.taken - r.target) <= max(0.5, 0.02 * r.target)
+
+
 def test_mixed_repeats_whole_documents(spark):
     df = spark.createDataFrame(rows_of(), SCHEMA)
     out = mixed(df)

@@ -3,7 +3,9 @@
 Slot i of the mix is the golden-ratio point u_i = frac(i * phi); the cumulative target shares map it to a
 source, so every stretch of the schedule holds each source in proportion, with an error of a few slots.
 Each source's documents, in a keyed random order, are cut into blocks of equally many words. The r-th slot
-of a source takes its block r, starting over after the last block; slots and blocks meet in a join.
+of a source takes its block r, starting over after the last block; slots and blocks meet in a join. A source
+whose target holds few blocks of the common size gets smaller ones, a share of the points in proportion to
+its number of slots, and exactly as many slots as its target asks for.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ GOLDEN, UNIT_BITS = 1327217885, 31
 CELLS = 4096
 #: The mean number of slots of a source, from which the block size follows, and the largest block.
 SLOTS_PER_SOURCE, MOST_WORDS = 4096, 4096
+#: A source with fewer slots than this of the common block size gets blocks of its own size, so that it has as many, or one a word.
+FEWEST_SLOTS = 256
 HASH_BITS = 60
 
 
@@ -63,7 +67,7 @@ def mix_plan(
     taken has one row per row of docs: doc_id, source, size, source_size, weight, target, taken. A text that
     is null or has no word has size 0 and is never taken. Sources sort by code point, null last, and get the
     weights in turn; null is a source of its own. The targets share `share` of all words and stop at `cap`
-    times a source's words. The last block of a source is short. Rows with equal ids are told apart by size.
+    times a source's words. The last block of a source is short. `block_words` sets one block size for all sources. Rows with equal ids are told apart by size.
     The order within a source is a hash of (seed, id), so reruns agree. An empty table gives empty results.
     """
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
@@ -76,23 +80,38 @@ def mix_plan(
     got = sources.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("words")).first()
     n_rows = rows.count()
     block = block_words or max(1, min(MOST_WORDS, int(got.words) // (SLOTS_PER_SOURCE * max(1, got.n))))
-    n_slots = -int(-got.words // block)
-    spread = sources.filter("target > 0").select(
-        "key", "lo", "hi", F.expr(f"cast(ceil(source_size / {block}) as long)").alias("n_blocks"),
-        F.explode(F.expr(f"sequence(cast(floor(lo / {got.words or 1.0!r}D * {CELLS}) as int), least({CELLS - 1}, cast(floor(hi / {got.words or 1.0!r}D * {CELLS}) as int)))")).alias("cell"),
+    own = F.lit(block) if block_words else F.expr(f"cast(greatest(1, least({block}, floor(target / {FEWEST_SLOTS}))) as long)")
+    order = Window.orderBy(F.col("source").isNull(), "source")
+    sized = sources.filter("target > 0").withColumn("block_words", own).withColumn("points", F.expr(f"target * ({block}D / block_words)"))
+    sized = sized.withColumn("to", F.sum("points").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("to") - F.col("points"))
+    sized = sized.withColumn("n_blocks", F.expr("cast(ceil(source_size / block_words) as long)"))
+    sized = written(sized.withColumn("wanted", F.expr(f"if(block_words < {block}, cast(round(target / block_words) as long), null)")), "mix-sized")
+    width = sized.agg(F.coalesce(F.sum("points"), F.lit(0.0)).alias("points")).first().points
+    n_slots = -int(-width // block)
+    spread = sized.select(
+        "key", "from", "to", "n_blocks", "wanted",
+        F.explode(F.expr(f"sequence(cast(floor(from / {width or 1.0!r}D * {CELLS}) as int), least({CELLS - 1}, cast(floor(to / {width or 1.0!r}D * {CELLS}) as int)))")).alias("cell"),
     )
     slots = docs.sparkSession.range(n_slots).withColumnRenamed("id", "slot")
     slots = slots.withColumn("u", F.expr(f"((slot % {1 << UNIT_BITS}L) * {GOLDEN}L) % {1 << UNIT_BITS}L / {float(1 << UNIT_BITS)!r}D"))
-    slots = slots.withColumn("cell", F.expr(f"cast(floor(u * {CELLS}) as int)")).withColumn("at", F.col("u") * F.lit(got.words))
-    slots = slots.join(small(written(spread, "mix-cells")), "cell").filter("at >= lo AND at < hi").select("slot", "key", "n_blocks", F.lit(1).cast("long").alias("one"))
+    slots = slots.withColumn("cell", F.expr(f"cast(floor(u * {CELLS}) as int)")).withColumn("at", F.col("u") * F.lit(width))
+    slots = slots.join(small(written(spread, "mix-cells")), "cell").filter("at >= from AND at < to").select("slot", "key", "n_blocks", "wanted", F.lit(1).cast("long").alias("one"))
     slots = written(slots, "mix-slots")
-    schedule = prefix_sums(slots, ["key"], "slot", max(1, n_slots.bit_length()), n_slots // 256, [], "one", "rank")
-    schedule = schedule.withColumn("pass", F.expr("rank div n_blocks")).withColumn("block", F.expr("rank % n_blocks")).filter(F.col("pass") < F.lit(int(cap)))
+    ranked = prefix_sums(slots, ["key"], "slot", max(1, n_slots.bit_length()), n_slots // 256, [], "one", "rank").filter("wanted is null OR rank < wanted")
+    # The points give a source of small blocks a slot or two more or less than it wants: what is missing follows at the end.
+    met = slots.groupBy("key").agg(F.count(F.lit(1)).alias("met"))
+    late = sized.filter("wanted is not null").join(met, "key", "left").withColumn("met", F.coalesce("met", F.lit(0).cast("long"))).filter("met < wanted")
+    late = late.select("key", "n_blocks", F.explode(F.expr("sequence(met, wanted - 1)")).alias("rank"))
+    late = late.withColumn("slot", F.row_number().over(Window.orderBy("rank", "key")) + F.lit(n_slots - 1))
+    columns = ("slot", "key", "n_blocks", "rank")
+    ranked = ranked.select(*columns).unionByName(late.select(*columns))
+    schedule = ranked.withColumn("pass", F.expr("rank div n_blocks")).withColumn("block", F.expr("rank % n_blocks")).filter(F.col("pass") < F.lit(int(cap)))
     uses = schedule.groupBy("key", "block").agg(F.count(F.lit(1)).alias("uses"))
 
     placed = prefix_sums(rows, ["key"], "point", HASH_BITS, n_rows // 64, ["doc_id", "size", "row"], "size", "start")
-    cut = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    blocks = cut.withColumn("words", F.expr(f"least(start + size, (block + 1) * {block}) - greatest(start, block * {block})"))
+    placed = placed.filter("size > 0").join(small(sized.select("key", "block_words")), "key")
+    cut = placed.withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
+    blocks = cut.withColumn("words", F.expr("least(start + size, (block + 1) * block_words) - greatest(start, block * block_words)"))
     got_words = blocks.join(uses, ["key", "block"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     taken = rows.join(got_words, "row", "left").join(small(sources.select("key", "source_size", "weight", "target")), "key")
     return {
