@@ -43,6 +43,19 @@ def test_constants_are_propagated():
     assert spans("export K=Zq7Lx9Wv3Rt5\nAPI_SECRET=${K}\n") == ["Zq7Lx9Wv3Rt5"]
 
 
+def test_long_chains_are_whole():
+    parts = [f"p{i}" for i in range(70)]
+    text = "".join(f'{p} = "{"a" if i < 64 else "Zq7Lx9Wv3Rt5"}"\n' for i, p in enumerate(parts))
+    want = ["a"] * 64 + ["Zq7Lx9Wv3Rt5"] * 6
+    assert spans(text + "password = " + " + ".join(parts)) == want
+    assert spans("password = " + " + ".join(f'"{w}"' for w in want)) == want
+    chain = 'c0 = "Zq7Lx9Wv3Rt5"\n' + "".join(f'c{i} = c{i - 1} + "k{i}"\n' for i in range(1, 3000))
+    assert len(spans(chain + "api_secret = c2999")) == 3000
+    doubled = 'd0 = "Zq7L"\nd1 = "x9"\n' + "".join(f"d{i} = d{i - 1} + d{i - 1} + d{i - 2}\n" for i in range(2, 2500))
+    assert spans(doubled + "db_password = d2499") == ["Zq7L", "x9"]
+    assert secrets.literal_score("ab1 ab1 ab") == 0.0 == secrets.literal_score("aB3")
+
+
 def test_rows(spark):
     rows = [(k if k else None, t) for k, t in enumerate(TEXTS)] + [(3, None)]
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string")

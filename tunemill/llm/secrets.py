@@ -47,12 +47,56 @@ def name_weight(name: str) -> int:
 
 def literal_score(text: str) -> float:
     """0 to 3: long, many different characters, several character classes. Words and short values score low."""
-    if len(text) < 8 or re.search(r"\s", text):
+    return 0.0 if len(text) < 8 else _counted_score(Counter(text))
+
+
+def _counted_score(counts: Counter[str]) -> float:
+    """literal_score of a text with these characters, which may be too long to be written out."""
+    length, chars = sum(counts.values()), "".join(counts)
+    if length < 8 or re.search(r"\s", chars):
         return 0.0
-    counts = Counter(text)
-    entropy = -sum(c / len(text) * math.log2(c / len(text)) for c in counts.values())
-    classes = sum(bool(re.search(p, text)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, len(text) / 16) + min(1.0, entropy / 3.5) + (classes - 1) / 3
+    entropy = -sum(s * math.log2(s) for c in counts.values() if (s := c / length))
+    classes = sum(bool(re.search(p, chars)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(length, 16) / 16 + min(1.0, entropy / 3.5) + (classes - 1) / 3
+
+
+class _Value:
+    """What a name stands for: literals (text, start, end) and, by reference, the values it was built from."""
+
+    __slots__ = ("counts", "parts", "told")
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[str, int, int] | _Value] = []
+        self.counts: Counter[str] | None = None
+        self.told = False
+
+    def score(self) -> float:
+        """Of the whole chain, repeats included; each value counts its characters once."""
+        todo = [self]
+        while todo:
+            top = todo[-1]
+            if top.counts is None and (open_ := [p for p in top.parts if isinstance(p, _Value) and p.counts is None]):
+                todo += open_
+                continue
+            todo.pop()
+            if top.counts is None:
+                if len(top.parts) == 1 and isinstance(top.parts[0], _Value):
+                    top.counts = top.parts[0].counts
+                else:
+                    top.counts = Counter()
+                    for p in top.parts:
+                        top.counts.update(p.counts if isinstance(p, _Value) else p[0])
+        return _counted_score(self.counts)
+
+    def tell(self, found: set[tuple[int, int]]) -> None:
+        """Put the spans of all literals in found; a value that has been told is not walked again."""
+        todo = [self]
+        while todo:
+            top = todo.pop()
+            if not top.told:
+                top.told = True
+                todo += [p for p in top.parts if isinstance(p, _Value)]
+                found |= {(p[1], p[2]) for p in top.parts if not isinstance(p, _Value) and p[2] > p[1]}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -84,24 +128,24 @@ def literal_spans(text: str, limit: float = LIMIT) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through other names, from left to right."""
     if not ("=" in text or ":" in text):
         return []
-    values: dict[str, list[tuple[str, int, int]]] = {}
+    values: dict[str, _Value] = {}
     found: set[tuple[int, int]] = set()
     for name, atoms in pairs(text):
         weight = name_weight(name)
-        here: list[tuple[str, int, int]] = []
+        here = _Value()
         for kind, value, start, end in atoms:
             if kind == "literal":
-                here.append((value, start, end))
+                here.parts.append((value, start, end))
             elif value in values:
-                here += values[value]
+                if values[value].parts:
+                    here.parts.append(values[value])
             elif len(atoms) == 1 and any(c.isdigit() for c in value):
-                here.append((value, start, end))  # an unquoted value of a configuration file
-        here = here[:64]
+                here.parts.append((value, start, end))  # an unquoted value of a configuration file
         values[name] = here
-        if weight and here:
-            whole = literal_score("".join(v for v, _, _ in here))
+        if weight and here.parts:
+            whole = here.score()
             if weight + whole >= limit and whole > 1.5:
-                found |= {(s, e) for v, s, e in here if e > s}
+                here.tell(found)
     return sorted(found)
 
 
@@ -115,7 +159,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Positions are code points, ends exclusive; `spans` has kind:start:end by start, then kind. Null text
     counts as empty: no span, and the digest of the empty string. Ids may be null or repeat; rows are read
     one by one and whole. A literal that a base span covers already is not reported again. An empty table
-    gives an empty result. Names beyond 64 literals in one chain add no further span.
+    gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
