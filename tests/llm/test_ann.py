@@ -48,6 +48,30 @@ def test_recall_with_narrow_windows(spark):
     assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * 5 * len(want)
 
 
+def test_recall_holds_as_rows_outgrow_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "MOST_BLOCK", 64)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(16)]) for i in range(3000)]
+    df = spark.createDataFrame([(i, v, 0.0) for i, v in rows], SCHEMA)
+    want = brute(rows, 5, lambda i: i % 50 == 0)
+    got = ann.nearest(df, lambda c: c % 50 == 0).collect()
+    assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * 5 * len(want)
+
+
+def test_window_is_a_share_of_the_rows():
+    for n in (1, 10_000, 200_000, 3_000_000, 10**9):
+        block, reach = ann.window(n)
+        assert ann.BLOCK <= block <= ann.MOST_BLOCK and (2 * reach + 1) * block >= ann.WINDOW * n
+
+
+def test_ties_at_the_cut_off(spark):
+    rows = [(0, [1.0, 1.0] + [0.0] * 14)] + [(1000 - i, [2.0**i if i % 2 else 0.0, 0.0 if i % 2 else 2.0**i] + [0.0] * 14) for i in range(40)]
+    df = spark.createDataFrame([(i, v, 0.0) for i, v in rows], SCHEMA)
+    got = ann.nearest(df, lambda c: c == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [961, 962, 963, 964, 965]
+
+
 def test_hilbert_neighbours_touch():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = ann.hilbert_keys(cells, 3)

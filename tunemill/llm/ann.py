@@ -2,8 +2,8 @@
 
 Each of several curves projects the normalised vectors on a few random axes, shifts them, and gives each
 vector the Hilbert key of its cell. Spark range-partitions the rows by (curve, key); a row's rank along a
-curve puts it in a block of fixed length. A query is compared with the blocks around its own on every curve;
-the windows of all curves merge, and the best are ranked by the exact cosine.
+curve puts it in a block. A query is compared with the blocks around its own on every curve, a fixed share of
+all rows, since a window of fixed length finds less the more rows there are; the windows of all curves merge, and the best are ranked by the exact cosine.
 
 Equal vectors form one class, found once and searched once, so that a vector that many rows share adds
 neither candidates nor searches; each class carries as many of its smallest ids as an answer can hold.
@@ -11,6 +11,7 @@ neither candidates nor searches; each class carries as many of its smallest ids
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,8 +22,16 @@ from pyspark.sql import functions as F
 from tunemill.session import shuffle_width, small, written
 
 CURVES, AXES, AXIS_BITS = 8, 8, 7
-#: Rows of a curve in a block; a query sees its own block and one on either side.
-BLOCK = 4096
+#: Least and most rows of a curve in a block; a query sees its own block and one or more on either side.
+BLOCK, MOST_BLOCK = 4096, 32768
+#: The share of all rows that a query's blocks on one curve hold at least.
+WINDOW = 0.12
+
+
+def window(n: int) -> tuple[int, int]:
+    """Rows of a block, and blocks on either side of a query's own, for n rows."""
+    block = max(BLOCK, min(MOST_BLOCK, math.ceil(n * WINDOW / 3)))
+    return block, max(1, math.ceil((n * WINDOW / block - 1) / 2))
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -84,7 +93,7 @@ def nearest(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     curves: int = CURVES,
-    block: int = BLOCK,
+    block: int | None = None,
     seed: int = 3,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found by cosine, ties to the smaller id.
@@ -92,8 +101,8 @@ def nearest(
     Queries are the rows for which is_query(id) holds; candidates are all rows but the query's own. Ids are
     long and not null. Vectors that are null, zero, hold a null or non-finite component, or have another length than
     most take no part, nor do rows without id. Rows that repeat an id count as one candidate each. Fewer than
-    k candidates give fewer rows; an empty table gives an empty result. Recall depends on curves x block
-    against the number of rows; the README has figures.
+    k candidates give fewer rows; an empty table gives an empty result. Recall depends on curves x window
+    against the number of rows; the README has figures. The window is a share of the rows, or with `block` 3 blocks of so many.
     """
     spark, keep = vectors.sparkSession, k + 1
     vec = F.col(vec_col)
@@ -109,6 +118,7 @@ def nearest(
     classes = first.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.any_value("vec").alias("vec"))
     classes = classes.join(asked.select("k1", "k2").distinct().withColumn("asked", F.lit(True)), ["k1", "k2"], "left")
     classes = written(classes.select("k1", "k2", F.element_at("ids", 1).alias("class"), "ids", F.coalesce("asked", F.lit(False)).alias("asked"), "vec"), "ann-classes")
+    block, reach = (block, 1) if block else window(classes.count())
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +151,7 @@ def nearest(
     starts = ordered.groupBy("curve", "part").count().select("curve", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
     ranked = ordered.join(small(written(starts, "ann-starts")), ["curve", "part"]).withColumn("block", F.expr(f"(start + at) div {block}"))
     spread = ranked.join(classes.select("class", "vec"), "class")
-    around = F.when(F.col("asked"), F.array(F.struct(F.col("block"), F.lit(False).alias("q")), *(F.struct((F.col("block") + d).alias("block"), F.lit(True).alias("q")) for d in (-1, 0, 1)))).otherwise(
+    around = F.when(F.col("asked"), F.array(F.struct(F.col("block"), F.lit(False).alias("q")), *(F.struct((F.col("block") + d).alias("block"), F.lit(True).alias("q")) for d in range(-reach, reach + 1)))).otherwise(
         F.array(F.struct(F.col("block"), F.lit(False).alias("q")))
     )
     spread = spread.select("curve", "class", "vec", F.explode(around).alias("to")).select("curve", "to.block", "to.q", "class", "vec")
@@ -158,12 +168,15 @@ def nearest(
             for lo in range(0, len(qi), 256):
                 near = _unit(qv[lo : lo + 256]) @ cu.T
                 most = min(keep + 4, len(ci))
-                best = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                asked = np.repeat(np.arange(lo, lo + len(near)), most)
-                best = best.ravel()
-                out["asked"].append(qi[asked])
-                out["class"].append(ci[best])
-                out["score"].append(cosines(qv[asked], cv[best]))
+                least = np.partition(near, len(ci) - most, axis=1)[:, len(ci) - most]
+                at, best = np.nonzero(near >= least[:, None] - 1e-12)
+                score = cosines(qv[lo + at], cv[best])
+                order = np.lexsort((ci[best], -score, at))  # all that are equal at the cut-off meet here, and the smaller ids stay
+                at, best, score = at[order], best[order], score[order]
+                kept = np.arange(len(at)) - np.searchsorted(at, at) < keep
+                out["asked"].append(qi[lo + at[kept]])
+                out["class"].append(ci[best[kept]])
+                out["score"].append(score[kept])
         none = {"asked": np.int64, "class": np.int64, "score": np.float64}
         return pa.table({name: np.concatenate(parts) if parts else np.array([], none[name]) for name, parts in out.items()})
 
