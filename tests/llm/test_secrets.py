@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from tunemill.llm import secrets
 
@@ -66,3 +68,40 @@ def test_rows(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in base).encode()).hexdigest()
         assert set(f"{k}:{s}:{e}" for s, e, k in base) <= set(r.spans.split(","))
     assert secrets.scan_secrets(df.limit(0)).collect() == []
+
+
+def test_quoted_values_are_whole():
+    assert spans('db_password = "Xk9;aQ72!mZp0Lw#rT"; x = 1') == ["Xk9;aQ72!mZp0Lw#rT"]
+    assert spans("token = '''Zq7Lx9\\nWv3Rt5!k'''") == ["Zq7Lx9\\nWv3Rt5!k"]
+    assert spans('secret = """Zq7Lx9Wv3Rt5""" + "k2"\n') == ["Zq7Lx9Wv3Rt5", "k2"]
+    assert spans('secret = "Zq7Lx9" "Wv3Rt5"\n') == ["Zq7Lx9", "Wv3Rt5"]
+    assert spans('secret = """Zq7Lx9Wv3Rt5 without end') == []
+    assert spans("--password=Zq7Lx9Wv3Rt5!") == ["Zq7Lx9Wv3Rt5!"]
+
+
+def test_names_are_followed_forwards_and_in_circles():
+    assert spans('conf.password = late\nlate = "Zq7Lx9Wv3Rt5"\n') == ["Zq7Lx9Wv3Rt5"]
+    assert spans('conf.password = b\nb = c + "Zq7Lx9"\nc = "Wv3Rt5"\n') == ["Zq7Lx9", "Wv3Rt5"]
+    assert spans("conf.password = b\nb = c\nc = b\nc = conf.password\n") == []
+    assert spans('a = "Zq7Lx9Wv3Rt5"\na = "blue"\npassword = a\na = "red"\n') == []
+    assert spans('password = (\n  "Zq7L" +\n  "x9Wv3Rt5"\n)') == ["Zq7L", "x9Wv3Rt5"]
+    assert spans('password = "Zq7L" + \\\n  "x9Wv3Rt5"\n') == ["Zq7L", "x9Wv3Rt5"]
+
+
+def test_long_inputs_take_time_in_proportion(spark):
+    n = 1_000_000
+    texts = [
+        ":\n" + "a" * n, "a" + " " * n + ":", "=" * n, "a=1," * (n // 4), "password " * (n // 9), 'k="' * (n // 3), "k='''k=\"\"\"" * (n // 10), "-" * n + "=x", "password=a+" * (n // 11),
+        "token='" + "\\" * n, "".join(f"password{i} = p{i - 1} + p{i + 1}\n" for i in range(20_000)), "secret_a=" + "a0" * (n // 2), "0123456789abcdef0 token=abcdefghijkl " * (n // 40),
+    ]
+    began = time.time()
+    rows = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert len(rows) == len(texts) and time.time() - began < 60
+
+
+def test_covered_literals_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(200):
+        base = sorted((s, s + rng.randrange(1, 9), "hex") for s in rng.choices(range(60), k=rng.randrange(6)))
+        more = sorted({(s, s + rng.randrange(1, 9)) for s in rng.choices(range(60), k=6)})
+        assert secrets.outside(more, base) == [(s, e) for s, e in more if not any(b[0] <= s and e <= b[1] for b in base)]
