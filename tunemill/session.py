@@ -35,10 +35,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared scratch folder: lineage is cut, and a lost executor loses nothing."""
+def written(df: DataFrame, what: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared scratch folder: lineage is cut, and a lost executor loses nothing.
+
+    With `by`, rows of each value of that column go to a folder of their own."""
     path = f"{scratch_dir(df.sparkSession)}/tunemill-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,10 +48,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Rows of a few words each (at most 100 bytes) that may be sent to every executor: 50 MB.
-BROADCAST_ROWS = 500_000
+#: What may be sent to every executor: so many rows, and so many bytes of them written as JSON.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, a written table of short rows, marked for broadcast if a count shows that it is small; else it is shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, a written table, marked for broadcast if rows and bytes show that it is small; else itself, to be shuffled."""
+    head = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return F.broadcast(df) if head.n <= BROADCAST_ROWS and (head.bytes or 0) <= BROADCAST_BYTES else df
