@@ -1,10 +1,11 @@
+import ipaddress
 import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tunemill.llm import surrogates
+from tunemill.llm import skew, surrogates
 
 TEXTS = [
     "call +1 (743) 555-3824 or 743-555-3824, hosts 10.2.3.4 and 70.23.22.57.",
@@ -90,6 +91,50 @@ def test_table_against_brute_force(spark):
     assert to and all(len(x) == 1 for x in to.values()) and len({*map(min, to.values())}) == len(to)
 
 
+def replaced(spark, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in surrogates.replace_private(docs, "k").orderBy("doc_id").collect()]
+
+
+def test_gender_of_unlisted_names_and_names_by_context(spark):
+    a, b, c, d, e = replaced(spark, "Mrs Zelda Khan and Zelda.", "Mr Tobin Khan", "JOHN SMITH met Rajesh Patel.", "My name is Xiu Obrador.", "Κυρία Παπαδοπούλου 王小明先生 田中さん السيد محمود श्री विजय")
+    m = re.fullmatch(r"Mrs (\w+) (\w+) and (\w+)\.", a)
+    assert m and m[1] == m[3] and m[1].endswith("a") and m[1] != "Zelda" and m[2] != "Khan"
+    n = re.fullmatch(r"Mr (\w+) (\w+)", b)
+    assert n and n[2] == m[2] and n[1][-1] not in "aeiou" and n[1] != "Tobin"
+    g = re.fullmatch(r"([A-Z]+) ([A-Z]+) met (\w+) (\w+)\.", c)
+    assert g and g[1].capitalize() in surrogates.GIVEN["male"].split() and g[3] in surrogates.GIVEN["male"].split() and "SMITH" not in c and "Patel" not in c
+    assert re.fullmatch(r"My name is [A-Z]\w+ [A-Z]\w+\.", d) and "Xiu" not in d and "Obrador" not in d
+    k = re.fullmatch(r"Κυρία ([Α-Ω][α-ω]+) (王\w+)先生 (田\w+)さん السيد (\w+) श्री ([\u0900-\u097f]+)", e)
+    assert k and k[1] != "Παπαδοπούλου" and k[2] != "王小明" and k[3] != "田中" and k[4] != "محمود" and k[5] != "विजय"
+
+
+def test_addresses_keep_range_and_form(spark):
+    (a,) = replaced(spark, "2001:db8::1 2001:DB8:0:0:0:0:0:1 2001:0db8:0000:0000:0000:0000:0000:0001 fe80::1ff:fe23:4567:890a std::ab 12:30:45 172.16.4.2 172.32.4.2 127.0.0.1 192.168.1.1 169.254.9.9")
+    v = a.split()
+    assert re.fullmatch(r"2001:[0-9a-f]{1,4}::[0-9a-f]{1,4}", v[0]) and v[0] != "2001:db8::1"
+    assert len({str(ipaddress.ip_address(x)) for x in v[:3]}) == 1 and v[1] == v[1].upper() and len(v[2]) == 39
+    assert v[3].startswith("fe80::") and v[3] != "fe80::1ff:fe23:4567:890a" and v[4:6] == ["std::ab", "12:30:45"]
+    assert ipaddress.ip_address(v[6]) in ipaddress.ip_network("172.16.0.0/12") and not ipaddress.ip_address(v[7]).is_private
+    assert v[8].startswith("127.") and v[9].startswith("192.168.") and v[10].startswith("169.254.")
+
+
+def test_long_repeats_do_not_fill_the_stack(spark):
+    long = ["Mr " + "-".join(["Ab"] * 20_000), "Anna " + "'".join(["Ab"] * 20_000), "a@" + "b." * 50_000 + "com", "DE12" + " ABCD" * 50_000, "+1" + " 22" * 50_000, "2001" + ":1" * 50_000, "Mr " + " ".join(["Ab"] * 20_000), "1." * 50_000, "王" * 50_000]
+    got = replaced(spark, *long)
+    assert len(got) == len(long) and not got[0].startswith("Mr Ab")
+
+
+def test_hot_entities_and_texts(spark):
+    rows = [(i, "write to a.b@c.org" if i % 2 else f"row {i} a.b@c.org") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = surrogates.replace_private(docs, "k").collect()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(surrogates, "hot_safe_join", lambda a, b, keys, how: skew.hot_safe_join(a, b, keys, how, 50))
+        hot = surrogates.replace_private(docs, "k").collect()
+    assert sorted(plain) == sorted(hot) and len(hot) == 400 and len({r.text.split()[-1] for r in hot}) == 1
+
+
 def test_repeated_rows_null_ids_other_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "x@y.org"), (1, "x@y.org"), (None, "x@y.org")], "doc_id long, text string").withColumns({"kind": F.lit(1), "new": F.lit(2), "digest": F.lit(3), "n_email": F.lit(4)})
     rows = surrogates.replace_private(docs, "k").collect()
