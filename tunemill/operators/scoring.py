@@ -7,52 +7,80 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunemill.functions.skew import hot_safe_join
+from tunemill.session import small, written
+
 #: A run of letters and digits, or one other visible character.
 TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
-MAX_TOKENS = 2048
 #: Part of a text without turns that counts as the response, from its end.
 RESPONSE_SHARE = 0.6
 
 
-class Scorer(Protocol):
-    """Gives `nll` to rows of (sample, pos, token)."""
-
-    def __call__(self, tokens: DataFrame) -> DataFrame: ...
-
-
-def tokenize(text: Column, limit: int = MAX_TOKENS) -> Column:
-    return F.slice(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), 1, limit)
+class Tokenizer(Protocol):
+    """Gives the array of tokens of a text."""
 
+    def __call__(self, text: Column) -> Column: ...
 
-def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TOKENS) -> DataFrame:
-    return docs.select(F.col(id_col).alias("sample"), F.posexplode(tokenize(F.col(text_col), limit)).alias("pos", "token"))
 
-
-def unigram_scorer(tokens: DataFrame) -> DataFrame:
-    """-ln of each token's share of the corpus. Counts aggregate map-side; the join is by token."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    total = tokens.agg(F.count(F.lit(1)).alias("total"))
-    return tokens.join(counts, "token").crossJoin(F.broadcast(total)).withColumn("nll", -F.log(F.col("c") / F.col("total")))
-
-
-def score(docs: DataFrame, scorer: Scorer = unigram_scorer, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TOKENS) -> DataFrame:
-    """sample, length, avg_nll, response_nll, response_token_count, ppl, response_ppl; inf where under two tokens."""
-    lengths = docs.select(F.col(id_col).alias("sample"), F.size(tokenize(F.col(text_col), limit)).alias("length"))
-    start = F.floor(F.col("length") * F.lit(1 - RESPONSE_SHARE))
-    response = F.col("pos") >= start
-    rows = scorer(token_rows(docs, id_col, text_col, limit)).join(lengths, "sample")
-    sums = rows.groupBy("sample").agg(
-        F.avg("nll").alias("avg_nll"), F.avg(F.when(response, F.col("nll"))).alias("response_nll"), F.count(F.when(response, F.lit(1))).alias("response_token_count")
-    )
+class Scorer(Protocol):
+    """Gives `nll` to each row of a table of distinct tokens: token, c (its count in the corpus)."""
+
+    def __call__(self, counts: DataFrame) -> DataFrame: ...
+
+
+def tokenize(text: Column, limit: int | None = None) -> Column:
+    """The tokens of a text, all of them unless a limit is set."""
+    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.slice(found, 1, limit) if limit else found
+
+
+def unigram_scorer(counts: DataFrame) -> DataFrame:
+    """-ln of each token's share of the corpus."""
+    total = counts.agg(F.sum("c").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("nll", -F.log(F.col("c") / F.col("total")))
+
+
+def response_start(length: Column, prefix: Column | None = None, inclusive: Column | None = None) -> Column:
+    """Tokens before the response: what the rendered prompt has (its generation prompt included, if that is known and
+    shorter than the whole), else all but the last RESPONSE_SHARE of the text."""
+    fallback = F.floor(length * F.lit(1 - RESPONSE_SHARE))
+    known = F.coalesce(*(c for c in (inclusive, prefix) if c is not None)) if prefix is not None or inclusive is not None else None
+    return fallback if known is None else F.when(known.isNotNull() & (known >= 0) & (known < length), known).otherwise(fallback)
+
+
+def score(docs: DataFrame, scorer: Scorer = unigram_scorer, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, tokenizer: Tokenizer | None = None, prefix_col: str | None = None) -> DataFrame:
+    """sample, length, avg_nll, response_nll, response_token_count, ppl, response_ppl; inf where under two tokens.
+
+    The corpus's counts are aggregated map-side. If the distinct tokens can be sent to all executors, each sample is
+    scored where its text is read. Else tokens are counted per sample first, all and those of the response, so that a
+    frequent token is one row of each sample that has it, and these rows meet the scores. Whole texts are read unless a
+    limit is set. `prefix_col` may hold the number of tokens before the response."""
+    tokens = tokenizer(F.col(text_col)) if tokenizer else tokenize(F.col(text_col), limit)
+    texts = docs.select(F.col(id_col).alias("sample"), tokens.alias("_t"), *([F.col(prefix_col).alias("_p")] if prefix_col else []))
+    # an outer explode, as from an inner one Spark infers a filter that tokenises every text once more
+    counts = texts.select(F.explode_outer("_t").alias("token")).filter("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    known = written(scorer(written(counts, "token-counts")).select("token", "nll"), "token-scores")
+    rows = texts.withColumn("length", F.coalesce(F.when(F.size("_t") >= 0, F.size("_t")), F.lit(0)))
+    rows = rows.withColumn("_from", response_start(F.col("length"), F.col("_p") if prefix_col else None))
+    rows = rows.select("sample", "length", "_from", F.posexplode_outer("_t").alias("pos", "token"))
+    in_response = F.col("pos") >= F.col("_from")
+    near = small(known)
+    if near is not known:
+        joined = rows.join(near, "token", "left").withColumns({"n": F.when(F.col("token").isNotNull(), 1), "n_response": F.when(in_response, 1)})
+    else:
+        per = rows.groupBy("sample", "length", "token").agg(F.count("token").alias("n"), F.count(F.when(in_response, F.col("token"))).alias("n_response"))
+        joined = hot_safe_join(written(per, "sample-tokens"), known, ["token"], "left")
+    weigh = lambda n: F.sum(F.col("nll") * F.col(n)) / F.expr(f"nullif(sum({n}), 0)")
+    out = joined.groupBy("sample", "length").agg(weigh("n").alias("avg_nll"), weigh("n_response").alias("response_nll"), F.coalesce(F.sum("n_response"), F.lit(0)).cast("bigint").alias("response_token_count"))
+    out = out.withColumn("response_nll", F.coalesce("response_nll", "avg_nll"))
     fine = F.col("length") >= 2
     ppl = lambda c: F.when(fine, F.round(F.exp(F.least(F.col(c), F.lit(20.0))), 2)).otherwise(F.lit(float("inf")))
-    out = lengths.join(sums, "sample", "left").withColumn("response_nll", F.coalesce("response_nll", "avg_nll"))
     return out.select(
         "sample",
         F.when(fine, F.col("length")).otherwise(0).cast("bigint").alias("length"),
         F.round("avg_nll", 4).alias("avg_nll"),
         F.round("response_nll", 4).alias("response_nll"),
-        F.coalesce("response_token_count", F.lit(0)).alias("response_token_count"),
+        "response_token_count",
         ppl("avg_nll").alias("ppl"),
         ppl("response_nll").alias("response_ppl"),
     )

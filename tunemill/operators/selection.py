@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunemill.functions.ranks import global_rank, nth_values, seeded
+from tunemill.functions.ranks import first_rows, global_rank, nth_values, seeded
+from tunemill.session import small, written
 
 INF = float("inf")
 
@@ -52,33 +53,31 @@ def optimal_mix(budget: int) -> tuple[float, float, float, float]:
     return 0.20, 0.50, 0.25, 0.05
 
 
-def _places(samples: DataFrame, bucket: str, order: list[Column], out: str) -> DataFrame:
-    return global_rank(samples.filter(F.col("bucket") == bucket), order, out)
-
-
 def select_optimal(samples: DataFrame, budget: int, id_col: str = "sample", ppl: str = "response_ppl") -> DataFrame:
     """A budget over the difficulty buckets, filled up from medium, easy, hard where a bucket is short.
 
     Adds flow_weight. Within a bucket a higher `ifd` comes first (1.0 where missing), then arrival; very hard
-    are the hardest of the hard bucket."""
+    are the hardest of the hard bucket. No bucket gives more than the budget, so no more of it is ordered."""
     easy, medium, hard, _ = optimal_mix(budget)
     quota = {"easy": int(budget * easy), "medium": int(budget * medium), "hard": int(budget * hard)}
     very_hard = budget - sum(quota.values())
     ifd = F.coalesce(F.col("ifd"), F.lit(1.0)) if "ifd" in samples.columns else F.lit(1.0)
     rows = samples.withColumn("_ifd", ifd)
     by_ifd = [F.desc("_ifd"), F.asc(id_col)]
-    parts = [_places(rows, b, by_ifd, "_place").withColumn("_first", F.col("_place") < quota[b]) for b in ("easy", "medium")]
-    ranked = _places(rows, "hard", [F.desc(ppl), F.asc(id_col)], "_place")
-    top = ranked.filter(F.col("_place") < very_hard).withColumn("_first", F.lit(True))
-    rest = global_rank(ranked.filter(F.col("_place") >= very_hard).drop("_place"), [F.desc("_ifd"), F.desc(ppl), F.asc(id_col)], "_place")
-    parts += [top, rest.withColumn("_first", F.col("_place") < quota["hard"])]
-    pool = parts[0]
-    for p in parts[1:]:
-        pool = pool.unionByName(p)
+    pool = None
+    for bucket in ("easy", "medium"):
+        part = first_rows(rows.filter(F.col("bucket") == bucket), by_ifd, budget, "_place").withColumn("_first", F.col("_place") < quota[bucket])
+        pool = part if pool is None else pool.unionByName(part)
+    in_hard = rows.filter(F.col("bucket") == "hard")
+    top = written(first_rows(in_hard, [F.desc(ppl), F.asc(id_col)], very_hard, "_place").withColumn("_first", F.lit(True)), "very-hard")
+    others = in_hard.join(small(top.select(id_col)), id_col, "left_anti")
+    rest = first_rows(others, [F.desc("_ifd"), F.desc(ppl), F.asc(id_col)], quota["hard"], "_place").withColumn("_first", F.lit(True))
+    spare = first_rows(others, by_ifd, budget, "_place").withColumn("_first", F.lit(False))
+    once = written(rest, "hard")
+    pool = pool.unionByName(top).unionByName(once).unionByName(spare.join(small(once.select(id_col)), id_col, "left_anti").select(*spare.columns))
     turn = F.when(F.col("_first"), 0).otherwise(F.expr("decode(bucket, 'medium', 1, 'easy', 2, 3)"))
-    chosen = global_rank(pool.withColumn("_turn", turn).drop("_place", "_first"), [F.asc("_turn"), *by_ifd], "_place")
-    chosen = chosen.filter(F.col("_place") < budget).drop("_place", "_turn", "_ifd")
-    return _flow(chosen, ppl, F.round)
+    chosen = first_rows(pool.withColumn("_turn", turn).drop("_place", "_first"), [F.asc("_turn"), *by_ifd], budget, "_place").drop("_place", "_turn", "_ifd")
+    return _flow(written(chosen, "chosen"), ppl, F.round)
 
 
 def _flow(rows: DataFrame, ppl: str, last=lambda c, _: c) -> DataFrame:
@@ -96,7 +95,7 @@ def select_by_budget(samples: DataFrame, budget: int, strategy: str = "optimal",
         return _flow(samples, ppl).orderBy(F.desc("flow_weight"), id_col).limit(budget)
     if strategy == "balanced":
         each = budget // 3
-        parts = {b: _places(samples, b, [F.asc(id_col)], "_place") for b in ("easy", "medium", "hard")}
+        parts = {b: first_rows(samples.filter(F.col("bucket") == b), [F.asc(id_col)], budget, "_place") for b in ("easy", "medium", "hard")}
         low = parts["easy"].filter(F.col("_place") < each).unionByName(parts["hard"].filter(F.col("_place") < each))
         mid = parts["medium"]
         left = budget - low.count() - min(each, mid.count())
@@ -105,7 +104,7 @@ def select_by_budget(samples: DataFrame, budget: int, strategy: str = "optimal",
         rows = samples.crossJoin(F.broadcast(nth_values(samples, ppl, _mid=0.5)))
         return rows.orderBy(F.abs(F.col(ppl) - F.col("_mid")), id_col).limit(budget).drop("_mid")
     if strategy == "curriculum":
-        return global_rank(samples.orderBy(ppl, id_col).limit(budget), [F.asc(ppl), F.asc(id_col)], "score_rank")
+        return first_rows(samples, [F.asc(ppl), F.asc(id_col)], budget, "score_rank")
     if strategy == "hard_focus":
         return samples.orderBy(F.desc(ppl), id_col).limit(budget)
     return random_subset(samples, budget, id_col, seed)
@@ -116,10 +115,7 @@ def source_manifest(samples: DataFrame, weights: DataFrame | None = None, ppl: s
     counts = samples.groupBy("source").agg(
         F.count(F.lit(1)).alias("num_samples"), *[F.count(F.when(F.col("bucket") == b, 1)).alias(f"n_{b}") for b in ("easy", "medium", "hard")]
     )
-    by_value = samples.groupBy("source", F.col(ppl).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("source")
-    upto = F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    median = by_value.withColumn("upto", upto).withColumn("n", F.sum("c").over(w)).filter(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("source").agg(F.min("v").alias("median"))
+    median = nth_values(samples, ppl, by="source", median=0.5)
     rows = counts.join(median, "source")
     rows = rows.join(weights, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))) if weights is not None else rows.withColumn("weight", F.lit(1.0))
     total = rows.agg(F.sum("weight").alias("total"))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tunemill.functions.ranks import nth_values
 from tunemill.operators import scoring, selection
+from tunemill.session import spread, written
 
 BUDGET, FLAGSHIP_BUDGET = 300, 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows  # its texts are most of the work
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +22,12 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tunemill.session import written
-
     return written(selection.classify_difficulty(_scored(spark, sf_dir)), "scored")
 
 
 # The shared head of the SQL twins: the scored documents, their buckets, and what the filter keeps.
 TOKENS = r"""
-    tok AS (SELECT doc_id AS sample, list_slice(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]'), 1, 2048) AS ts, source FROM documents),
+    tok AS (SELECT doc_id AS sample, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\s]') AS ts, source FROM documents),
     len AS (SELECT sample, source, cast(len(ts) AS bigint) AS length FROM tok),
     ex AS (SELECT sample, unnest(ts) AS token, generate_subscripts(ts, 1) - 1 AS pos FROM tok),
     cnt AS (SELECT token, count(*) AS c, sum(count(*)) OVER () AS total FROM ex GROUP BY token),
@@ -111,8 +111,6 @@ def hes_scores(spark, sf_dir):
 
 def prepare_flagship(spark, sf_dir):
     """bucket -> filter -> hold out -> select, in that order."""
-    from tunemill.session import written
-
     rows = selection.filter_samples(_bucketed(spark, sf_dir), max_ppl=0).filter("reason is null").drop("reason")
     pool = written(selection.holdout(rows, 40), "pool").filter("not held_out").drop("held_out")
     return selection.select_by_budget(pool, FLAGSHIP_BUDGET, "optimal").select("sample", "bucket", "response_ppl", "flow_weight")

@@ -38,7 +38,7 @@ def pack_positions(spark, sf_dir):
 
 
 def shift_labels(spark, sf_dir):
-    labels = F.transform(tokenize(F.col("text"), 256), lambda t: F.length(t).cast("bigint"))
+    labels = F.transform(tokenize(F.col("text")), lambda t: F.length(t).cast("bigint"))
     positions = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: ((i - 1) % 50).cast("bigint"))
     rows = table(spark, sf_dir, "documents").select("doc_id", labels.alias("labels")).filter("size(labels) > 0").withColumn("positions", positions)
     weighted = F.transform(packing.shift_labels(F.col("labels"), F.col("positions")), lambda x, i: x * (i + 1))
@@ -65,7 +65,7 @@ def greedy_batches(spark, sf_dir):
 
 
 def collate_padding(spark, sf_dir):
-    ids = F.transform(tokenize(F.col("text"), 64), lambda t: F.length(t).cast("bigint"))
+    ids = F.transform(tokenize(F.col("text")), lambda t: F.length(t).cast("bigint"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 4").alias("batch"), ids.alias("input_ids"))
     rows = rows.withColumn("attention_mask", F.transform("input_ids", lambda _: F.lit(1).cast("bigint"))).withColumn("labels", F.col("input_ids"))
     out = packing.collate(rows, ["batch"], 16)
@@ -94,7 +94,7 @@ def shuffle_rows(spark, sf_dir):
 
 def pretrain_rows(spark, sf_dir):
     """Labels equal the ids; empty texts go."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(tokenize(F.col("text"), 1024), lambda t: F.length(t)).alias("ids")).filter("size(ids) > 0")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(tokenize(F.col("text")), lambda t: F.length(t)).alias("ids")).filter("size(ids) > 0")
     return rows.select("doc_id", F.size("ids").alias("n"), F.aggregate("ids", F.lit(0), lambda a, x: a + x).cast("bigint").alias("label_sum"))
 
 
@@ -203,14 +203,14 @@ _SOFT = """e AS (SELECT vec_id, vec_id // 50 AS batch, vec_id // 5 AS seq, label
     t AS (SELECT *, lse - z[label + 1] AS ce, exp(z[label + 1] - lse) AS q, list_transform(z, lambda x: exp(x - lse)) AS p FROM m),
     u AS (SELECT *, -list_sum(list_transform(p, lambda x: x * ln(x))) AS h FROM t)"""
 _PB = "WITH {0} SELECT batch, round(sum({1}), 5) AS loss, count(*) AS valid FROM u GROUP BY batch"
-_TOKS = "list_transform(list_slice(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]'), 1, {0}), lambda t: length(t))"
+_TOKS = "list_transform(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]'), lambda t: length(t))"
 ORACLE_SQL = {
     "pack_sequential": f"WITH {_SEQ}, p AS (SELECT seq_id, n, coalesce(sum(n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM s), {_CUT} {_BLOCK}",
     "pack_sorted": f"WITH {_SEQ}, p AS (SELECT seq_id, least(n, {L}) AS n, coalesce(sum(least(n, {L})) OVER (ORDER BY r // 256, n, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM s), {_CUT} {_BLOCK}",
     "pack_positions": f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS tok, unnest(range(len(regexp_extract_all(text, '\\S+')))) AS pos FROM documents),
         g AS (SELECT length(tok) AS v, pos, (row_number() OVER (ORDER BY doc_id, pos) - 1) // {L} AS block FROM w)
         SELECT block, cast(count(*) AS int) AS n, cast(sum(v) AS bigint) AS id_sum, cast(sum(pos) AS bigint) AS position_sum FROM g GROUP BY block""",
-    "shift_labels": f"""WITH t AS (SELECT doc_id, {_TOKS.format(256)} AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM t),
+    "shift_labels": f"""WITH t AS (SELECT doc_id, {_TOKS} AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS i FROM t),
         y AS (SELECT doc_id, i, CASE WHEN lead(i) OVER w IS NULL OR (i + 1) % 50 = 0 THEN -100 ELSE lead(l) OVER w END AS l FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i))
         SELECT doc_id, cast(sum(l * (i + 1)) AS bigint) AS checksum FROM y GROUP BY doc_id""",
     "length_groups": f"WITH {_SEQ}, {_GRP.format(4, 64)} SELECT buffer, batch_no, row_number() OVER (PARTITION BY buffer ORDER BY rows < 4, md5('0:' || buffer || ':' || batch_no), batch_no) - 1 AS turn, rows, shortest, longest FROM b",
@@ -221,14 +221,14 @@ ORACLE_SQL = {
               SELECT o.i, o.n, o.i // 4096, CASE WHEN o.i // 4096 > fold THEN 0 WHEN size >= 16 OR (size + 1) * o.n > 4096 THEN batch + 1 ELSE batch END,
                      CASE WHEN o.i // 4096 > fold OR size >= 16 OR (size + 1) * o.n > 4096 THEN 1 ELSE size + 1 END FROM f JOIN o ON o.i = f.i + 1)
         SELECT fold, batch, count(*) AS rows, max(n) AS longest FROM f GROUP BY ALL""",
-    "collate_padding": f"""WITH t AS (SELECT doc_id, doc_id // 4 AS b, {_TOKS.format(64)} AS ls FROM documents), w AS (SELECT *, cast(ceil(max(len(ls)) OVER (PARTITION BY b) / 16) * 16 AS int) AS width FROM t)
+    "collate_padding": f"""WITH t AS (SELECT doc_id, doc_id // 4 AS b, {_TOKS} AS ls FROM documents), w AS (SELECT *, cast(ceil(max(len(ls)) OVER (PARTITION BY b) / 16) * 16 AS int) AS width FROM t)
         SELECT doc_id, width, cast(len(ls) AS bigint) AS valid, cast(list_sum(ls) - 100 * (width - len(ls)) AS bigint) AS label_sum FROM w""",
     "cp_shards": "WITH x AS (SELECT vec_id, unnest(embedding)::double AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT vec_id, cast(i // 8 AS int) AS rank, cast(count(*) AS int) AS n, round(sum(v), 6) AS part_sum FROM x GROUP BY vec_id, i // 8",
     "exact_steps": "SELECT cast(min(c // 8) * 3 AS bigint) AS total_steps FROM (SELECT count(*) AS c FROM documents GROUP BY doc_id % 3)",
     "sample_chunks": f"""WITH {_SEQ}, c AS (SELECT seq_id, cast(ceil(n / 128) AS bigint) AS chunks, unnest(range(cast(ceil(n / 128) AS bigint))) AS chunk FROM s WHERE n > 0)
         SELECT seq_id, chunk, round(chunks / least(chunks, 3), 6) AS scale FROM c QUALIFY row_number() OVER (PARTITION BY seq_id ORDER BY md5(seq_id || ':' || chunk || ':0'), chunk) <= 3""",
     "shuffle_rows": "SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':5'), doc_id) - 1 AS place FROM documents",
-    "pretrain_rows": f"WITH t AS (SELECT doc_id, {_TOKS.format(1024)} AS ls FROM documents) SELECT doc_id, cast(len(ls) AS int) AS n, cast(list_sum(ls) AS bigint) AS label_sum FROM t WHERE len(ls) > 0",
+    "pretrain_rows": f"WITH t AS (SELECT doc_id, {_TOKS} AS ls FROM documents) SELECT doc_id, cast(len(ls) AS int) AS n, cast(list_sum(ls) AS bigint) AS label_sum FROM t WHERE len(ls) > 0",
     "mix_weighted": """WITH w(source, w) AS (VALUES ('src0', 0.4::double), ('src1', 0.3), ('src2', 0.2), ('src3', 0.1)),
         k AS (SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 0.5) / w AS key FROM documents JOIN w USING (source)),
         c AS (SELECT min(m) AS stop FROM (SELECT max(key) AS m FROM k GROUP BY source))
