@@ -5,7 +5,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tunemill.llm import skew, surrogates
+from tunemill.functions import skew
+from tunemill.llm import surrogates
 
 TEXTS = [
     "call +1 (743) 555-3824 or 743-555-3824, hosts 10.2.3.4 and 70.23.22.57.",
