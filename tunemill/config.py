@@ -61,10 +61,51 @@ class Settings:
                 setattr(part, name, _typed(value, getattr(part, name)))
         return out
 
+    @classmethod
+    def read(cls, args: list[str]) -> Settings:
+        """From a command line: a YAML or JSON file, first or after --config, and --section.field=value or
+        --section.field value after it, which win over the file."""
+        args = list(args)
+        path = args.pop(0) if args and not args[0].startswith("--") else None
+        overrides: list[str] = []
+        while args:
+            word = args.pop(0)
+            if word == "--config" or word.startswith("--config="):
+                path = word.split("=", 1)[1] if "=" in word else args.pop(0)
+            elif word.startswith("--") and "=" not in word:
+                overrides.append(f"{word}={args.pop(0) if args and not args[0].startswith('--') else 'true'}")
+            else:
+                overrides.append(word)
+        return cls.of(read_yaml(path) if path else {}, overrides)
+
     def flat(self) -> dict[str, object]:
         return {f"{s.name}/{f.name}": getattr(getattr(self, s.name), f.name) for s in fields(self) for f in fields(getattr(self, s.name))}
 
 
+def read_yaml(path: str) -> dict | list:
+    """A YAML (or JSON) file of the driver; an empty one has no settings."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+    except ModuleNotFoundError:
+        import json
+
+        return json.loads(text or "{}")
+    return yaml.safe_load(text) or {}
+
+
+def read_sources(path: str) -> list[dict]:
+    """The sources of a file: a list, or what stands under `sources`."""
+    found = read_yaml(path)
+    return list(found if isinstance(found, list) else found.get("sources", []))
+
+
+def ablation_grid(base: dict, variants: dict[str, dict[str, object]]) -> dict[str, Settings]:
+    """Settings by variant name: the base with that variant's {section.field: value}."""
+    return {name: Settings.of(base, [f"{k}={v}" for k, v in changes.items()]) for name, changes in variants.items()}
+
+
 def _typed(value: object, like: object) -> object:
     if not isinstance(value, str) or isinstance(like, str):
         return value

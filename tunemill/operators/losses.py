@@ -74,3 +74,23 @@ def slerp(a: Column, b: Column, t: float) -> Column:
 def unit(v: Column) -> Column:
     n = norm(v)
     return F.transform(v, lambda x: x / n)
+
+
+#: Objectives by priority: the first whose flag is set is the run's.
+OBJECTIVES = ("pre_rl", "deft", "cadft", "dft", "info_sft")
+
+
+def objective(flags: dict[str, Column]) -> Column:
+    """The name of the objective that a run uses, by its flags; plain cross-entropy without any."""
+    return F.coalesce(*[F.when(flags[n], F.lit(n)) for n in OBJECTIVES if n in flags], F.lit("ce"))
+
+
+def generalization_gap(train_loss: Column, val_loss: Column) -> Column:
+    return val_loss - train_loss
+
+
+def flat_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two tensors given as arrays of vectors, flattened; 0 where one is nearly zero."""
+    x, y = F.flatten(a), F.flatten(b)
+    size = norm(x) * norm(y)
+    return F.when(size > 1e-12, dot(x, y) / size).otherwise(0.0)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunemill.functions.prefix import prefix_sums
-from tunemill.functions.ranks import global_rank, seeded
+from tunemill.functions.ranks import first_rows, global_rank, seeded
+from tunemill.session import small, written
 
 IGNORE = -100
 #: Rows of the sorting buffer of sorted packing.
 BUFFER = 256
-#: Rows that one greedy fold sees.
-FOLD_ROWS = 4096
 
 
 def _offsets(ranked: DataFrame, length: str) -> DataFrame:
@@ -83,24 +84,69 @@ def collate(rows: DataFrame, keys: list[str], multiple: int = 1, pad_id: int = 0
     return out.select(*[c for c in rows.columns if c not in fill], *[F.concat(c, F.array_repeat(F.lit(v).cast("bigint"), F.col("_to") - F.size(c))).alias(c) for c, v in fill.items() if c in rows.columns])
 
 
-def greedy_batches(seqs: DataFrame, most_rows: int, most_tokens: int, id_col: str = "seq_id", length: str = "length", fold_rows: int = FOLD_ROWS) -> DataFrame:
-    """fold, batch: by ascending length, as many rows as stay within both limits when padded; a longer one goes alone.
-
-    The fold runs over fold_rows neighbouring rows at a time, so a batch ends where a fold does."""
-    ranked = global_rank(seqs.select(id_col, length), [F.asc(length), F.asc(id_col)]).withColumn("fold", F.expr(f"rank div {fold_rows}"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        batch, size, out = 0, 0, []
-        for n in pdf[length]:
-            if size and (size >= most_rows or (size + 1) * n > most_tokens):
-                batch, size = batch + 1, 0
-            size += 1
-            out.append(batch)
-        return pdf.assign(batch=out)[[id_col, length, "fold", "batch"]]
-
-    kinds = dict(seqs.dtypes)
-    return ranked.groupBy("fold").applyInPandas(fold, f"{id_col} {kinds[id_col]}, {length} {kinds[length]}, fold bigint, batch bigint")
+def collate_by_budget(rows: DataFrame, keys: list[str], id_col: str, pad_id: int = 0) -> DataFrame:
+    """collate to the longest of each batch, with `place`: rows from the longest to the shortest."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.size("input_ids")), id_col)
+    return collate(rows.withColumn("place", (F.row_number().over(order) - 1).cast("bigint")), keys, 1, pad_id)
+
+
+def greedy_batches(seqs: DataFrame, most_rows: int, most_tokens: int, id_col: str = "seq_id", length: str = "length") -> DataFrame:
+    """batch: by ascending length, as many rows as stay within both limits when padded; a longer one goes alone.
+
+    Rows of one length only differ by their place among these. So the batches follow from the number of rows of each
+    length: a walk over the distinct lengths says how many rows of a length still go to the batch before, the others
+    fill batches of their own, and a row's place among its length gives its batch. No task walks over the rows."""
+    ranked = written(global_rank(seqs.select(id_col, length), [F.asc(length), F.asc(id_col)]), "greedy")
+    counts = ranked.groupBy(length).agg(F.count(F.lit(1)).alias("_c"), F.min("rank").alias("_first"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch, size = 0, 0
+        for b in batches:
+            out: list[tuple] = []
+            for n, c, first in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                cap = max(1, min(most_rows, most_tokens // max(n, 1)))
+                room = min(c, max(0, cap - size))
+                rest = c - room
+                out.append((n, first, batch, room, cap, batch + (1 if size + room else 0)))
+                if rest:
+                    more = -(-rest // cap)
+                    batch, size = batch + more if size + room else batch + more - 1, rest - (more - 1) * cap
+                else:
+                    size += room
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["_n", "_first", "_into", "_room", "_cap", "_next"])
+
+    lengths = counts.select(F.col(length).cast("bigint"), "_c", "_first").coalesce(1).sortWithinPartitions(length)
+    plan = written(lengths.mapInArrow(walk, "_n bigint, _first bigint, _into bigint, _room bigint, _cap bigint, _next bigint"), "greedy-plan")
+    place = F.col("rank") - F.col("_first")
+    batch = F.when(place < F.col("_room"), F.col("_into")).otherwise(F.expr("_next + (rank - _first - _room) div _cap"))
+    return ranked.join(small(plan), F.col(length) == F.col("_n")).select(id_col, length, batch.alias("batch"))
+
+
+def row_shard(df: DataFrame, id_col: str, index: int, count: int, contiguous: bool = False) -> DataFrame:
+    """The rows of one of `count` readers: every count-th by id, or a contiguous part."""
+    ranked = global_rank(df, [F.asc(id_col)], "place")
+    if contiguous:
+        n = df.count()
+        return ranked.filter((F.col("place") >= index * n // count) & (F.col("place") < (index + 1) * n // count))
+    return ranked.filter(F.col("place") % count == index)
+
+
+def resume_from(batches: DataFrame, skip: int, batch: str = "batch", epoch: str = "epoch", start_epoch: int = 0) -> DataFrame:
+    """The micro-batches that a resumed run still has to do: from start_epoch, and there from batch `skip` on."""
+    return batches.filter((F.col(epoch) > start_epoch) | ((F.col(epoch) == start_epoch) & (F.col(batch) >= skip)))
+
+
+def eval_batches(samples: DataFrame, n: int, id_col: str, length: str = "length", each: int = 4) -> DataFrame:
+    """The first n samples by id, sorted by length, in batches of `each`."""
+    order = [F.asc(length), F.asc(id_col)]
+    return first_rows(first_rows(samples, [F.asc(id_col)], n, "_at").drop("_at"), order, n, "place").withColumn("batch", F.expr(f"place div {each}"))
+
+
+def position_sample(rows: DataFrame, batch: str, keys: list[str], keep: int = 64, seed: int = 0) -> DataFrame:
+    """At most `keep` random positions of each batch, for statistics of its tokens; repeatable."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(key, *keys))
+    return rows.withColumn("_k", place).filter(F.col("_k") <= keep).drop("_k")
 
 
 def sequence_shards(tokens: Column, ranks: int) -> Column:

@@ -1,125 +1,179 @@
-"""Ordered folds over a key's values: the state machines of training, as one aggregate expression each."""
+"""Ordered folds over a key's values: the state machines of training.
+
+Rows are dealt by key and sorted by (key, order); each task walks through its rows and keeps one small state, so a run
+of any length needs no more memory than a short one.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def ordered_fold(rows: DataFrame, keys: list[str], order: str, values: list[str], zero: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """keys, state: the fold of a key's rows by `order`. A key is one run or source, whose rows fit a task."""
-    item = F.struct(F.col(order).alias("_o"), *values)
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_rows")).select(*keys, F.aggregate("_rows", zero, step).alias("state"))
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def _d(x: float) -> Column:
-    return F.lit(float(x))
+INF = float("inf")
+_KINDS = {"bigint": pa.int64(), "double": pa.float64()}
+
+
+def ordered_fold(
+    rows: DataFrame, key: str, order: str, values: list[str], start: tuple, step: Callable[..., tuple], done: Callable[[tuple], list[tuple]], out: str, leaving: Callable[..., tuple | None] | None = None
+) -> DataFrame:
+    """key and the columns `out` ("name bigint|double, ..."): what done() gives of each key's last state.
+
+    step(state, *values) gives the next state; leaving(state, *values), if there is one, gives a row that is told before
+    that step, or None. Rows with a null value are skipped; keys may be null."""
+    names = [c.split() for c in out.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, told, kind = None, None, [], None
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array([r[0] for r in told], kind)] + [pa.array([r[i + 1] for r in told], _KINDS[k]) for i, (_, k) in enumerate(names)]
+            return pa.RecordBatch.from_arrays(columns, names=[key, *(n for n, _ in names)])
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for k, *v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if state is None or k != now:
+                    told += [(now, *r) for r in done(state)] if state is not None else []
+                    now, state = k, start
+                row = leaving(state, *v) if leaving else None
+                if row is not None:
+                    told.append((now, *row))
+                state = step(state, *v)
+                if len(told) >= 10_000:
+                    yield batch()
+                    told.clear()
+        if state is not None:
+            told += [(now, *r) for r in done(state)]
+        if told:
+            yield batch()
+
+    kept = rows.select(key, F.col(order).alias("_o"), *(F.col(v).alias(f"_v{i}") for i, v in enumerate(values))).na.drop(subset=[f"_v{i}" for i in range(len(values))])
+    walk = kept.repartition(key).sortWithinPartitions(key, "_o", *(f"_v{i}" for i in range(len(values)))).drop("_o")
+    return walk.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, {out}")
+
+
+#: count, mean, variance (squared deviations while warming up), spikes
+SPIKE_START = (0, 0.0, 0.0, 0)
+
+
+def spike_step(state: tuple, x: float, z: float, warmup: int, decay: float) -> tuple:
+    """Running mean and squared deviations for `warmup` values, then moving averages; values from z standard deviations
+    on do not update them; over z they are spikes."""
+    count, mean, var, spikes = state
+    count += 1
+    if count <= warmup:
+        new = x if count == 1 else mean + (x - mean) / count
+        return count, new, 0.0 if count == 1 else var + (x - mean) * (x - new), spikes
+    if count == warmup + 1:
+        var /= max(count - 1, 1)
+    std = var**0.5
+    score = (x - mean) / max(std if std >= 1e-8 else abs(mean) * 0.1, 1e-300)
+    if score < z:
+        mean = decay * mean + (1 - decay) * x
+        var = decay * var + (1 - decay) * (x - mean) ** 2
+    return count, mean, var, spikes + (score > z)
 
 
 def spike_detector(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", z: float = 5.0, warmup: int = 50, decay: float = 0.99) -> DataFrame:
-    """Per run: count, mean, var and the number of spikes after all values.
-
-    Running mean and squared deviations for `warmup` values, then moving averages; values from z standard
-    deviations on do not update them; over z they are spikes."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("count"), _d(0).alias("mean"), _d(0).alias("var"), F.lit(0).cast("bigint").alias("spikes"))
-
-    def fold(s: Column, r: Column) -> Column:
-        n, x = s["count"] + 1, r[value]
-
-        def warm() -> Column:
-            mean = F.when(n == 1, x).otherwise(s["mean"] + (x - s["mean"]) / n)
-            var = F.when(n == 1, _d(0)).otherwise(s["var"] + (x - s["mean"]) * (x - mean))
-            return F.struct(n.alias("count"), mean.alias("mean"), var.alias("var"), s["spikes"].alias("spikes"))
-
-        def after(var: Column) -> Column:
-            std = F.when(F.sqrt(var) < 1e-8, F.abs(s["mean"]) * 0.1).otherwise(F.sqrt(var))
-            score = (x - s["mean"]) / F.greatest(std, _d(1e-300))
-            mean = decay * s["mean"] + (1 - decay) * x
-            keep = score < z
-            return F.struct(
-                n.alias("count"), F.when(keep, mean).otherwise(s["mean"]).alias("mean"), F.when(keep, decay * var + (1 - decay) * (x - mean) * (x - mean)).otherwise(var).alias("var"),
-                (s["spikes"] + (score > z).cast("bigint")).alias("spikes"),
-            )
-
-        first = F.when(n == warmup + 1, s["var"] / F.greatest(n - 1, F.lit(1))).otherwise(s["var"])
-        return F.when(n <= warmup, warm()).otherwise(let(first, after))
-
-    return ordered_fold(series, [run], step, [value], zero, fold).select(run, "state.*")
+    """Per run: count, mean, var and the number of spikes after all values."""
+    one = lambda s: [(s[0], float(s[1]), float(s[2]), int(s[3]))]
+    return ordered_fold(series, run, step, [value], SPIKE_START, lambda s, x: spike_step(s, x, z, warmup, decay), one, "count bigint, mean double, var double, spikes bigint")
 
 
 def adaptive_clip(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", warmup: int = 20, limit: float = 1.5, beta: float = 0.95) -> DataFrame:
     """Per tensor: the threshold average and the number of clipped norms. Its largest norm while warming up, then
     an average of norms clipped at `limit` times it; norms that are nearly zero are skipped."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("ema"), F.lit(0).cast("bigint").alias("clips"))
 
-    def fold(s: Column, r: Column) -> Column:
-        n, x = s["n"] + 1, r[value]
-        ema = F.coalesce(s["ema"], x)
-        top = limit * ema
-        main = F.struct(n.alias("n"), (beta * ema + (1 - beta) * F.least(x, top)).alias("ema"), (s["clips"] + (x > top).cast("bigint")).alias("clips"))
-        warm = F.struct(n.alias("n"), F.greatest(ema, x).alias("ema"), s["clips"].alias("clips"))
-        skip = F.struct(n.alias("n"), s["ema"].alias("ema"), s["clips"].alias("clips"))
-        return F.when(n < warmup, warm).when(x < 1e-12, skip).otherwise(main)
+    def fold(state: tuple, x: float) -> tuple:
+        n, ema, clips = state
+        ema = x if ema is None else ema
+        if n + 1 < warmup:
+            return n + 1, max(ema, x), clips
+        if x < 1e-12:
+            return n + 1, state[1], clips
+        return n + 1, beta * ema + (1 - beta) * min(x, limit * ema), clips + (x > limit * ema)
 
-    return ordered_fold(series, [run], step, [value], zero, fold).select(run, "state.*")
+    return ordered_fold(series, run, step, [value], (0, None, 0), fold, lambda s: [(s[0], s[1], int(s[2]))], "n bigint, ema double, clips bigint")
 
 
 def source_weights(evals: DataFrame, source: str = "source", step: str = "step", loss: str = "loss", weight: float = 1.0, decay: float = 0.7, recovery: float = 1.15, floor_ratio: float = 0.1, plateau: float = 0.01) -> DataFrame:
     """Per source: weight, best loss, consecutive rises and decays after all evaluations; prob over all sources."""
-    floor = weight * floor_ratio
-    zero = F.struct(_d(weight).alias("weight"), F.lit(None).cast("double").alias("best"), F.lit(0).cast("bigint").alias("rises"), F.lit(0).cast("bigint").alias("decays"))
-
-    def fold(s: Column, r: Column) -> Column:
-        x = r[loss]
-        change = (x - s["best"]) / F.greatest(F.abs(s["best"]), _d(1e-8))
-        same = lambda **new: F.struct(*[F.coalesce(new.get(k, s[k])).alias(k) for k in ("weight", "best", "rises", "decays")])
-        zero_rises = F.lit(0).cast("bigint")
-        return (
-            F.when(s["best"].isNull(), same(best=x))
-            .when(change < -plateau, same(best=x, rises=zero_rises, weight=F.least(s["weight"] * recovery, _d(weight))))
-            .when(change > plateau, same(rises=s["rises"] + 1, decays=s["decays"] + 1, weight=F.greatest(s["weight"] * decay, _d(floor))))
-            .otherwise(same(rises=zero_rises))
-        )
-
-    out = ordered_fold(evals, [source], step, [loss], zero, fold).select(source, "state.*")
+
+    def fold(state: tuple, x: float) -> tuple:
+        now, best, rises, decays = state
+        if best is None:
+            return now, x, rises, decays
+        change = (x - best) / max(abs(best), 1e-8)
+        if change < -plateau:
+            return min(now * recovery, weight), x, 0, decays
+        if change > plateau:
+            return max(now * decay, weight * floor_ratio), best, rises + 1, decays + 1
+        return now, best, 0, decays
+
+    out = ordered_fold(evals, source, step, [loss], (weight, None, 0, 0), fold, lambda s: [s], "weight double, best double, rises bigint, decays bigint")
     total = out.agg(F.sum("weight").alias("_total"))
     return out.crossJoin(F.broadcast(total)).withColumn("prob", F.col("weight") / F.col("_total")).drop("_total")
 
 
+def source_summary(weights: DataFrame, source: str = "source", original: float = 1.0) -> DataFrame:
+    """Per source a short and a detailed line of its state; `short` of all joined by " | " is the one-line summary."""
+    ratio = F.format_string("%.0f%%", F.bround(F.col("weight") / original * 100, 0))
+    short = F.concat(F.col(source).cast("string"), F.lit("="), ratio, F.when(F.col("rises") == 0, "↑").otherwise(F.concat(F.lit("↓"), F.col("rises"))))
+    status = F.when(F.col("rises") == 0, "improving").otherwise(F.concat(F.lit("overfitting×"), F.col("rises")))
+    best = F.when(F.col("best").isNull(), "no eval").otherwise(F.format_string("best=%.4f", "best"))
+    detail = F.concat(F.rpad(F.col(source).cast("string"), 20, " "), F.format_string(": weight=%.4f (", "weight"), ratio, F.lit(" of original), "), status, F.lit(", "), best, F.lit(", decays="), F.col("decays"))
+    return weights.select(source, short.alias("short"), detail.alias("detail"))
+
+
 def ramped_ema(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", decay: float = 0.999) -> DataFrame:
     """Moving average whose decay ramps up: min(decay, 1 - 1 / (t + 1))."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), _d(0).alias("ema"))
 
-    def fold(s: Column, r: Column) -> Column:
-        d = F.least(_d(decay), 1 - 1 / (s["n"] + 1))
-        return F.struct((s["n"] + 1).alias("n"), (d * s["ema"] + (1 - d) * r[value]).alias("ema"))
+    def fold(state: tuple, x: float) -> tuple:
+        n, ema = state
+        d = min(decay, 1 - 1 / (n + 1))
+        return n + 1, d * ema + (1 - d) * x
 
-    return ordered_fold(series, [run], step, [value], zero, fold).select(run, "state.*")
+    return ordered_fold(series, run, step, [value], (0, 0.0), fold, lambda s: [s], "n bigint, ema double")
 
 
 def plateaus(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", least: int = 50) -> DataFrame:
     """Per run: ranges of steps without a gain of 0.1 % that are longer than max(least, n / 10)."""
-    rows = series.filter(~F.isnan(value) & (F.abs(value) < float("inf")))
-    sized = rows.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(value).alias("v")))).alias("_r"))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    limit = F.greatest(F.lit(least), F.floor(F.size("_r") / 10).cast("int"))
-    zero = F.struct(F.lit(0).alias("i"), F.col("_r")[0]["v"].alias("best"), F.lit(0).alias("begin"), F.col("_r")[0]["s"].cast("bigint").alias("at"), F.col("_r")[0]["s"].cast("bigint").alias("before"), none.alias("found"))
-
-    def fold(s: Column, r: Column) -> Column:
-        gain = r["v"] < s["best"] * 0.999
-        long = gain & (s["i"] - s["begin"] > limit)
-        found = F.when(long, F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), s["before"].alias("stop"))))).otherwise(s["found"])
-        return F.struct(
-            (s["i"] + 1).alias("i"), F.when(gain, r["v"]).otherwise(s["best"]).alias("best"), F.when(gain, s["i"]).otherwise(s["begin"]).alias("begin"),
-            F.when(gain, r["s"].cast("bigint")).otherwise(s["at"]).alias("at"), r["s"].cast("bigint").alias("before"), found.alias("found"),
-        )
-
-    end = lambda s: F.when(s["i"] - s["begin"] > limit, F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), s["before"].alias("stop"))))).otherwise(s["found"])
-    return sized.select(run, F.explode(F.aggregate("_r", zero, fold, end)).alias("p")).select(run, "p.start", "p.stop")
+    rows = series.filter(~F.isnan(value) & (F.abs(value) < INF))
+
+    # the number of values, the best one, and where its range began and stands: place, step, last step
+    def fold(state: tuple | None, s: int, v: float) -> tuple:
+        n, best, begin, at, _ = state
+        if n == 0 or v < best * 0.999:
+            return n + 1, v, n, s, s
+        return n + 1, best, begin, at, s
+
+    ended = lambda state: (state[3], state[4], state[0] - state[2]) if state[0] - state[2] > least else None
+    leaving = lambda state, s, v: ended(state) if state[0] and v < state[1] * 0.999 else None
+    found = ordered_fold(rows, run, step, [step, value], (0, INF, 0, 0, 0), fold, lambda s: [r] if (r := ended(s)) else [], "start bigint, stop bigint, length bigint", leaving)
+    sizes = rows.groupBy(F.col(run).alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
+    return found.join(sizes, F.col(run).eqNullSafe(F.col("_run"))).filter(F.col("length") > F.floor(F.col("_n") / 10)).select(run, "start", "stop")
+
+
+def behaviour_signals(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", window: int = 20, factor: float = 3.0) -> DataFrame:
+    """Per run: steps that signal collapse (three troubles or more, at a value that is not finite) or a lower rate (at
+    any other such value, and at a spike once there are five troubles), and the troubles that are left at the end.
+
+    A trouble is a value that is not finite, or over `factor` times the mean of the last `window` finite ones with
+    itself; each healthy value takes one back until there are over `window` finite ones. Window functions find the
+    troubles, so that the fold carries one number."""
+    bad = F.isnan(value) | (F.abs(value) == INF)
+    w = Window.partitionBy(run, "_bad").orderBy(step)
+    rows = series.withColumn("_bad", bad)
+    spike = (F.row_number().over(w) > window) & (F.col(value) > factor * F.avg(value).over(w.rowsBetween(-window + 1, 0)))
+    kind = F.when(F.col("_bad"), 2).when(spike, 1).when(F.row_number().over(w) > window, 0).otherwise(-1)
+
+    def fold(state: tuple, k: int) -> tuple:
+        troubles, collapse, lower = state
+        troubles = max(0, troubles - 1) if k < 0 else troubles + (k > 0)
+        return troubles, collapse + (k == 2 and troubles >= 3), lower + (k == 2 and troubles < 3 or k == 1 and troubles >= 5)
+
+    out = ordered_fold(rows.withColumn("_kind", kind), run, step, ["_kind"], (0, 0, 0), fold, lambda s: [tuple(map(int, s))], "troubles bigint, n_collapse bigint, n_reduce bigint")
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunemill.functions.ranks import first_rows, global_rank
+
 
 def registry(tools: DataFrame, id_col: str = "sample") -> DataFrame:
     """tools (id, pos, tool as JSON) in any of three dialects -> id, tool, param, required, type.
@@ -50,8 +52,20 @@ def call_errors(calls: DataFrame, declared: DataFrame, id_col: str = "sample") -
     return rows.select(id_col, "turn", "call", F.explode(found).alias("e")).select(id_col, "turn", "call", "e.error", "e.detail")
 
 
+def called_counts(calls: DataFrame) -> DataFrame:
+    """tool, n, place: the called tools, the most frequent first."""
+    counts = calls.filter("name is not null AND name <> ''").groupBy(F.col("name").alias("tool")).agg(F.count(F.lit(1)).alias("n"))
+    return global_rank(counts, [F.desc("n"), F.asc("tool")], "place")
+
+
+def first_errors(errors: DataFrame, most: int = 50, id_col: str = "sample") -> DataFrame:
+    """The first errors by sample, turn and call, and whether there are more."""
+    head = first_rows(errors, [id_col, "turn", "call", "error", "detail"], most + 1, "place")
+    return head.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy()) > most).filter(F.col("place") < most)
+
+
 def report(samples: DataFrame, calls: DataFrame, declared: DataFrame, id_col: str = "sample") -> DataFrame:
-    """One row: total, valid, samples_with_tools, n_errors, declared, called and never-called tools."""
+    """One row: total, valid, samples_with_tools, n_errors, declared and never-called tools; called_counts has the called ones."""
     errors = call_errors(calls, declared, id_col)
     bad = errors.agg(F.count(F.lit(1)).alias("n_errors"), F.count_distinct(id_col).alias("_bad"))
     tools = declared.select("tool").distinct()

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunemill.functions.ranks import global_rank
+
 INF = float("inf")
 
 
@@ -132,3 +135,51 @@ def sweep_score(val_loss: Column, drift: Column, limit: float = 0.3) -> Column:
 
 def lr_grid(base: Column) -> Column:
     return F.transform(F.array(*[F.lit(x) for x in (0.5, 1.0, 2.0, 5.0)]), lambda f: base * f)
+
+
+# Bytes of optimiser state to a parameter, shares that train or stay in memory, and the overhead of all.
+OPTIMIZER_BYTES = {"adamw": 12, "muon": 4, "adamw8bit": 6, "paged_adamw8bit": 6, "lion8bit": 2}
+TRAINED_SHARE, SELECTIVE_SHARE, OVERHEAD = 0.30, 0.4, 1.10
+
+
+def memory_estimate(runs: DataFrame) -> DataFrame:
+    """runs with their parameters and the peak memory of a device in GB, part by part; all from columns of the settings:
+
+    hidden, layers, heads, intermediate, vocab, seq_len, batch, optimizer, freeze, release (gradients freed at once),
+    accumulation, checkpointing (none, selective or full), selective_diff, loss_chunks (0: not chunked), device_gb."""
+    c = {n: F.col(n).cast("double") for n in ("hidden", "layers", "heads", "intermediate", "vocab", "seq_len", "batch")}
+    gb = lambda x: x / 1e9
+    layer = 4 * c["hidden"] * c["hidden"] + 3 * c["hidden"] * c["intermediate"] + 2 * c["hidden"]
+    rows = runs.withColumn("params", (c["layers"] * layer + 2 * c["vocab"] * c["hidden"]).cast("bigint"))
+    trained = F.when(F.col("freeze"), F.floor(F.col("params") * F.lit(TRAINED_SHARE))).otherwise(F.col("params"))
+    state = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in OPTIMIZER_BYTES.items() for x in p]), F.col("optimizer")), F.lit(12))
+    kept = c["batch"] * c["seq_len"] * (c["hidden"] * 20 + c["heads"] * 128)
+    stored = F.when(F.col("checkpointing") == "none", c["layers"]).when(F.col("checkpointing") == "selective", c["layers"] * SELECTIVE_SHARE).otherwise(F.lit(2.0))
+    stored = F.when(F.col("selective_diff") & F.col("freeze"), stored * TRAINED_SHARE).otherwise(stored)
+    chunk = F.when(F.col("loss_chunks") > 0, F.floor(c["seq_len"] / F.col("loss_chunks"))).otherwise(c["seq_len"])
+    parts = {
+        "params_gb": gb(F.col("params") * 2), "optimizer_gb": gb(trained * state), "gradient_gb": F.when(F.col("release") & (F.col("accumulation") <= 1), 0.0).otherwise(gb(trained * 2)),
+        "activation_gb": gb(kept * stored), "loss_gb": gb(c["batch"] * chunk * c["vocab"] * 4),
+    }
+    rows = rows.withColumns(parts)
+    rows = rows.withColumn("total_gb", sum((F.col(p) for p in parts), F.lit(0.0)) * OVERHEAD)
+    return rows.withColumn("fits", F.col("total_gb") <= F.col("device_gb"))
+
+
+def ablation_order(results: DataFrame, loss: str = "val_loss", name: str = "name") -> DataFrame:
+    """results with their place, the lowest loss first; failed ones (null, NaN) last."""
+    known = F.when(~F.isnan(loss), F.col(loss))
+    return global_rank(results, [known.asc_nulls_last(), F.asc(name)], "place")
+
+
+def run_trials(spark: SparkSession, rates: list[float], steps: int, trial: Callable[[float, int], dict]) -> DataFrame:
+    """One row per rate (lr, final_loss, diverged) of trials that a callable runs on the driver; one that raises counts
+    as diverged."""
+    rows = []
+    for lr in rates:
+        try:
+            got = trial(lr, steps)
+            rows.append((float(lr), float(got["final_loss"]), bool(got.get("diverged", False))))
+        except (ArithmeticError, RuntimeError, ValueError):
+            rows.append((float(lr), INF, True))
+    return spark.createDataFrame(rows, "lr double, final_loss double, diverged boolean")

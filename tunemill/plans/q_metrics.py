@@ -69,7 +69,8 @@ def critical_batch(spark, sf_dir):
 
 
 def loss_report(spark, sf_dir):
-    return M.loss_report(_holed(spark, sf_dir).filter("event_id % 97 <> 0")).drop("n_nan")
+    out = M.loss_report(_holed(spark, sf_dir))
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("initial", "final")})
 
 
 def token_efficiency(spark, sf_dir):
@@ -197,33 +198,33 @@ def best_trial(spark, sf_dir):
 
 
 def coarse_candidates(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").filter("event_id < 100").select("event_id", (F.col("event_id") % 13 + 0.5).cast("double").alias("params_b"), ((F.col("event_id") + 1) * 5000).cast("double").alias("tokens"))
+    runs = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 13 + 0.5).cast("double").alias("params_b"), ((F.col("event_id") % 100 + 1) * 5000).cast("double").alias("tokens"))
     out = T.coarse_candidates(runs)
     return out.select("event_id", F.round("offset", 1).alias("offset"), F.round(F.log10("lr"), 5).alias("log_lr"))
 
 
 def horizon_correction(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id < 200").withColumn("curv", (F.col("event_id") % 21 - 10) / 50.0)
+    rows = table(spark, sf_dir, "events").withColumn("curv", (F.col("event_id") % 21 - 10) / 50.0)
     alpha = T.horizon_exponent(F.col("curv"))
-    lr = T.corrected_lr(F.lit(2e-5), F.lit(100.0), (F.col("event_id") * 37).cast("double"), alpha)
+    lr = T.corrected_lr(F.lit(2e-5), F.lit(100.0), (F.col("event_id") % 200 * 37).cast("double"), alpha)
     return rows.select("event_id", F.round(alpha, 6).alias("alpha"), F.round(lr * 1e6, 6).alias("lr_micro"))
 
 
 def scaling_law_lr(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id < 300")
-    lr = T.scaling_law_lr((F.col("event_id") % 70 + 1).cast("double"), (F.col("event_id") * 4096 + 4096).cast("double"), (F.col("event_id") * 10 + 10).cast("double"))
+    rows, k = table(spark, sf_dir, "events"), F.col("event_id") % 300
+    lr = T.scaling_law_lr((F.col("event_id") % 70 + 1).cast("double"), (k * 4096 + 4096).cast("double"), (k * 10 + 10).cast("double"))
     return rows.select("event_id", F.round(lr * 1e6, 5).alias("lr_micro"))
 
 
 def early_stop(spark, sf_dir):
     curve = F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"])
-    rows = _holed(spark, sf_dir).filter("step <= 12").groupBy("run").agg(curve.alias("curve"))
-    return rows.select("run", T.early_stop(F.col("curve"), F.lit(24), F.lit(30.0)).alias("stop"))
+    rows = _holed(spark, sf_dir).groupBy("run").agg(curve.alias("curve"))
+    return rows.select("run", T.early_stop(F.col("curve"), F.size("curve") * 2, F.lit(30.0)).alias("stop"))
 
 
 def trial_scores(spark, sf_dir):
     curve = F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"])
-    rows = _series(spark, sf_dir).filter("step <= 9").groupBy("run").agg(curve.alias("curve"))
+    rows = _series(spark, sf_dir).groupBy("run").agg(curve.alias("curve"))
     last = F.element_at("curve", -1)
     return rows.select("run", F.round(T.curve_curvature(F.col("curve")), 5).alias("curvature"), F.round(T.trial_score(last, F.col("curve"), F.lit(False)), 5).alias("score"), F.round(T.loss_reduction(F.col("curve")[0], last), 5).alias("reduction"))
 
@@ -255,7 +256,7 @@ def sweep_scores(spark, sf_dir):
 
 
 def lr_ablation_grid(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id < 50").withColumn("base", (F.col("event_id") + 1) * 1e-6)
+    rows = table(spark, sf_dir, "events").withColumn("base", (F.col("event_id") % 50 + 1) * 1e-6)
     return rows.select("event_id", F.posexplode(T.lr_grid(F.col("base"))).alias("pos", "lr")).select("event_id", "pos", F.round(F.col("lr") * 1e6, 4).alias("lr_micro"))
 
 
@@ -264,21 +265,26 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(f"{sf_dir}/events.parquet*")
 
 
-def _streamed(build, mode):
+def _streamed(build, mode, keys=()):
     def query(spark, sf_dir):
-        name = f"stream_{uuid.uuid4().hex}"
-        return P.run_once(build(_stream(spark, sf_dir)), name, mode, f"{scratch_dir(spark)}/{name}")
+        return P.run_once(build(_stream(spark, sf_dir)), mode, f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}", list(keys))
 
     return query
 
 
+def stream_spike_state(spark, sf_dir):
+    build = lambda s: P.spike_states(s.withColumnRenamed("user_id", "run"), z=2.0, warmup=20)
+    out = _streamed(build, "update", ["run"])(spark, sf_dir)
+    return out.select("run", "count", F.round("mean", 5).alias("mean"), F.round("var", 4).alias("var"), "spikes")
+
+
 QUERIES = {f.__name__: f for f in (
     loss_spikes, behavior_spikes, rolling_health, entropy_trend, divergence, plateau_ranges, best_checkpoint, patience_stop, noise_scale, critical_batch, loss_report, token_efficiency, parse_training_log,
     run_summary, parse_losses, corpus_loss, eval_multi_source, keep_latest_k, latest_checkpoint, gradient_report, weight_drift, layer_norms, step_metrics, spike_detector_fold, adagc_fold, source_weight_fold,
     ema_fold, parabola_fit, best_trial, coarse_candidates, horizon_correction, scaling_law_lr, early_stop, trial_scores, lr_schedule, seq_len_curriculum, layer_lr, chunk_counts, sweep_scores, lr_ablation_grid,
 )} | {
-    "stream_tumbling": _streamed(P.tumbling, "complete"), "stream_sliding": _streamed(P.sliding, "complete"), "stream_session": _streamed(P.sessions, "append"),
-    "stream_spike_state": _streamed(lambda s: P.spike_states(s.withColumnRenamed("user_id", "run"), z=2.0, warmup=20), "update"),
+    "stream_tumbling": _streamed(P.tumbling, "complete"), "stream_sliding": _streamed(P.sliding, "complete"), "stream_session": _streamed(P.sessions, "complete"),
+    "stream_spike_state": stream_spike_state,
 }
 
 _S = "s AS (SELECT user_id AS run, cast(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS bigint) AS step, value AS v, event_id, event_type FROM events)"
@@ -289,7 +295,13 @@ _TRIALS = """t AS (SELECT user_id % 20 AS sweep, event_id % 7 AS k, avg(value) A
     r AS (SELECT sweep, k, -6 + k * 0.4::double AS x, pow(-6 + k * 0.4::double + 4.6, 2) + 2 + CASE WHEN sweep % 4 = 0 THEN m / 10 ELSE m / 1000 END AS y, k = 6 AS diverged FROM t)"""
 _FOLD = "WITH RECURSIVE {0}, f AS (SELECT {1} FROM s WHERE step = 1 UNION ALL SELECT {2} FROM f JOIN s ON s.run = f.run AND s.step = f.step + 1) "
 _LAST = "(SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS k FROM f) WHERE k = 1"
-_SPIKE = """CASE WHEN s.step <= 20 THEN {warm} ELSE CASE WHEN z < 2.0 THEN {ema} ELSE {same} END END"""
+_SPIKES = """WITH RECURSIVE {0}, f AS (SELECT run, step, v AS mean, 0::double AS var, 0::bigint AS spikes FROM s WHERE step = 1 UNION ALL
+        SELECT run, step, CASE WHEN step <= 20 THEN mean + (x - mean) / step WHEN z < 2 THEN em ELSE mean END,
+               CASE WHEN step <= 20 THEN var + (x - mean) * (x - (mean + (x - mean) / step)) WHEN z < 2 THEN 0.99::double * v0 + 0.01::double * (x - em) * (x - em) ELSE v0 END,
+               CASE WHEN step > 20 AND z > 2 THEN spikes + 1 ELSE spikes END
+        FROM (SELECT q.*, 0.99::double * mean + 0.01::double * x AS em, (x - mean) / greatest(CASE WHEN sqrt(v0) < 1e-8 THEN abs(mean) * 0.1 ELSE sqrt(v0) END, 1e-300) AS z
+              FROM (SELECT s.run, s.step, s.v AS x, mean, var, spikes, CASE WHEN s.step = 21 THEN var / 20 ELSE var END AS v0 FROM f JOIN s ON s.run = f.run AND s.step = f.step + 1) q) y)
+        SELECT run, step AS count, round(mean, 5) AS mean, round(var, 4) AS var, spikes FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS k FROM f) WHERE k = 1"""
 ORACLE_SQL = {
     "loss_spikes": f"WITH {_H}, {_FIN}, w AS (SELECT run, v, avg(v) OVER p AS m, count(*) OVER p AS c FROM f WINDOW p AS (PARTITION BY run ORDER BY step ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) SELECT run, count(*) FILTER (c = 20 AND m > 0 AND v > 3 * m) AS spikes FROM w GROUP BY run",
     "behavior_spikes": f"WITH {_S}, w AS (SELECT run, step, v, avg(v) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM s) SELECT run, count(*) FILTER (step > 20 AND v > 3 * m) AS spikes FROM w GROUP BY run",
@@ -314,8 +326,8 @@ ORACLE_SQL = {
         e AS (SELECT *, greatest(1024, least(floor(r * 0.5 * 65536), 10000000)) AS t FROM a)
         SELECT run, n, round(r, 4) AS noise_ratio, CASE WHEN r IS NOT NULL THEN cast(t AS bigint) END AS estimated_tokens,
             CASE WHEN n < 10 THEN 'insufficient_data' WHEN r IS NULL THEN 'zero_gradients' WHEN 65536 / t > 2 THEN 'batch_too_large' WHEN 65536 / t < 0.3 THEN 'batch_too_small' ELSE 'batch_optimal' END AS advice FROM e""",
-    "loss_report": f"""WITH {_H}, x AS (SELECT * FROM h WHERE event_id % 97 <> 0) SELECT run, count(*) AS steps, arg_min(v, step) AS initial, arg_max(v, step) AS final, coalesce(min(v) FILTER (isfinite(v)), 0) AS lowest,
-        coalesce(max(v) FILTER (isfinite(v)), 0) AS highest, count(*) FILTER (isinf(v)) AS n_inf, count(*) FILTER (isinf(v)) = 0 AS healthy FROM x GROUP BY run""",
+    "loss_report": f"""WITH {_H}, x AS (SELECT *, nullif(v, 'nan'::double) AS w FROM h) SELECT run, count(*) AS steps, first(w ORDER BY step) AS initial, last(w ORDER BY step) AS final, coalesce(min(v) FILTER (isfinite(v)), 0) AS lowest,
+        coalesce(max(v) FILTER (isfinite(v)), 0) AS highest, count(*) FILTER (isnan(v)) AS n_nan, count(*) FILTER (isinf(v)) AS n_inf, count(*) FILTER (NOT isfinite(v)) = 0 AS healthy FROM x GROUP BY run""",
     "token_efficiency": f"WITH {_S} SELECT run, step, round(avg(v / greatest(v + 10, 1)) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS efficiency FROM s",
     "parse_training_log": f"WITH {_LOG} SELECT run, step, CASE WHEN NOT bad THEN v END AS loss, 1e-05::double AS lr, event_id::double AS tokens_per_sec, CASE WHEN run % 5 = 0 THEN 20.5 ELSE 0.5 END::double AS grad_norm, CASE WHEN run % 3 = 0 THEN 2.0 ELSE 0 END::double AS step_time FROM l WHERE NOT gone",
     "run_summary": f"""WITH {_LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS b, count(*) OVER (PARTITION BY run) AS n FROM l WHERE NOT gone AND NOT bad),
@@ -335,13 +347,8 @@ ORACLE_SQL = {
     "weight_drift": f"WITH {_S}, p AS (SELECT arg_max(v, step) AS l, arg_min(v, step) AS f FROM s GROUP BY run), d AS (SELECT abs(l - f) / greatest(abs(f), 1e-8) AS d FROM p) SELECT round(avg(d), 5) AS mean_drift, round(max(d), 5) AS max_drift, count(*) AS n FROM d",
     "layer_norms": f"WITH {_S}, p AS (SELECT run % 12 AS layer, avg(abs(v)) AS n FROM s GROUP BY 1) SELECT layer, round(n, 5) AS norm, round(max(n) OVER () / greatest(min(n) OVER (), 1e-8), 5) AS ratio FROM p",
     "step_metrics": f"WITH {_S} SELECT run, step // 10 AS \"window\", count(*) AS n, round(avg(v), 5) AS mean FROM s GROUP BY ALL",
-    "spike_detector_fold": f"""WITH RECURSIVE {_S}, f AS (SELECT run, step, v AS mean, 0::double AS var, 0::bigint AS spikes FROM s WHERE step = 1 UNION ALL
-        SELECT run, step, CASE WHEN step <= 20 THEN mean + (x - mean) / step WHEN z < 2 THEN em ELSE mean END,
-               CASE WHEN step <= 20 THEN var + (x - mean) * (x - (mean + (x - mean) / step)) WHEN z < 2 THEN 0.99::double * v0 + 0.01::double * (x - em) * (x - em) ELSE v0 END,
-               CASE WHEN step > 20 AND z > 2 THEN spikes + 1 ELSE spikes END
-        FROM (SELECT q.*, 0.99::double * mean + 0.01::double * x AS em, (x - mean) / greatest(CASE WHEN sqrt(v0) < 1e-8 THEN abs(mean) * 0.1 ELSE sqrt(v0) END, 1e-300) AS z
-              FROM (SELECT s.run, s.step, s.v AS x, mean, var, spikes, CASE WHEN s.step = 21 THEN var / 20 ELSE var END AS v0 FROM f JOIN s ON s.run = f.run AND s.step = f.step + 1) q) y)
-        SELECT run, step AS count, round(mean, 5) AS mean, round(var, 4) AS var, spikes FROM {_LAST}""",
+    "spike_detector_fold": _SPIKES.format(_S),
+    "stream_spike_state": _SPIKES.format(_S.replace("ORDER BY ts, event_id", "ORDER BY event_id")),
     "adagc_fold": _FOLD.format(_S, "run, step, v AS ema, 0::bigint AS clips", "s.run, s.step, CASE WHEN s.step < 20 THEN greatest(ema, s.v) WHEN s.v < 1e-12 THEN ema ELSE 0.95::double * ema + (1 - 0.95::double) * least(s.v, 1.5 * ema) END, CASE WHEN s.step >= 20 AND s.v > 1.5 * ema THEN clips + 1 ELSE clips END") + f"SELECT run, step AS n, round(ema, 5) AS ema, clips FROM {_LAST}",
     "source_weight_fold": _FOLD.format(_S, "run, step, 1.0::double AS w, v + 50 AS best, 0::bigint AS rises, 0::bigint AS decays",
         """s.run, s.step, CASE WHEN (s.v + 50 - best) / greatest(abs(best), 1e-8) < -0.01 THEN least(w * 1.15::double, 1.0) WHEN (s.v + 50 - best) / greatest(abs(best), 1e-8) > 0.01 THEN greatest(w * 0.7::double, 0.1::double) ELSE w END,
@@ -355,14 +362,14 @@ ORACLE_SQL = {
         z AS (SELECT *, mx - b / (2 * a) AS xm, (a * uuw + b * uw) / ww AS r2 FROM ab)
         SELECT sweep, n, CASE WHEN n >= 3 AND a > 0 AND xm >= lo - 1 AND xm <= hi + 1 AND r2 >= 0.7 THEN round(xm, 4) END AS log_lr, round(r2, 5) AS r2 FROM z""",
     "best_trial": f"WITH {_TRIALS} SELECT sweep, round(arg_min(x, CASE WHEN diverged THEN 'inf'::double ELSE y END), 5) AS log_lr, count(*) FILTER (NOT diverged) AS valid FROM r GROUP BY sweep",
-    "coarse_candidates": """WITH c AS (SELECT event_id, greatest(5e-6, least(5e-4, 8.5e-5 * pow(event_id % 13 + 0.5::double, -0.5) * (((event_id + 1) * 0.05::double) / pow(1 + (event_id + 1) * 0.05::double, 1.5) * pow(2.0::double, 1.5)))) AS c FROM events WHERE event_id < 100),
+    "coarse_candidates": """WITH c AS (SELECT event_id, greatest(5e-6, least(5e-4, 8.5e-5 * pow(event_id % 13 + 0.5::double, -0.5) * (((event_id % 100 + 1) * 0.05::double) / pow(1 + (event_id % 100 + 1) * 0.05::double, 1.5) * pow(2.0::double, 1.5)))) AS c FROM events),
         o AS (SELECT event_id, c, unnest([-1.2, -0.6, 0.0, 0.6, 1.2])::double AS d FROM c) SELECT event_id, round(d, 1) AS "offset", round(log10(greatest(1e-7, least(5e-3, pow(10, log10(c) + d)))), 5) AS log_lr FROM o""",
-    "horizon_correction": """WITH a AS (SELECT event_id, greatest(0.04::double, least(0.20::double, 0.088::double * 0.7::double + (event_id % 21 - 10) / 50.0::double * 0.5)) AS a FROM events WHERE event_id < 200)
-        SELECT event_id, round(a, 6) AS alpha, round(1e6 * CASE WHEN event_id * 37 <= 100 THEN 2e-5::double ELSE greatest(2e-5::double / 5, least(2e-5::double * 5, 2e-5::double * pow(100.0::double / (event_id * 37), a))) END, 6) AS lr_micro FROM a""",
-    "scaling_law_lr": "SELECT event_id, round(1e6 * greatest(1e-6, least(1e-4, 0.003::double * pow(event_id % 70 + 1, -0.5) * pow((event_id * 4096 + 4096) / 524288.0::double, -0.12) * pow((event_id * 10 + 10) / 5000.0::double, -0.1))), 5) AS lr_micro FROM events WHERE event_id < 300",
-    "early_stop": f"""WITH {_H}, c AS (SELECT run, list(v ORDER BY step) AS c FROM h WHERE step <= 12 GROUP BY run), d AS (SELECT *, len(c) AS n, c[len(c)] AS l, greatest(3, len(c) // 3) AS b FROM c)
-        SELECT run, CASE WHEN NOT isfinite(l) THEN true WHEN n < 6 THEN false ELSE (n >= b AND l > c[n - b + 1] * 1.1) OR (n >= 12 AND l > 30 * 1.05) OR (n >= 6 AND l >= c[1] * 0.99) END AS stop FROM d""",
-    "trial_scores": f"""WITH {_S}, c AS (SELECT run, list(v ORDER BY step) AS c FROM s WHERE step <= 9 GROUP BY run), d AS (SELECT *, len(c) AS n, CASE WHEN len(c) < 3 THEN 0 ELSE (c[1] + c[len(c)] - 2 * c[len(c) // 2 + 1]) / greatest(abs(c[1]), 1e-8) END AS k FROM c)
+    "horizon_correction": """WITH a AS (SELECT event_id, greatest(0.04::double, least(0.20::double, 0.088::double * 0.7::double + (event_id % 21 - 10) / 50.0::double * 0.5)) AS a, event_id % 200 AS m FROM events)
+        SELECT event_id, round(a, 6) AS alpha, round(1e6 * CASE WHEN m * 37 <= 100 THEN 2e-5::double ELSE greatest(2e-5::double / 5, least(2e-5::double * 5, 2e-5::double * pow(100.0::double / (m * 37), a))) END, 6) AS lr_micro FROM a""",
+    "scaling_law_lr": "SELECT event_id, round(1e6 * greatest(1e-6, least(1e-4, 0.003::double * pow(event_id % 70 + 1, -0.5) * pow((event_id % 300 * 4096 + 4096) / 524288.0::double, -0.12) * pow((event_id % 300 * 10 + 10) / 5000.0::double, -0.1))), 5) AS lr_micro FROM events",
+    "early_stop": f"""WITH {_H}, c AS (SELECT run, list(v ORDER BY step) AS c FROM h GROUP BY run), d AS (SELECT *, len(c) AS n, c[len(c)] AS l, greatest(3, len(c) // 3) AS b FROM c)
+        SELECT run, CASE WHEN NOT isfinite(l) THEN true WHEN n < 5 THEN false ELSE (n >= b AND l > c[n - b + 1] * 1.1) OR l > 30 * 1.05 OR l >= c[1] * 0.99 END AS stop FROM d""",
+    "trial_scores": f"""WITH {_S}, c AS (SELECT run, list(v ORDER BY step) AS c FROM s GROUP BY run), d AS (SELECT *, len(c) AS n, CASE WHEN len(c) < 3 THEN 0 ELSE (c[1] + c[len(c)] - 2 * c[len(c) // 2 + 1]) / greatest(abs(c[1]), 1e-8) END AS k FROM c)
         SELECT run, round(k, 5) AS curvature, round(c[n] + greatest(0, k) * 0.1, 5) AS score, round(CASE WHEN c[1] <= 0 THEN '-inf'::double ELSE (c[1] - c[n]) / c[1] END, 5) AS reduction FROM d""",
     "lr_schedule": """WITH t AS (SELECT i AS step, least((i - 20) / 180.0::double, 1) AS p FROM range(201) r(i))
         SELECT step, round(CASE WHEN step < 20 THEN step / 20.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * p)) END, 6) AS cosine, round(CASE WHEN step < 20 THEN step / 20.0 ELSE greatest(0.1, 1 - p * 0.9) END, 6) AS linear,
@@ -372,7 +379,10 @@ ORACLE_SQL = {
     "layer_lr": "SELECT i AS layer, round(1e-4::double * pow(0.9::double, 32 - i) * 1e6, 6) AS lr_micro FROM range(33) r(i)",
     "chunk_counts": "WITH g AS (SELECT doc_id, n_chars * 152064.0::double * 4 / 1e9 AS g FROM documents) SELECT doc_id, cast(greatest(1, least(64, ceil(g / 2))) AS bigint) AS chunks, cast(least(64, pow(2, ceil(log2(greatest(1, least(64, ceil(g))))))) AS bigint) AS even_chunks FROM g",
     "sweep_scores": "WITH x AS (SELECT event_type AS config, event_id, value + CASE WHEN event_id % 10 > 3 THEN (event_id % 10) / 10.0::double ELSE 0 END AS s FROM events) SELECT config, round(min(s), 4) AS score, (array_agg(event_id ORDER BY s, event_id))[1] AS best FROM x GROUP BY config",
-    "lr_ablation_grid": "SELECT event_id, cast(p AS int) AS pos, round((event_id + 1) * [0.5, 1.0, 2.0, 5.0][p + 1]::double, 4) AS lr_micro FROM events, range(4) r(p) WHERE event_id < 50",
+    "lr_ablation_grid": "SELECT event_id, cast(p AS int) AS pos, round((event_id % 50 + 1) * [0.5, 1.0, 2.0, 5.0][p + 1]::double, 4) AS lr_micro FROM events, range(4) r(p)",
     "stream_tumbling": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "stream_session": """WITH p AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR, true) AS new FROM events),
+        g AS (SELECT *, sum(new::int) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM p)
+        SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, g""",
     "stream_sliding": "WITH d AS (SELECT value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS d FROM events) SELECT CASE WHEN date_diff('day', DATE '1970-01-01', d::date) % 1 = 0 THEN d END AS start, count(*) AS n, round(avg(value), 4) AS mean FROM d GROUP BY ALL",
 }

@@ -61,7 +61,7 @@ def drop_last(spark, sf_dir):
 
 
 def greedy_batches(spark, sf_dir):
-    return packing.greedy_batches(_seqs(spark, sf_dir), 16, 4096).groupBy("fold", "batch").agg(F.count(F.lit(1)).alias("rows"), F.max("length").alias("longest"))
+    return packing.greedy_batches(_seqs(spark, sf_dir), 16, 4096).groupBy("batch").agg(F.count(F.lit(1)).alias("rows"), F.max("length").alias("longest"))
 
 
 def collate_padding(spark, sf_dir):
@@ -217,10 +217,10 @@ ORACLE_SQL = {
     "pad_efficiency": f"WITH {_SEQ}, {_GRP.format(4, 64)} SELECT cast(sum(tokens) AS bigint) AS tokens, cast(sum(rows * ceil(longest / 64) * 64) AS bigint) AS padded, round(sum(tokens) / sum(rows * ceil(longest / 64) * 64), 4) AS efficiency FROM b",
     "drop_last": f"WITH {_SEQ}, {_GRP.format(7, 63)} SELECT buffer, count(*) AS batches, cast(sum(rows) AS bigint) AS rows FROM b WHERE rows = 7 GROUP BY buffer",
     "greedy_batches": f"""WITH RECURSIVE {_SEQ}, o AS (SELECT n, row_number() OVER (ORDER BY n, seq_id) - 1 AS i FROM s),
-        f AS (SELECT i, n, i // 4096 AS fold, 0::bigint AS batch, 1 AS size FROM o WHERE i = 0 UNION ALL
-              SELECT o.i, o.n, o.i // 4096, CASE WHEN o.i // 4096 > fold THEN 0 WHEN size >= 16 OR (size + 1) * o.n > 4096 THEN batch + 1 ELSE batch END,
-                     CASE WHEN o.i // 4096 > fold OR size >= 16 OR (size + 1) * o.n > 4096 THEN 1 ELSE size + 1 END FROM f JOIN o ON o.i = f.i + 1)
-        SELECT fold, batch, count(*) AS rows, max(n) AS longest FROM f GROUP BY ALL""",
+        f AS (SELECT i, n, 0::bigint AS batch, 1 AS size FROM o WHERE i = 0 UNION ALL
+              SELECT o.i, o.n, CASE WHEN size >= 16 OR (size + 1) * o.n > 4096 THEN batch + 1 ELSE batch END,
+                     CASE WHEN size >= 16 OR (size + 1) * o.n > 4096 THEN 1 ELSE size + 1 END FROM f JOIN o ON o.i = f.i + 1)
+        SELECT batch, count(*) AS rows, max(n) AS longest FROM f GROUP BY batch""",
     "collate_padding": f"""WITH t AS (SELECT doc_id, doc_id // 4 AS b, {_TOKS} AS ls FROM documents), w AS (SELECT *, cast(ceil(max(len(ls)) OVER (PARTITION BY b) / 16) * 16 AS int) AS width FROM t)
         SELECT doc_id, width, cast(len(ls) AS bigint) AS valid, cast(list_sum(ls) - 100 * (width - len(ls)) AS bigint) AS label_sum FROM w""",
     "cp_shards": "WITH x AS (SELECT vec_id, unnest(embedding)::double AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT vec_id, cast(i // 8 AS int) AS rank, cast(count(*) AS int) AS n, round(sum(v), 6) AS part_sum FROM x GROUP BY vec_id, i // 8",

@@ -96,6 +96,22 @@ def find_prepared(spark: SparkSession, folder: str, name: str = PREPARED) -> str
     return None
 
 
+def first_read(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows in the order of the files, the same ones each time."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(n).drop("_at")
+
+
+def read_history(spark: SparkSession, path: str, metric: str = "train/loss", step: str = "train/global_step") -> DataFrame:
+    """(run, step, value) of a metric from the rows that a MetricSink wrote, or from a table with a column for each metric;
+    steps without the metric are left out."""
+    rows = spark.read.parquet(path)
+    if "metric" in rows.columns:
+        return rows.filter(F.col("metric") == metric).select("run", "step", "value").na.drop(subset=["value"])
+    at = F.col(f"`{step}`") if step in rows.columns else F.monotonically_increasing_id()
+    run = F.col("run") if "run" in rows.columns else F.lit("")
+    return rows.select(run.alias("run"), at.cast("bigint").alias("step"), F.col(f"`{metric}`").alias("value")).na.drop(subset=["value"])
+
+
 def read_eval_source(spark: SparkSession, source: dict, schema: StructType | str) -> DataFrame:
     """One evaluation source; a name that cannot be read falls back to its local JSON lines, else to no rows.
 
@@ -106,7 +122,7 @@ def read_eval_source(spark: SparkSession, source: dict, schema: StructType | str
     for path in (source.get("dataset"), source.get("local")):
         if path:
             try:
-                return resolve(spark, path, source.get("split", "test"), schema=schema).limit(int(source.get("samples", 200)))
+                return resolve(spark, path, source.get("split", "test"), schema=schema).transform(first_read, int(source.get("samples", 200)))
             except (AnalysisException, OSError):
                 continue
     return empty

@@ -84,8 +84,11 @@ def materialize(build: Callable[[], DataFrame], spark: SparkSession, folder: str
         if count == 0:
             delete(spark, fresh)
             raise ValueError("no sequence to cache")
-        delete(spark, f"{base}/tokens.parquet")
+        old = f"{base}/.replaced-{uuid.uuid4().hex}"
+        if exists(spark, f"{base}/tokens.parquet"):
+            rename(spark, f"{base}/tokens.parquet", old)  # kept until the new one is in its place
         rename(spark, fresh, f"{base}/tokens.parquet")
+        delete(spark, old)
         write_manifest(spark.createDataFrame([(expected, count)], "fingerprint string, count bigint"), f"{base}/cache_meta.json")
     return spark.read.parquet(f"{base}/tokens.parquet")
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tunemill.operators.stateful import SPIKE_START, spike_step
+
 
 def with_event_time(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Event time as a timestamp, which a watermark needs, and the watermark."""
@@ -26,6 +28,7 @@ def sliding(stream: DataFrame, width: str = "2 days", slide: str = "1 day", ts:
 
 
 def sessions(stream: DataFrame, gap: str = "6 hours", ts: str = "ts", key: str = "user_id") -> DataFrame:
+    """Sessions of each key. In append mode those that the watermark has closed; in complete mode the open ones too."""
     out = with_event_time(stream, ts).groupBy(F.session_window(ts, gap), key).agg(F.count(F.lit(1)).alias("n"))
     return out.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
@@ -41,22 +44,10 @@ def spike_states(stream: DataFrame, run: str = "run", order: str = "event_id", v
     Rows of a micro-batch are taken in `order`."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, mean, var, spikes = state.get if state.exists else (0, 0.0, 0.0, 0)
+        found = tuple(state.get) if state.exists else SPIKE_START
         for x in pd.concat(list(batches)).sort_values(order)[value]:
-            count += 1
-            if count <= warmup:
-                old = mean
-                mean = x if count == 1 else mean + (x - mean) / count
-                var = 0.0 if count == 1 else var + (x - old) * (x - mean)
-                continue
-            if count == warmup + 1:
-                var /= max(count - 1, 1)
-            std = var**0.5
-            score = (x - mean) / max(std if std >= 1e-8 else abs(mean) * 0.1, 1e-300)
-            if score < z:
-                mean = decay * mean + (1 - decay) * x
-                var = decay * var + (1 - decay) * (x - mean) ** 2
-            spikes += score > z
+            found = spike_step(found, x, z, warmup, decay)
+        count, mean, var, spikes = found
         state.update((count, float(mean), float(var), int(spikes)))
         yield pd.DataFrame({run: [key[0]], "count": [count], "mean": [mean], "var": [var], "spikes": [spikes]})
 
@@ -65,8 +56,21 @@ def spike_states(stream: DataFrame, run: str = "run", order: str = "event_id", v
     return stream.groupBy(run).applyInPandasWithState(update, f"{run} {kind}, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything available, into an in-memory table, with the progress kept in `checkpoint`."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, mode: str, folder: str, keys: list[str]) -> DataFrame:
+    """The result for everything that is available, as a table in `folder`, which driver and executors share; the
+    progress is kept beside it, so that a later call goes on from there.
+
+    Each micro-batch is written by the executors. In complete mode the last batch holds the result, in append mode all
+    of them do; in update mode it is each key's row of the last batch that has the key."""
+    out = f"{folder}/batches"
+    write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(out)
+    if mode == "append":
+        return rows.drop("batch")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.filter(F.col("batch") == F.lit(last)).drop("batch")
+    values = [c for c in stream.columns if c not in keys]
+    last_row = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return last_row.select(*keys, "_v.*").select(*stream.columns)
