@@ -52,11 +52,11 @@ def brute(rows, order, mu):
     return out
 
 
-@pytest.mark.parametrize("order,block", [(2, 1 << 22), (2, 500), (3, 2000)])
+@pytest.mark.parametrize("order,block", [(1, 900), (2, 500), (3, 1 << 22), (3, 2000), (4, 1500)])
 def test_against_brute_force(spark, order, block):
-    rows, mu = rows_of(), (None, None, 8.0, 3.0)
+    rows, mu = rows_of(), (None, None, 8.0, 3.0, 3.0)
     df = spark.createDataFrame([(i, t, 0.0) for i, t in rows], SCHEMA)
-    got = lm.score_texts(df, HELD, order=order, mu=mu, block_bytes=block).collect()
+    got = lm.score_texts(df, HELD, order=order, mu=mu[:4], block_bytes=block).collect()
     want = sorted(((i, *x) for (i, _), x in zip(rows, brute(rows, order, mu), strict=True)), key=lambda x: (str(x[0]), x[2], x[5]))
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=lambda x: (str(x[0]), x[2], x[5]))
     assert [x[:5] for x in got] == [x[:5] for x in want]
@@ -90,3 +90,21 @@ def test_empty(spark):
     assert lm.score_texts(spark.createDataFrame([], SCHEMA), HELD).collect() == []
     one = lm.score_texts(spark.createDataFrame([(16, "a b", 0.0)], SCHEMA), lambda n: F.lit(True)).first()
     assert (one.n_tokens, one.n_known, one.train_tokens, one.base_score) == (3, 0, 0, 0.0)
+
+
+def test_sorted_hashes_are_sent_whole():
+    rng = np.random.default_rng(3)
+    for n, bits in ((1, 44), (7, 20), (5000, 44), (5000, 24), (300, 62)):
+        v = np.unique(rng.integers(0, 1 << bits, n, dtype=np.uint64))
+        for low in (3, 6):
+            if bits - 8 * low < 20:
+                assert (lm._decoded(lm._encoded(v, low), low) == v).all()
+    for total in (0, 1, 1 << 20, 1 << 30, 1 << 47):
+        bits, low = lm._bits(total, lm.BLOCK_BYTES)
+        assert min(64, total.bit_length() + lm.SPARE_BITS) <= bits <= 64 and low <= 8
+
+
+def test_the_start_is_a_state_that_training_texts_pass(spark):
+    texts = [(i, "a b", 0.0) for i in range(30) if zlib.crc32(str(i).encode()) % 7 != 2] + [(100 + i, t, 0.0) for i, t in enumerate(["a b", "b a"])]
+    got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(texts, SCHEMA), lambda n: n.cast("long") >= 100, mu=(None, None, 1.0)).collect()}
+    assert got[100] > -0.2 and got[101] < got[100] - 2
