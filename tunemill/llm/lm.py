@@ -87,8 +87,13 @@ def _decoded(data: bytes, low: int) -> np.ndarray:
     return np.cumsum(d.view(np.uint64).ravel() | rest << np.uint64(8 * low), dtype=np.uint64)
 
 
-def _packed(a: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
+def _packed(counts: np.ndarray) -> bytes:
+    """32-bit counts, all their lowest bytes first; the higher ones are nearly all zero."""
+    return zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
 
 
 def _totals(rows: DataFrame) -> tuple[int, int, int]:
@@ -169,7 +174,7 @@ def score_texts(
         """Counts over all blocks, in the order of each question."""
         blocks = table.column("block").to_pylist()
         hashes = [np.frombuffer(h, np.uint64) if n == 1 else _decoded(h, low) for h, n in zip(table.column("hashes").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        counts = [np.frombuffer(zlib.decompress(c), np.uint32) for c in table.column("counts").to_pylist()]
+        counts = [_unpacked(c) for c in table.column("counts").to_pylist()]
         sizes = [len(h) for h in hashes]
         _, place = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.bincount(place, np.concatenate(counts)).astype(np.uint32)
@@ -183,7 +188,7 @@ def score_texts(
         got = arcs.select(["n", "range", "counts"]).sort_by([("n", "ascending"), ("range", "ascending")]).to_pylist()
         counts, places = [], []
         for n, g in enumerate(per_order, 1):
-            whole = np.concatenate([np.frombuffer(zlib.decompress(x["counts"]), np.uint32) for x in got if x["n"] == n] or [np.zeros(0, np.uint32)]).astype(np.int64)
+            whole = np.concatenate([_unpacked(x["counts"]) for x in got if x["n"] == n] or [np.zeros(0, np.uint32)]).astype(np.int64)
             counts.append(whole)
             places.append(np.unique(kept_bits(g, n), return_inverse=True)[1])
         begins = np.cumsum(n_tokens) - n_tokens
