@@ -6,7 +6,7 @@ import pytest
 
 from tunemill.llm import substrings
 
-SCHEMA = "doc_id long, text string, n_bytes int"
+SCHEMA = "doc_id long, text string, n_bytes int, block int"
 
 
 def brute(rows):
@@ -36,13 +36,14 @@ def rows_of():
     return rows + [(3, rows[3][1]), (None, shared[2]), (None, shared[2]), (5, "other " * 40)]
 
 
-@pytest.mark.parametrize("block,hot", [(1 << 22, 16384), (3000, 2)])
-def test_against_brute_force(spark, monkeypatch, block, hot):
+@pytest.mark.parametrize("block,hot,parts", [(1 << 22, 16384, 256), (3000, 2, 256), (3000, 2, 3)])
+def test_against_brute_force(spark, monkeypatch, block, hot, parts):
+    monkeypatch.setattr(substrings, "PARTS", parts)
     monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
     monkeypatch.setattr(substrings, "RANGE_BYTES", 4 * block)
     monkeypatch.setattr(substrings, "HOT", hot)
     rows = rows_of()
-    df = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA)
     got = substrings.remove_repeats(df).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)

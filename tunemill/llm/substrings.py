@@ -6,6 +6,10 @@ equal windows have equal minimizers. Neighbouring windows with one minimizer for
 is in one segment. Blocks of documents first ask which minimizers occur elsewhere; only segments with such
 a minimizer are shuffled, by minimizer.
 
+A window of a minimizer that stands in very many segments goes by its own 128-bit hash instead, without its bytes: all
+that is asked of it is where it stands first. Such places are combined in two steps, by (hash, part of the blocks) and by
+hash, so that a string which every block holds reaches no task with more rows than there are parts.
+
 A task collapses equal segments, joins the different ones of its minimizers into one text, and builds its
 Burrows-Wheeler transform. Breadth-first backward extension of intervals, from the empty string on, sets
 each longest common prefix of neighbouring suffixes in increasing order: an interval that ends where nothing
@@ -18,9 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +36,8 @@ from tunemill.llm.shingles import mixed
 LENGTH, GRAM = 100, 32
 #: Text of a block, text to a hash range of minimizers, and bytes that one transform takes (more only for one minimizer).
 BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 2 << 20, 16 << 20, 1 << 19
-#: Segments of one minimizer from which each of its windows goes by its own hash instead.
-HOT = 16384
+#: Segments of one minimizer from which each of its windows goes by its own hash instead, and parts of the blocks for these.
+HOT, PARTS = 16384, 256
 _BASE = 0x100000001B3
 _SLICE = 1 << 18
 
@@ -268,8 +274,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for i in np.flatnonzero(state > 0).tolist():  # by document and start, so the first copy is the earliest
             o, lo, hi = int(owner[i]), int(first[i]), int(last[i]) + LENGTH
             for s, e in ((lo, hi),) if state[i] == 1 else ((x, x + LENGTH) for x in range(lo, hi - LENGTH + 1)):
-                part = data[s:e]
-                key = int(signed[i]) if state[i] == 1 else xxhash.xxh3_64_intdigest(part) - (1 << 63)
+                part = data[s:e] if state[i] == 1 else xxhash.xxh3_128_digest(data[s:e])
+                key = int(signed[i]) if state[i] == 1 else int.from_bytes(part[:8], "little", signed=True)
                 if (key, part) in seen:
                     if copies and copies[-1][0] == o and s <= copies[-1][2]:
                         copies[-1][2] = max(copies[-1][2], e)
@@ -282,6 +288,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             put(None, o, s, e, None)
         return pa.table(out, schema=sent)
 
+    def first_places(last: bool) -> Callable[[pa.Table], pa.Table]:
+        """Of the rows of each hot window all but the earliest are repeated; the earliest goes on, but after the last step."""
+
+        def run(table: pa.Table) -> pa.Table:
+            rows = table.select(sent.names).sort_by([(c, "ascending") for c in ("hash", "part", "doc", "row", "lo")]).combine_chunks()
+            if not rows.num_rows:
+                return rows
+            key = np.frombuffer(b"".join(rows.column("part").to_pylist()), np.uint64).reshape(-1, 2)
+            first = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
+            later = pa.array(~first)
+            hashes = pc.if_else(later, pa.scalar(None, pa.int64()), rows.column("hash"))
+            rows = rows.set_column(0, "hash", hashes).set_column(6, "part", pc.if_else(later, pa.scalar(None, pa.binary()), rows.column("part")))
+            return (rows.filter(later) if last else rows).cast(sent)
+
+        return run
+
     sent = pa.schema([("hash", pa.int64()), ("block", pa.int32()), ("row", pa.int32()), ("doc", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.binary())])
 
     def expand(table: pa.Table) -> pa.Table:
@@ -359,7 +381,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = rows.groupBy("block").applyInArrow(ask, "range int, block int, hashes binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(answer, "block int, range int, state binary")
     found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "hash long, block int, row int, doc long, lo int, hi int, part binary")
+    found = found.withColumn("hot", F.octet_length("part") < LENGTH)
+    columns = "hash long, block int, row int, doc long, lo int, hi int, part binary"
+    spot = F.pmod(F.xxhash64("part"), F.lit(1 << range_bits))
+    hot = found.filter("hot").withColumn("spot", spot).withColumn("share", F.pmod(F.col("block"), F.lit(PARTS)) if n_blocks > PARTS else F.lit(0))
+    if n_blocks > PARTS:
+        hot = hot.groupBy("spot", "share").applyInArrow(first_places(False), columns)
+        settled = hot.filter("hash is null").select(*_FLAGS.names)
+        hot = hot.filter("hash is not null").withColumn("spot", spot)
+    late = hot.groupBy("spot").applyInArrow(first_places(True), columns).select(*_FLAGS.names)
+    found = found.filter("hot is null OR NOT hot").drop("hot")
     bucket = F.pmod(F.when(F.col("hash").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("block", "row")), F.lit(8 << range_bits))
     flags = found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(expand, "block int, row int, lo int, hi int")
+    flags = flags.unionByName(late).unionByName(settled) if n_blocks > PARTS else flags.unionByName(late)
     out = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out
