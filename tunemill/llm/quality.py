@@ -128,9 +128,10 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
 
 
 def _sample(rows: DataFrame, n: int) -> np.ndarray:
-    """About SAMPLE of the n rows, by a hash of the id."""
-    part = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))))
-    got = part.orderBy(F.xxhash64("doc_id")).select("x").toPandas()["x"]
+    """About SAMPLE of the n rows, by a hash of id and features; never over twice as many, however often rows repeat."""
+    point = F.xxhash64("doc_id", "x", F.lit(11))
+    part = rows.filter(F.pmod(point, F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))))
+    got = part.orderBy(point).limit(2 * SAMPLE).select("x").toPandas()["x"]
     return np.stack(got.to_list()).astype(np.float32) if len(got) else np.zeros((0, len(NAMES)), np.float32)
 
 
@@ -142,18 +143,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per document: doc_id, held_out, score, predicted.
 
     Labels of held-out rows (fold 0) are not read. Null text counts as empty and gets the score of empty texts.
-    Labels that are null, or whose id is null or has no document, are not used; several labels of an id count
-    by the largest. Rows with equal or null ids are scored one by one. With no usable label the score is 0.5; an
+    Labels that are null, or whose id is null or has no document, are not used, also not for the prior, which is the
+    share of good ones among the labels of training documents; several labels of an id count by the largest. Texts of
+    any length are read whole; equal texts get equal scores. Other columns are not read, whatever their names. Rows with equal or null ids are scored one by one. With no usable label the score is 0.5; an
     empty table gives an empty result. Scores read the text alone.
     """
     table = written(feature_table(docs, id_col, text_col), "quality-features")
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
-    known = known.groupBy("doc_id").agg(F.max(label_col).alias("label"))
+    train = table.filter(fold(F.col("doc_id"), folds) != 0)
+    known = known.groupBy("doc_id").agg(F.max(label_col).alias("label")).join(train.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = written(known, "quality-labels")
     got = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.col("label") == 1).cast("long")), F.lit(0)).alias("good")).first()
     prior = PRIOR_MARGIN * (got.good + 1) / (got.n + 2)
-    train = table.filter(fold(F.col("doc_id"), folds) != 0)
-    positive = train.join(known.filter("label = 1").select("doc_id"), "doc_id", "left_semi")
-    model = fit_nnpu(_sample(positive, got.good), _sample(train, table.count()), prior) if got.good else Model(np.zeros((len(NAMES), BINS - 1), np.float32), np.zeros((len(NAMES), BINS)), 0.0, 0.5)
+    positive = written(train.join(small(known.filter("label = 1").select("doc_id")), "doc_id", "left_semi"), "quality-positives")
+    model = fit_nnpu(_sample(positive, positive.count()), _sample(train, table.count()), prior) if got.good else Model(np.zeros((len(NAMES), BINS - 1), np.float32), np.zeros((len(NAMES), BINS)), 0.0, 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

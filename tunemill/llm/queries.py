@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunemill.llm import ann, bpe, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings, surrogates
+from tunemill.session import spread
 
 
 #: The registered query's key; a user passes a secret one to replace_private.
@@ -15,7 +16,8 @@ SURROGATE_KEY = "registered-query"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def tokenizer_ranks(name: str = "byte_bpe_50k.tiktoken") -> str:
