@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tunemill.llm import bpe, exact_dedup, jaccard, mixing, quality
 from tunemill.llm.queries import tokenizer_ranks
-from tunemill.session import written
+from tunemill.session import spread, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
