@@ -36,9 +36,9 @@ def rows_of():
     return rows + [(3, rows[3][1]), (None, shared[2]), (None, shared[2]), (5, "other " * 40)]
 
 
-@pytest.mark.parametrize("block,hot,parts", [(1 << 22, 16384, 256), (3000, 2, 256), (3000, 2, 3)])
-def test_against_brute_force(spark, monkeypatch, block, hot, parts):
-    monkeypatch.setattr(substrings, "PARTS", parts)
+@pytest.mark.parametrize("block,hot,share", [(1 << 22, 16384, 256), (3000, 2, 256), (3000, 2, 7)])
+def test_against_brute_force(spark, monkeypatch, block, hot, share):
+    monkeypatch.setattr(substrings, "PART_BLOCKS", share)
     monkeypatch.setattr(substrings, "BLOCK_BYTES", block)
     monkeypatch.setattr(substrings, "RANGE_BYTES", 4 * block)
     monkeypatch.setattr(substrings, "HOT", hot)

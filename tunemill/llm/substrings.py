@@ -7,8 +7,9 @@ is in one segment. Blocks of documents first ask which minimizers occur elsewher
 a minimizer are shuffled, by minimizer.
 
 A window of a minimizer that stands in very many segments goes by its own 128-bit hash instead, without its bytes: all
-that is asked of it is where it stands first. Such places are combined in two steps, by (hash, part of the blocks) and by
-hash, so that a string which every block holds reaches no task with more rows than there are parts.
+that is asked of it is where it stands first. Each block names a window once. From PART_BLOCKS blocks on (half a terabyte of
+text), such places are combined in two steps, by (hash, share of the blocks) and by hash, so that a string which every
+block holds reaches no task with more rows than that; the blocks are then searched twice, once for these windows.
 
 A task collapses equal segments, joins the different ones of its minimizers into one text, and builds its
 Burrows-Wheeler transform. Breadth-first backward extension of intervals, from the empty string on, sets
@@ -36,8 +37,10 @@ from tunemill.llm.shingles import mixed
 LENGTH, GRAM = 100, 32
 #: Text of a block, text to a hash range of minimizers, and bytes that one transform takes (more only for one minimizer).
 BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 2 << 20, 16 << 20, 1 << 19
-#: Segments of one minimizer from which each of its windows goes by its own hash instead, and parts of the blocks for these.
-HOT, PARTS = 16384, 256
+#: Segments of one minimizer from which each of its windows goes by its own hash instead.
+HOT = 16384
+#: Blocks whose places of such a window meet in one task; with more blocks they meet share by share first.
+PART_BLOCKS = 1 << 18
 _BASE = 0x100000001B3
 _SLICE = 1 << 18
 
@@ -381,18 +384,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     asked = rows.groupBy("block").applyInArrow(ask, "range int, block int, hashes binary, counts binary")
     answers = asked.groupBy("range").applyInArrow(answer, "block int, range int, state binary")
     found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "hash long, block int, row int, doc long, lo int, hi int, part binary")
-    found = found.withColumn("hot", F.octet_length("part") < LENGTH)
-    columns = "hash long, block int, row int, doc long, lo int, hi int, part binary"
-    spot = F.pmod(F.xxhash64("part"), F.lit(1 << range_bits))
-    hot = found.filter("hot").withColumn("spot", spot).withColumn("share", F.pmod(F.col("block"), F.lit(PARTS)) if n_blocks > PARTS else F.lit(0))
-    if n_blocks > PARTS:
-        hot = hot.groupBy("spot", "share").applyInArrow(first_places(False), columns)
-        settled = hot.filter("hash is null").select(*_FLAGS.names)
-        hot = hot.filter("hash is not null").withColumn("spot", spot)
-    late = hot.groupBy("spot").applyInArrow(first_places(True), columns).select(*_FLAGS.names)
-    found = found.filter("hot is null OR NOT hot").drop("hot")
+    late = None
+    if n_blocks > PART_BLOCKS:
+        columns = "hash long, block int, row int, doc long, lo int, hi int, part binary"
+        spot = F.pmod(F.xxhash64("part"), F.lit(8 << range_bits))
+        hot = found.filter(F.octet_length("part") < LENGTH).withColumn("spot", spot).withColumn("share", F.expr(f"block div {PART_BLOCKS}"))
+        first = hot.groupBy("spot", "share").applyInArrow(first_places(False), columns)
+        last = first.filter("hash is not null").withColumn("spot", spot).groupBy("spot").applyInArrow(first_places(True), columns)
+        late = first.filter("hash is null").unionByName(last).select(*_FLAGS.names)
+        found = found.filter((F.octet_length("part") >= LENGTH) | F.col("part").isNull())
     bucket = F.pmod(F.when(F.col("hash").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("block", "row")), F.lit(8 << range_bits))
     flags = found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(expand, "block int, row int, lo int, hi int")
-    flags = flags.unionByName(late).unionByName(settled) if n_blocks > PARTS else flags.unionByName(late)
+    flags = flags.unionByName(late) if late is not None else flags
     out = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out
