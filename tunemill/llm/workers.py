@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,11 +10,20 @@ import pyarrow as pa
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+def release() -> None:
+    """Gives what Arrow and, where the C library can, the allocator hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def releasing(run: Run) -> Run:
-    """run, and when it has ended, Arrow's unused memory goes back to the system."""
+    """run, and when it has ended, unused memory goes back to the system."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        release()
 
     return wrapped
