@@ -64,6 +64,27 @@ def test_against_brute_force(spark, tile):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
 
 
+def test_boilerplate_asks_few_tiles(spark):
+    rng = random.Random(3)
+    heads, docs = [], []
+    for k in range(400):  # pairs share an n-gram of their own, all of one size class one of boilerplate
+        docs.append((k, 0, k % 40, 100 if k % 2 else 300))
+        heads += [(k, 1000 + k // 4 * 2 + k % 2), (k, k % 2)]
+    rng.shuffle(heads)
+    docs_df = spark.createDataFrame(docs, "node long, block long, tile int, n long")
+    every = spark.createDataFrame(heads, "node long, gram long")
+    own = every.filter("gram >= 1000")
+    size = {d[0]: d[3] for d in docs}
+    for table, ratio in ((own, 20), (every, 2)):
+        grams = {}
+        for r in table.collect():
+            grams.setdefault(r.gram, []).append(r.node)
+        want = {(a, b % 40) for g in grams.values() for a in g for b in g if 0.8 * size[a] <= size[b] <= size[a] / 0.8}
+        got = jaccard.asked_tiles(docs_df, docs_df, table, 80).collect()
+        assert sorted((r.node, r.tile) for r in got) == sorted(want)
+        assert len(got) <= 400 * 40 // ratio
+
+
 def test_overlaps_equal_set_intersections():
     rng = np.random.default_rng(1)
     a = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(30)]

@@ -14,8 +14,9 @@ larger one's n n-grams, so
 
 A block over TILE documents is cut into tiles. First every tile is multiplied by the block's pivots, the
 documents whose n-grams are the most frequent; a large group of near copies thereby turns into one component.
-Then only what that component does not hold is multiplied by all tiles: pairs within a component need no
-test. Equal sets are one row of the matrix from the start.
+Pairs within that component need no test. What it does not hold is multiplied by those tiles alone that hold a
+document which shares one of the first n-grams of 3. and has a size within the bounds, so a block that boilerplate
+connects costs what its documents share, not its square. Equal sets are one row of the matrix from the start.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunemill.functions.skew import hot_safe_join
 from tunemill.llm.components import connected_components
 from tunemill.llm.names import fresh
 from tunemill.llm.shingles import Words, grams, mixed, tokens
@@ -239,7 +241,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bucket = F.pmod(F.xxhash64("block"), F.lit(1 + n_sets // BUCKET))
     links = members.filter(F.col("size") <= tile).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(product, "a long, b long")
     if not sizes.filter(F.col("size") > tile).isEmpty():
-        links = links.union(_tiled(members.filter(F.col("size") > tile), percent, tile))
+        links = links.union(_tiled(members.filter(F.col("size") > tile), heads2, percent, tile))
     found = connected_components(links.filter("a <> b"))
     named = sets.select("node", "n", "d1", "d2", "doc_id").join(found, "node")
     least_id = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -256,8 +258,23 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _tiled(members: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Links (a, b) that connect what the links within large blocks connect."""
+def asked_tiles(rest: DataFrame, docs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(node, block, tile), without repeats: the tiles that may hold a partner of each document of rest.
+
+    rest and docs: node, block, n, docs also tile; heads: node, gram. Two linked documents share an n-gram of
+    their heads, and neither has under `percent` of the other's size, so no link is lost. An n-gram's list has
+    one entry for a tile, however many documents share it."""
+    asks = written(heads.join(rest.select("node", "block", "n"), "node"), "near-asks")
+    held = heads.join(asks.select("gram").distinct(), "gram", "left_semi").join(docs.select("node", "tile", "n"), "node")
+    held = held.groupBy("gram", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    held = held.groupBy("gram").agg(F.collect_list(F.struct("tile", "least", "most")).alias("held"))
+    met = hot_safe_join(asks, written(held, "near-held"), ["gram"], "inner")
+    fits = lambda h: (100 * h["most"] >= percent * F.col("n")) & (percent * h["least"] <= 100 * F.col("n"))
+    return met.select("node", "block", F.explode(F.transform(F.filter("held", fits), lambda h: h["tile"])).alias("tile")).distinct()
+
+
+def _tiled(members: DataFrame, heads: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Links (a, b) that connect what the links within large blocks connect. heads: node, gram."""
     docs = members.withColumn("tiles", F.expr(f"cast(ceil(size / {tile}) as int)")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     by_weight = Window.partitionBy("block").orderBy(F.desc("weight"), "node")
     pivots = docs.withColumn("turn", F.row_number().over(by_weight)).filter(F.col("turn") <= PIVOTS)
@@ -281,12 +298,13 @@ def _tiled(members: DataFrame, percent: int, tile: int) -> DataFrame:
     largest = counts.groupBy("block").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
     rest = label.join(largest, "block", "left").filter("component is null OR largest is null OR component <> largest").select("node")
     rest = written(docs.join(rest, "node", "left_semi"), "near-rest")
-    strips = rest.groupBy("block").agg(F.expr(f"cast(ceil(count(1) / {tile}) as int)").alias("strips"))
-    strips = written(strips, "near-strips")
+    asked = written(asked_tiles(rest, docs, heads, percent), "near-asked")
+    strips = asked.groupBy("block", "tile").agg(F.expr(f"cast(ceil(count(1) / {tile}) as int)").alias("strips"))
+    strips = small(written(strips, "near-strips"))
     cell = ["block", "strip", "tile", "role", "node", "n", "grams"]
-    left = rest.join(small(strips), "block").withColumn("strip", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("strips")).cast("int"))
-    left = left.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("role", F.lit(0)).select(*cell)
-    right = docs.join(small(strips), "block").withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).withColumn("role", F.lit(1)).select(*cell)
+    strip = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("strips")).cast("int")
+    left = rest.drop("block", "tile").join(asked, "node").join(strips, ["block", "tile"]).withColumn("strip", strip).withColumn("role", F.lit(0)).select(*cell)
+    right = docs.join(strips, ["block", "tile"]).withColumn("strip", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).withColumn("role", F.lit(1)).select(*cell)
     return near.union(left.unionByName(right).groupBy("block", "strip", "tile").applyInArrow(cross, "a long, b long"))
 
 
