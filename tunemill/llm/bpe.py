@@ -25,7 +25,7 @@ from tunemill.llm.workers import releasing
 #: A chunk has about this many bytes; a power of two.
 CHUNK = 256
 #: Chunks and joins that a task keeps; then it starts anew, which costs time but no exactness.
-KEEP = 60_000
+KEEP = 16_384
 END_TEXT, END_ID = "<|endoftext|>", 50256
 
 _SYNC = re.compile(rb"[A-Za-z0-9](?= [A-Za-z])")
