@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunemill.llm import ann, bpe, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings, surrogates
+from tunemill.llm import ann, bpe, chat, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings, surrogates
 from tunemill.session import spread
 
 
@@ -67,6 +67,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    return chat.formatting_report(rows.union(more))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_ann": op1_hilbert_ann,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_chat_format": op11_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -117,4 +124,17 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_chat_format": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(regexp_replace(regexp_replace(text, '\[(\\*/?(INST|SYS|ROLE)\])', '[\\\1', 'g'), '<(\\*/?s>)', '<\\\1', 'g'))
+                        + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 13
+                          ELSE 17 + length(regexp_replace(regexp_replace(role, '\[(\\*/?(INST|SYS|ROLE)\])', '[\\\1', 'g'), '<(\\*/?s>)', '<\\\1', 'g')) END AS n FROM c),
+        g AS (SELECT conv_id, count(*) AS n_turns,
+                     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+                     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+                     cast(sum(n) AS bigint) AS formatted_chars FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+    """,
 }
