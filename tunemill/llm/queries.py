@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunemill.llm import ann, bpe, chat, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings, surrogates
+from tunemill.llm import ann, bpe, centroids, chat, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings, surrogates
 from tunemill.session import spread
 
 
@@ -73,6 +73,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatting_report(rows.union(more))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_ann": op1_hilbert_ann,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -85,8 +89,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe_chunks": op9_bpe_chunks,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_chat_format": op11_chat_format,
+    "op12_centroids": op12_centroids,
 }
 
+def _centroid_sql(rounds: int) -> str:
+    """The rounds one after another, in integers."""
+    away = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    ctes = [
+        """k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) AS bigint)) AS v
+            FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+        """c0 AS MATERIALIZED (SELECT n - 1 AS k, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id), v) AS n FROM k) WHERE n <= 16)""",
+    ]
+    for i in range(rounds + 1):
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT row, any_value(vec_id) AS vec_id, any_value(v) AS v, min(struct_pack(d := {away}, k := k)) AS near FROM k, c{i} GROUP BY row)")
+        ctes.append(
+            f"""m{i} AS (SELECT k, list(cast(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS bigint) ORDER BY i) AS c FROM (
+                SELECT near.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) r(i) GROUP BY ALL) GROUP BY k)"""
+        )
+        ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))")
+    last = f"""SELECT vec_id, cast(near.k AS integer) AS cluster, cast(near.d AS bigint) AS distance, cast(sum(near.d) OVER (PARTITION BY near.k) AS bigint) AS cluster_inertia,
+        cast(sum(near.d) OVER () AS bigint) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = near.k"""
+    return "WITH " + ",\n".join(ctes) + "\n" + last
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_low_discrepancy_mix": r"""
         WITH d AS (
@@ -137,4 +162,5 @@ ORACLE_SQL: dict[str, str] = {
                      cast(sum(n) AS bigint) AS formatted_chars FROM e GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
     """,
+    "op12_centroids": _centroid_sql(3),
 }
