@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunemill.llm import ann, bpe, centroids, chat, exact_dedup, jaccard, lm, mixing, quality, secrets, substrings, surrogates
+from tunemill.llm import ann, bpe, centroids, chat, exact_dedup, jaccard, lm, mixing, quality, ranked, secrets, substrings, surrogates
 from tunemill.session import spread
 
 
@@ -77,6 +77,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_ann": op1_hilbert_ann,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_chat_format": op11_chat_format,
     "op12_centroids": op12_centroids,
+    "op13_maxscore": op13_maxscore,
 }
 
 def _centroid_sql(rounds: int) -> str:
@@ -163,4 +168,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
     """,
     "op12_centroids": _centroid_sql(3),
+    "op13_maxscore": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        tf AS (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+        len AS (SELECT row, sum(tf) AS n FROM tf GROUP BY row),
+        whole AS (SELECT count(*) AS docs, cast(sum(n) AS bigint) AS total FROM len),
+        q AS (SELECT row_number() OVER () AS item, item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+        df AS (SELECT term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double)) AS bigint) AS w FROM tf, whole GROUP BY term),
+        m AS (SELECT row, 50 + cast((50 * n * docs) // total AS bigint) AS m FROM len, whole),
+        s AS (SELECT item, item_id, row, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS bigint) AS score
+              FROM q JOIN df USING (term) JOIN tf USING (term) JOIN m USING (row) GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, cast(rank AS integer) AS rank, doc_id, score FROM r WHERE rank <= 50
+    """,
 }
