@@ -136,6 +136,38 @@ def test_band_neighbours_see_all_chunks(spark):
     assert ordering.band_neighbours(df.limit(0), 0.3, 0.5).count() == 0 == ordering.band_neighbours(df.limit(1), 0.3, 0.5).count()
 
 
+def clusters(n=3000, k=12, d=16, spread=0.05):
+    rng = np.random.default_rng(9)
+    centers = rng.standard_normal((k, d))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    return [(i, (centers[i % k] + spread * rng.standard_normal(d)).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("low,high", [(0.3, 0.5), (0.97, 1.0), (-1.0, -0.4)])
+def test_band_queries_skip_cells_and_miss_nothing(spark, monkeypatch, low, high):
+    rows = clusters()
+    nan = float("nan")
+    odd = [(None, [1.0] * 16), (9000, None), (9020, [0.0] * 16), (9040, [nan] * 16), (9060, [1.0] * 3), (9080, []), (40, rows[40][1]), (40, rows[7][1])]
+    df = spark.createDataFrame([(*r, "clash", 0) for r in rows + odd], "vec_id long, embedding array<double>, id string, q int").repartition(3)
+    kept = rows + odd[-2:]
+    ids = np.array([i for i, _ in kept])
+    unit = np.array([v for _, v in kept])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = []
+    for i, u in zip(ids, unit):
+        if i % 20 == 0:
+            s = np.round(unit @ u, 9)
+            others = ids != i
+            best = s[others].max()
+            want.append((int(i), int(((s >= low) & (s <= high) & others).sum()), int(ids[others & (s == best)].min()), round(float(best), 6)))
+    for room in (ordering.QUERY_BYTES, 20_000):
+        monkeypatch.setattr(ordering, "QUERY_BYTES", room)
+        got = ordering.band_neighbours(df, low, high, queries=lambda i: i % 20 == 0, with_work=True).collect()
+        assert sorted((r.vec_id, r.in_band, r.nearest, round(r.similarity, 6)) for r in got) == sorted(want)
+    compared = sum(r.compared for r in got)
+    assert compared < len(want) * len(kept) * (0.6 if low > 0.9 else 0.95), compared / len(want) / len(kept)
+
+
 def test_losses(spark):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 2) for _ in range(12)], rng.randrange(12)) for i in range(20)]
