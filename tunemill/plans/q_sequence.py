@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tunemill.operators import sequence
+from pyspark.sql import functions as F
+
+from tunemill.operators import messages, sequence, subword
+from tunemill.plans import q_messages
 from tunemill.plans.q_selection import table
 
 
@@ -12,7 +15,38 @@ def score_sequence_ppl(spark, sf_dir):
     return sequence.score_sequences(docs, sequence.class_bigrams(docs))
 
 
-QUERIES = {f.__name__: f for f in (score_sequence_ppl,)}
+def tokenizer(name: str = "byte_bpe_50k.tiktoken", end_of_turn: int = 50256):
+    """Gives a loader: the file's place is looked up where the tokenizer is loaded."""
+
+    def load():
+        import public_tokenizers
+
+        return subword.RankTokenizer(public_tokenizers.path(name), public_tokenizers.PATTERN, end_of_turn)
+
+    return load
+
+
+def _labels(turns, how):
+    """Numbers of tokens, and sums that any wrong token or label changes."""
+    rows = subword.subword_labels(messages.gathered(turns, "conv_id"), tokenizer(), how=how)
+    placed = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("conv_id", F.size("input_ids").alias("n_tokens"), F.size(F.filter("labels", lambda x: x != subword.IGNORE)).alias("n_trained"), placed("input_ids").alias("id_sum"), placed("labels").alias("label_sum"))
+
+
+def subword_mask(spark, sf_dir):
+    return _labels(q_messages._turns(spark, sf_dir), subword.Masking())
+
+
+def subword_last_turn(spark, sf_dir):
+    return _labels(q_messages._turns(spark, sf_dir), subword.Masking(last_only=True))
+
+
+def subword_reasoning(spark, sf_dir):
+    """Every second turn thinks before it speaks; its thoughts carry no loss."""
+    return _labels(q_messages._thinking(spark, sf_dir), subword.Masking(reasoning=False))
+
+
+QUERIES = {f.__name__: f for f in (score_sequence_ppl, subword_mask, subword_last_turn, subword_reasoning)}
 
 ORACLE_SQL = {
     "score_sequence_ppl": r"""
