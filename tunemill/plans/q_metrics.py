@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tunemill.functions.runs import Runs
 from tunemill.operators import metrics as M
 from tunemill.operators import stateful as S
 from tunemill.operators import tuning as T
@@ -15,28 +16,33 @@ from tunemill.session import scratch_dir
 from tunemill.streaming import processors as P
 
 
-def _series(spark, sf_dir):
-    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), step.alias("step"), "value", "event_id", "event_type")
+def _series(spark, sf_dir, cut=False):
+    """With `cut`, steps are numbered without one task for a user."""
+    events = table(spark, sf_dir, "events")
+    if cut:
+        rows = Runs(events, "user_id", ["ts", "event_id"]).number("step").frame()
+    else:
+        rows = events.withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint"))
+    return rows.select(F.col("user_id").alias("run"), "step", "value", "event_id", "event_type")
 
 
-def _holed(spark, sf_dir):
+def _holed(spark, sf_dir, cut=False):
     """The series with NaN and infinite values."""
     v = F.when(F.col("event_id") % 97 == 0, float("nan")).when(F.col("event_id") % 89 == 0, float("inf")).otherwise(F.col("value"))
-    return _series(spark, sf_dir).withColumn("value", v)
+    return _series(spark, sf_dir, cut).withColumn("value", v)
 
 
 def loss_spikes(spark, sf_dir):
-    return M.spikes(_holed(spark, sf_dir)).groupBy("run").agg(F.count(F.when(F.col("spike"), 1)).alias("spikes"))
+    return M.spikes(_holed(spark, sf_dir, cut=True)).groupBy("run").agg(F.count(F.when(F.col("spike"), 1)).alias("spikes"))
 
 
 def behavior_spikes(spark, sf_dir):
-    return M.behaviour_spikes(_series(spark, sf_dir)).groupBy("run").agg(F.count(F.when(F.col("spike"), 1)).alias("spikes"))
+    return M.behaviour_spikes(_series(spark, sf_dir, cut=True)).groupBy("run").agg(F.count(F.when(F.col("spike"), 1)).alias("spikes"))
 
 
 def rolling_health(spark, sf_dir):
     # 1e-9 is added since means of two-decimal values can lie half-way between rounded ones, on either side by order of summing
-    return M.rolling(_series(spark, sf_dir)).select("run", "step", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("mean", "std", "cv")])
+    return M.rolling(_series(spark, sf_dir, cut=True)).select("run", "step", *[F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("mean", "std", "cv")])
 
 
 def entropy_trend(spark, sf_dir):
@@ -44,7 +50,7 @@ def entropy_trend(spark, sf_dir):
 
 
 def divergence(spark, sf_dir):
-    return M.diverging(_holed(spark, sf_dir))
+    return M.diverging(_holed(spark, sf_dir, cut=True))
 
 
 def plateau_ranges(spark, sf_dir):
@@ -52,11 +58,11 @@ def plateau_ranges(spark, sf_dir):
 
 
 def best_checkpoint(spark, sf_dir):
-    return M.new_minima(_series(spark, sf_dir)).filter("is_best").select("run", "step", "value")
+    return M.new_minima(_series(spark, sf_dir, cut=True)).filter("is_best").select("run", "step", "value")
 
 
 def patience_stop(spark, sf_dir):
-    rows = M.patience(_series(spark, sf_dir), 10)
+    rows = M.patience(_series(spark, sf_dir, cut=True), 10)
     return rows.groupBy("run").agg(F.min(F.when(F.col("stop"), F.col("step"))).alias("stop_step"), F.max("waited").cast("bigint").alias("longest_wait"))
 
 
