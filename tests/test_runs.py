@@ -1,11 +1,14 @@
+import bisect
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tunemill.functions.runs import Runs
 from tunemill.operators import metrics as M
+from tunemill.operators import stateful as S
 
 INF = float("inf")
 
@@ -66,3 +69,55 @@ def test_a_hot_run_spans_many_tasks(spark):
 def test_a_frame_longer_than_a_block_is_refused(spark):
     with pytest.raises(ValueError, match="longer"):
         Runs(series(spark), "run", "step", 10).near(11, lambda w: {})
+
+
+def folds(spark, n, kind, seed=3):
+    rng = random.Random(seed)
+    values = {"plain": lambda: rng.lognormvariate(0, 1), "spiky": lambda: rng.choice([1e-13, 0.0, 0.01, 1.0, 500.0]) * rng.random(), "flat": lambda: rng.choice([1.0, 1.5, 2.25])}[kind]
+    rows = [(1, i, values()) for i in range(n)] + [(None, i, values()) for i in range(n // 3)] + [(2, i, 0.0) for i in range(n // 2)] + [(3, 0, 4.0), (4, 1, None)]
+    rows += [(5, i, float("nan") if i == 9 else 2.0) for i in range(n // 2)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "run long, step long, value double").repartition(2)
+
+
+def close(a, b):
+    rows = lambda df: sorted((tuple(repr(float(f"{x:.9g}")) if isinstance(x, float) else repr(x) for x in r) for r in df.collect()))
+    assert rows(a) == rows(b)
+
+
+@pytest.mark.parametrize("kind,cut", [("spiky", 1), ("plain", 19), ("flat", 33)])
+def test_folds_of_blocks_equal_a_walk(spark, kind, cut):
+    df = folds(spark, 60, kind)
+    close(S.adaptive_clip(df, run_rows=cut), S.adaptive_clip(df))
+    close(S.ramped_ema(df, decay=0.9, run_rows=cut), S.ramped_ema(df, decay=0.9))
+
+
+@pytest.mark.parametrize("kind", ["plain", "spiky", "flat"])
+def test_maps_compose_at_every_place(kind):
+    rng = random.Random(kind)
+    x = [{"plain": rng.lognormvariate(0, 1), "spiky": rng.choice([0.01, 1.0, 500.0]) * (0.01 + rng.random()), "flat": rng.choice([1.0, 1.5, 2.25])}[kind] for _ in range(300)]
+    ema, clips, states = x[0], 0, []
+    for v in x:
+        states.append((ema, clips))
+        ema, clips = 0.95 * ema + (1 - 0.95) * min(v, 1.5 * ema), clips + (v > 1.5 * ema)
+    for cut in range(300):
+        m = S.Knots(min(x), max(x))
+        for v in x[cut:]:
+            m.clipped_average(v, 1.5, 0.95)
+        at, to, count = m.kept()
+        k = min(max(bisect.bisect_right(at, states[cut][0]) - 1, 0), len(count) - 1)
+        assert abs(np.interp(states[cut][0], at, to) - ema) < 1e-9 * ema and states[cut][1] + count[k] == clips, cut
+
+
+def test_a_long_block_forgets_its_start():
+    rng = random.Random(1)
+    m = S.Knots(1e-6, 1e6)
+    for _ in range(5000):
+        m.clipped_average(rng.lognormvariate(0, 1), 1.5, 0.95)
+    assert m.to[-1] - m.to[0] < 1e-12 and len(m.at) < 2000
+
+
+def test_expired_checkpoints(spark):
+    df = spark.createDataFrame([(r, s) for r in (1, 2, None) for s in (5, 1, 3, 9)] + [(4, 7)], "run long, step long")
+    kept = lambda k: sorted(((r.run or 0, r.step) for r in M.expired_checkpoints(df, k).collect()))
+    assert kept(3) == [(0, 1), (1, 1), (2, 1)] and kept(1) == [(r, s) for r in (0, 1, 2) for s in (1, 3, 5)] and len(kept(0)) == 13

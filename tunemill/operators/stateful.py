@@ -1,19 +1,24 @@
 """Ordered folds over a key's values: the state machines of training.
 
 Rows are dealt by key and sorted by (key, order); each task walks through its rows and keeps one small state, so a run
-of any length needs no more memory than a short one.
+of any length needs no more memory than a short one. Averages whose steps are maps of one number need no walk: the rows of
+a long run are cut into blocks, each block's steps are composed to one map, and the maps are applied in order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunemill.functions.runs import RUN_ROWS, Runs
+from tunemill.session import small, written
+
 INF = float("inf")
-_KINDS = {"bigint": pa.int64(), "double": pa.float64()}
+_KINDS = {"bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 
 def ordered_fold(
@@ -83,9 +88,55 @@ def spike_detector(series: DataFrame, run: str = "run", step: str = "step", valu
     return ordered_fold(series, run, step, [value], SPIKE_START, lambda s, x: spike_step(s, x, z, warmup, decay), one, "count bigint, mean double, var double, spikes bigint")
 
 
-def adaptive_clip(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", warmup: int = 20, limit: float = 1.5, beta: float = 0.95) -> DataFrame:
+def _blocks(hot: DataFrame, run: str) -> DataFrame:
+    return hot.withColumn("_key", F.struct(F.col(run).alias("run"), F.col("_block").alias("block")))
+
+
+def _unpacked(maps: DataFrame, run: str) -> DataFrame:
+    return maps.select(F.col("_key.run").alias(run), F.col("_key.block").alias("_block"), *(c for c in maps.columns if c != "_key"))
+
+
+class Knots:
+    """A map of one number by its values at some places, linear between them, and how often each part was clipped on the way.
+
+    Each step is a map of one number itself, monotone and linear on either side of one value: a place where the map
+    reaches that value becomes a knot. A map that has forgotten its start, up to rounding, keeps its ends only."""
+
+    def __init__(self, low: float, high: float):
+        self.at = np.array([low, high])
+        self.to = self.at.copy()
+        self.clips = np.zeros(1)
+
+    def bend(self, value: float) -> None:
+        """Makes the place where the map takes this value a knot, if it lies between two."""
+        k = int(np.searchsorted(self.to, value, "right"))
+        if 0 < k < len(self.to) and self.to[k - 1] < value < self.to[k]:
+            share = (value - self.to[k - 1]) / (self.to[k] - self.to[k - 1])
+            place = self.at[k - 1] + share * (self.at[k] - self.at[k - 1])
+            self.at, self.to, self.clips = np.insert(self.at, k, place), np.insert(self.to, k, value), np.insert(self.clips, k, self.clips[k - 1])
+
+    def most(self, x: float) -> None:
+        """The greater of the map and x."""
+        self.bend(x)
+        self.to = np.maximum(self.to, x)
+
+    def clipped_average(self, x: float, limit: float, beta: float) -> None:
+        self.bend(x / limit)
+        self.clips = self.clips + (self.to[1:] <= x / limit) * (self.to[:-1] < x / limit)
+        self.to = beta * self.to + (1 - beta) * np.minimum(x, limit * self.to)
+        if len(self.at) > 2 and self.to[-1] - self.to[0] <= 1e-15 * self.to[-1] and (self.clips == self.clips[0]).all():
+            self.at, self.to, self.clips = self.at[[0, -1]], self.to[[0, -1]], self.clips[:1]
+
+    def kept(self) -> tuple[list[float], list[float], list[float]]:
+        return self.at.tolist(), self.to.tolist(), self.clips.tolist()
+
+
+def adaptive_clip(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", warmup: int = 20, limit: float = 1.5, beta: float = 0.95, run_rows: int = RUN_ROWS) -> DataFrame:
     """Per tensor: the threshold average and the number of clipped norms. Its largest norm while warming up, then
-    an average of norms clipped at `limit` times it; norms that are nearly zero are skipped."""
+    an average of norms clipped at `limit` times it; norms that are nearly zero are skipped.
+
+    A tensor of over `run_rows` norms, all finite and one of the first above zero, is cut into blocks, whose maps are
+    piecewise linear; others are walked."""
 
     def fold(state: tuple, x: float) -> tuple:
         n, ema, clips = state
@@ -96,7 +147,40 @@ def adaptive_clip(series: DataFrame, run: str = "run", step: str = "step", value
             return n + 1, state[1], clips
         return n + 1, beta * ema + (1 - beta) * min(x, limit * ema), clips + (x > limit * ema)
 
-    return ordered_fold(series, run, step, [value], (0, None, 0), fold, lambda s: [(s[0], s[1], int(s[2]))], "n bigint, ema double, clips bigint")
+    out = "n bigint, ema double, clips bigint"
+    last = lambda s: [(s[0], s[1], int(s[2]))]
+    walked = lambda rows: ordered_fold(rows, run, step, [value], (0, None, 0), fold, last, out)
+    runs = Runs(series.filter(F.col(value).isNotNull() & F.col(step).isNotNull()), run, [step, value], run_rows)
+    if runs.hot is None:
+        return walked(runs.cold)
+    v = F.col(value)
+    finite = (F.abs(v) < INF) & ~F.isnan(v)
+    ends = runs.hot.groupBy(F.col(run).alias("_of")).agg(F.min(F.when(v >= 1e-12, v)).alias("_low"), F.max(v).alias("_high"), F.max(F.when(F.col("_no") < max(warmup - 1, 1), v)).alias("_first"), F.min(finite).alias("_fine"))
+    ends = ends.select("_of", F.least("_low", "_first").alias("_low"), F.greatest("_high", "_first").alias("_high"), (F.col("_fine") & (F.col("_first") > 0) & (limit >= 1)).alias("_fine"))
+    hot = runs.hot.join(small(written(ends, "run-ends")), F.col(run).eqNullSafe(F.col("_of"))).drop("_of")
+
+    def along(m: Knots | None, no: int, x: float, low: float, high: float) -> Knots:
+        m = m or Knots(low, high)
+        if no == 0:
+            m.to = np.full(len(m.to), x)
+        if no + 1 < warmup:
+            m.most(x)
+        elif x >= 1e-12:
+            m.clipped_average(x, limit, beta)
+        return m
+
+    maps = ordered_fold(_blocks(hot.filter("_fine"), run), "_key", "_no", ["_no", value, "_low", "_high"], (), lambda s, *v: along(s or None, *v), lambda m: [m.kept()], "at array<double>, to array<double>, clips array<double>")
+    sizes = hot.groupBy(F.col(run).alias("_of"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_size"))
+    maps = written(_unpacked(maps, run), "maps").join(sizes, F.col(run).eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_b")))
+
+    def through(state: tuple, at: list[float], to: list[float], clips: list[float], size: int) -> tuple:
+        n, ema, sum_of = state
+        ema = at[0] if ema is None else ema
+        part = min(max(int(np.searchsorted(at, ema, "right")) - 1, 0), len(clips) - 1)
+        return n + size, float(np.interp(ema, at, to)), sum_of + clips[part]
+
+    done = ordered_fold(maps, run, "_block", ["at", "to", "clips", "_size"], (0, None, 0), through, last, out)
+    return walked(runs.cold.unionByName(hot.filter("not _fine").select(*runs.cold.columns))).unionByName(done)
 
 
 def source_weights(evals: DataFrame, source: str = "source", step: str = "step", loss: str = "loss", weight: float = 1.0, decay: float = 0.7, recovery: float = 1.15, floor_ratio: float = 0.1, plateau: float = 0.01) -> DataFrame:
@@ -128,15 +212,28 @@ def source_summary(weights: DataFrame, source: str = "source", original: float =
     return weights.select(source, short.alias("short"), detail.alias("detail"))
 
 
-def ramped_ema(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", decay: float = 0.999) -> DataFrame:
-    """Moving average whose decay ramps up: min(decay, 1 - 1 / (t + 1))."""
+def ramped_ema(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", decay: float = 0.999, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Moving average whose decay ramps up: min(decay, 1 - 1 / (t + 1)). A run of over `run_rows` values is cut into blocks, each a linear map."""
 
     def fold(state: tuple, x: float) -> tuple:
         n, ema = state
         d = min(decay, 1 - 1 / (n + 1))
         return n + 1, d * ema + (1 - d) * x
 
-    return ordered_fold(series, run, step, [value], (0, 0.0), fold, lambda s: [s], "n bigint, ema double")
+    out = "n bigint, ema double"
+    runs = Runs(series.filter(F.col(value).isNotNull() & F.col(step).isNotNull()), run, [step, value], run_rows)
+    cold = ordered_fold(runs.cold, run, step, [value], (0, 0.0), fold, lambda s: [s], out)
+    if runs.hot is None:
+        return cold
+
+    def along(state: tuple, no: int, x: float) -> tuple:
+        n, factor, rest = state
+        d = min(decay, 1 - 1 / (no + 1))
+        return n + 1, d * factor, d * rest + (1 - d) * x
+
+    maps = ordered_fold(_blocks(runs.hot, run), "_key", "_no", ["_no", value], (0, 1.0, 0.0), along, lambda s: [s], "size bigint, factor double, rest double")
+    through = lambda s, size, factor, rest: (s[0] + size, (factor * s[1] if factor else 0.0) + rest)
+    return cold.unionByName(ordered_fold(written(_unpacked(maps, run), "maps"), run, "_block", ["size", "factor", "rest"], (0, 0.0), through, lambda s: [s], out))
 
 
 def plateaus(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", least: int = 50) -> DataFrame:

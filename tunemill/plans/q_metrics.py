@@ -13,6 +13,7 @@ from tunemill.operators import stateful as S
 from tunemill.operators import tuning as T
 from tunemill.plans.q_selection import table
 from tunemill.session import scratch_dir
+from tunemill.sources import readers as R
 from tunemill.streaming import processors as P
 
 
@@ -130,15 +131,14 @@ def eval_multi_source(spark, sf_dir):
 
 
 def keep_latest_k(spark, sf_dir):
-    """All but the newest three checkpoints of each run."""
-    w = Window.partitionBy("run").orderBy(F.desc("step"))
-    return _series(spark, sf_dir).filter("step % 10 = 0").withColumn("k", F.row_number().over(w)).filter("k > 3").select("run", "step")
+    """All but the newest three checkpoints of each run; every step is one."""
+    return M.expired_checkpoints(_series(spark, sf_dir, cut=True), 3).select("run", "step")
 
 
 def latest_checkpoint(spark, sf_dir):
     """The newest checkpoint with its marker."""
-    rows = _series(spark, sf_dir).filter("step % 10 = 0").withColumn("valid", F.col("event_id") % 3 > 0)
-    return rows.filter("valid").groupBy("run").agg(F.max("step").alias("step"), F.max_by("event_id", "step").alias("checkpoint"))
+    rows = _series(spark, sf_dir, cut=True).select("run", "step", F.col("event_id").alias("path"), (F.col("event_id") % 3 > 0).alias("complete"))
+    return R.latest_checkpoint(rows).withColumnRenamed("path", "checkpoint")
 
 
 def gradient_report(spark, sf_dir):
@@ -170,7 +170,7 @@ def spike_detector_fold(spark, sf_dir):
 
 
 def adagc_fold(spark, sf_dir):
-    return S.adaptive_clip(_series(spark, sf_dir)).select("run", "n", F.round("ema", 5).alias("ema"), "clips")
+    return S.adaptive_clip(_series(spark, sf_dir, cut=True)).select("run", "n", F.round("ema", 5).alias("ema"), "clips")
 
 
 def source_weight_fold(spark, sf_dir):
@@ -179,7 +179,7 @@ def source_weight_fold(spark, sf_dir):
 
 
 def ema_fold(spark, sf_dir):
-    return S.ramped_ema(_series(spark, sf_dir), decay=0.9).select("run", "n", F.round("ema", 5).alias("ema"))
+    return S.ramped_ema(_series(spark, sf_dir, cut=True), decay=0.9).select("run", "n", F.round("ema", 5).alias("ema"))
 
 
 def _trials(spark, sf_dir):
@@ -236,19 +236,19 @@ def trial_scores(spark, sf_dir):
 
 
 def lr_schedule(spark, sf_dir):
-    rows = spark.range(0, 201, 1).withColumnRenamed("id", "step")
+    """Factor of the rate at each step of each run, as if runs had 60 steps."""
     kinds = ("cosine", "linear", "constant", "power_decay", "wsd")
-    return rows.select("step", *[F.round(T.schedule(F.col("step"), 200, k), 6).alias(k) for k in kinds])
+    return _series(spark, sf_dir, cut=True).select("run", "step", *[F.round(T.schedule(F.col("step"), 60, k), 6).alias(k) for k in kinds])
 
 
 def seq_len_curriculum(spark, sf_dir):
-    rows = spark.range(0, 6000, 50).withColumnRenamed("id", "step")
-    return rows.select("step", T.curriculum_length(F.col("step"), 1024, 8192, 5000).alias("max_len"), T.accumulation_at(F.col("step") / 6000, 1, 16).alias("accumulation"))
+    step = F.col("step") * 100
+    return _series(spark, sf_dir, cut=True).select("run", "step", T.curriculum_length(step, 1024, 8192, 5000).alias("max_len"), T.accumulation_at(step / 6000, 1, 16).alias("accumulation"))
 
 
 def layer_lr(spark, sf_dir):
-    rows = spark.range(0, 33).withColumnRenamed("id", "layer")
-    return rows.select("layer", F.round(T.layer_lr(1e-4, 0.9, F.col("layer"), F.lit(32)) * 1e6, 6).alias("lr_micro"))
+    """Each event is a parameter of some layer."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(T.layer_lr(1e-4, 0.9, F.col("event_id") % 33, F.lit(32)) * 1e6, 6).alias("lr_micro"))
 
 
 def chunk_counts(spark, sf_dir):
@@ -347,8 +347,8 @@ ORACLE_SQL = {
     "corpus_loss": "SELECT event_type AS source, round(sum(value) / greatest(sum(event_id % 50 + 1), 1), 6) AS avg_loss, cast(sum(event_id % 50 + 1) AS bigint) AS tokens FROM events GROUP BY 1",
     "eval_multi_source": """WITH p AS (SELECT event_type AS source, sum(value) / sum(event_id % 50 + 1) AS l FROM events GROUP BY 1), c(source, w, floor_) AS (VALUES ('click', 2.0::double, 0.5::double), ('view', 1.0, NULL), ('error', 0.5, 5.0), ('absent', 1.0, 1.0))
         SELECT round(sum(w * coalesce(l, 0)) / sum(w), 6) AS composite, count(*) FILTER (l > floor_) AS n_regressed, coalesce(string_agg(source, ',' ORDER BY source) FILTER (l > floor_), '') AS regressed FROM c LEFT JOIN p USING (source)""",
-    "keep_latest_k": f"WITH {_S} SELECT run, step FROM s WHERE step % 10 = 0 QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) > 3",
-    "latest_checkpoint": f"WITH {_S} SELECT run, max(step) AS step, arg_max(event_id, step) AS checkpoint FROM s WHERE step % 10 = 0 AND event_id % 3 > 0 GROUP BY run",
+    "keep_latest_k": f"WITH {_S} SELECT run, step FROM s QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) > 3",
+    "latest_checkpoint": f"WITH {_S} SELECT run, max(step) AS step, arg_max(event_id, step) AS checkpoint FROM s WHERE event_id % 3 > 0 GROUP BY run",
     "gradient_report": "WITH g AS (SELECT event_type, CASE event_id % 20 WHEN 0 THEN 0 WHEN 1 THEN 1e-8 ELSE value END::double AS v FROM events) SELECT event_type, count(*) FILTER (v = 0) AS dead, count(*) FILTER (v > 0 AND v < 1e-7) AS tiny, count(*) FILTER (v > 100) AS huge, round(sqrt(sum(v * v)), 4) AS total_norm FROM g GROUP BY 1",
     "weight_drift": f"WITH {_S}, p AS (SELECT arg_max(v, step) AS l, arg_min(v, step) AS f FROM s GROUP BY run), d AS (SELECT abs(l - f) / greatest(abs(f), 1e-8) AS d FROM p) SELECT round(avg(d), 5) AS mean_drift, round(max(d), 5) AS max_drift, count(*) AS n FROM d",
     "layer_norms": f"WITH {_S}, p AS (SELECT run % 12 AS layer, avg(abs(v)) AS n FROM s GROUP BY 1) SELECT layer, round(n, 5) AS norm, round(max(n) OVER () / greatest(min(n) OVER (), 1e-8), 5) AS ratio FROM p",
@@ -377,12 +377,13 @@ ORACLE_SQL = {
         SELECT run, CASE WHEN NOT isfinite(l) THEN true WHEN n < 5 THEN false ELSE (n >= b AND l > c[n - b + 1] * 1.1) OR l > 30 * 1.05 OR l >= c[1] * 0.99 END AS stop FROM d""",
     "trial_scores": f"""WITH {_S}, c AS (SELECT run, list(v ORDER BY step) AS c FROM s GROUP BY run), d AS (SELECT *, len(c) AS n, CASE WHEN len(c) < 3 THEN 0 ELSE (c[1] + c[len(c)] - 2 * c[len(c) // 2 + 1]) / greatest(abs(c[1]), 1e-8) END AS k FROM c)
         SELECT run, round(k, 5) AS curvature, round(c[n] + greatest(0, k) * 0.1, 5) AS score, round(CASE WHEN c[1] <= 0 THEN '-inf'::double ELSE (c[1] - c[n]) / c[1] END, 5) AS reduction FROM d""",
-    "lr_schedule": """WITH t AS (SELECT i AS step, least((i - 20) / 180.0::double, 1) AS p FROM range(201) r(i))
-        SELECT step, round(CASE WHEN step < 20 THEN step / 20.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * p)) END, 6) AS cosine, round(CASE WHEN step < 20 THEN step / 20.0 ELSE greatest(0.1, 1 - p * 0.9) END, 6) AS linear,
-            round(CASE WHEN step < 20 THEN step / 20.0::double ELSE 1 END, 6) AS constant, round(CASE WHEN step < 20 THEN step / 20.0 ELSE 0.1 + 0.9 * pow(1 - p, 4) END, 6) AS power_decay,
-            round(CASE WHEN step < 20 THEN step / 20.0 WHEN p < 0.8 THEN 1 ELSE 0.1 + 0.9 * pow(greatest(1 - (p - 0.8) / 0.2, 0), 4) END, 6) AS wsd FROM t""",
-    "seq_len_curriculum": "SELECT i AS step, cast(CASE WHEN i >= 5000 THEN 8192 ELSE least(pow(2, floor(10 + i / 5000.0::double * 3)), 8192) END AS bigint) AS max_len, cast(greatest(1, least(16, 1 + floor(15 * (i / 6000.0::double)))) AS bigint) AS accumulation FROM range(0, 6000, 50) r(i)",
-    "layer_lr": "SELECT i AS layer, round(1e-4::double * pow(0.9::double, 32 - i) * 1e6, 6) AS lr_micro FROM range(33) r(i)",
+    "lr_schedule": f"""WITH {_S}, t AS (SELECT run, step, least((step - 6) / 54.0::double, 1) AS p FROM s)
+        SELECT run, step, round(CASE WHEN step < 6 THEN step / 6.0::double ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * p)) END, 6) AS cosine, round(CASE WHEN step < 6 THEN step / 6.0::double ELSE greatest(0.1, 1 - p * 0.9) END, 6) AS linear,
+            round(CASE WHEN step < 6 THEN step / 6.0::double ELSE 1 END, 6) AS constant, round(CASE WHEN step < 6 THEN step / 6.0::double ELSE 0.1 + 0.9 * pow(1 - p, 4) END, 6) AS power_decay,
+            round(CASE WHEN step < 6 THEN step / 6.0::double WHEN p < 0.8 THEN 1 ELSE 0.1 + 0.9 * pow(greatest(1 - (p - 0.8) / 0.2, 0), 4) END, 6) AS wsd FROM t""",
+    "seq_len_curriculum": f"""WITH {_S}, t AS (SELECT run, step, step * 100 AS i FROM s)
+        SELECT run, step, cast(CASE WHEN i >= 5000 THEN 8192 ELSE least(pow(2, floor(10 + i / 5000.0::double * 3)), 8192) END AS bigint) AS max_len, cast(greatest(1, least(16, 1 + floor(15 * (i / 6000.0::double)))) AS bigint) AS accumulation FROM t""",
+    "layer_lr": "SELECT event_id, round(1e-4::double * pow(0.9::double, 32 - event_id % 33) * 1e6, 6) AS lr_micro FROM events",
     "chunk_counts": "WITH g AS (SELECT doc_id, n_chars * 152064.0::double * 4 / 1e9 AS g FROM documents) SELECT doc_id, cast(greatest(1, least(64, ceil(g / 2))) AS bigint) AS chunks, cast(least(64, pow(2, ceil(log2(greatest(1, least(64, ceil(g))))))) AS bigint) AS even_chunks FROM g",
     "sweep_scores": "WITH x AS (SELECT event_type AS config, event_id, value + CASE WHEN event_id % 10 > 3 THEN (event_id % 10) / 10.0::double ELSE 0 END AS s FROM events) SELECT config, round(min(s), 4) AS score, (array_agg(event_id ORDER BY s, event_id))[1] AS best FROM x GROUP BY config",
     "lr_ablation_grid": "SELECT event_id, cast(p AS int) AS pos, round((event_id % 50 + 1) * [0.5, 1.0, 2.0, 5.0][p + 1]::double, 4) AS lr_micro FROM events, range(4) r(p)",

@@ -116,7 +116,8 @@ def first_errors(spark, sf_dir):
 def noise_scale_losses(spark, sf_dir):
     """Gradient norms of some runs only; the others fall back to their last losses."""
     rows = q_metrics._series(spark, sf_dir)
-    return M.noise_scale(rows.filter("run % 3 = 0 OR step = 1"), losses=rows).select("run", "n", F.round("noise_scale", 5).alias("noise_scale"))
+    norms = rows.withColumn("value", F.when((F.col("run") % 3 == 0) | (F.col("step") == 1), F.col("value")))
+    return M.noise_scale(norms, losses=rows).select("run", "n", F.round("noise_scale", 5).alias("noise_scale"))
 
 
 def timing_averages(spark, sf_dir):
@@ -135,7 +136,7 @@ def gradient_weight_ratio(spark, sf_dir):
     series = q_metrics._series(spark, sf_dir)
     name = F.when(F.col("run") % 13 == 12, "lm_head.weight").otherwise(F.concat(F.lit("model.layers."), F.col("run") % 13, F.lit(".w"), F.col("run")))
     per = series.groupBy("run").agg(F.max_by("value", "step").alias("g"), F.min_by("value", "step").alias("w")).withColumn("name", F.concat(name, F.lit("."), F.col("run")))
-    out = M.gradient_weight_ratio(per.select("name", F.col("w").alias("norm")), per.filter("run % 13 <> 5").select("name", F.col("g").alias("norm")))
+    out = M.gradient_weight_ratio(per.select("name", F.col("w").alias("norm")), per.select("name", F.when(F.col("run") % 13 != 5, F.col("g")).alias("norm")))
     return out.select("layer", F.round("ratio", 6).alias("ratio"))
 
 
@@ -235,7 +236,7 @@ ORACLE_SQL = {
     "called_counts": "SELECT event_type AS tool, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) - 1 AS place FROM events GROUP BY 1",
     "first_errors": f"""WITH {q_messages._TOOLS}, e AS (SELECT *, row_number() OVER (ORDER BY sample, turn, call, error, detail) - 1 AS place, count(*) OVER () > 50 AS truncated FROM err WHERE error IS NOT NULL)
         SELECT place, sample, turn, error, truncated FROM e WHERE place < 50""",
-    "noise_scale_losses": f"""WITH {_S}, g AS (SELECT run, v FROM s WHERE run % 3 = 0 OR step = 1), a AS (SELECT run, count(*) AS n, avg(v) AS m, var_samp(v) AS d FROM g GROUP BY run),
+    "noise_scale_losses": f"""WITH {_S}, g AS (SELECT run, CASE WHEN run % 3 = 0 OR step = 1 THEN v END AS v FROM s), a AS (SELECT run, count(v) AS n, avg(v) AS m, var_samp(v) AS d FROM g GROUP BY run),
         l AS (SELECT run, count(*) AS n, avg(v) AS m, var_samp(v) AS d FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY run ORDER BY step DESC) <= 8) GROUP BY run),
         u AS (SELECT a.run, CASE WHEN a.n < 2 AND l.n >= 4 THEN l.n ELSE a.n END AS n, CASE WHEN a.n < 2 AND l.n >= 4 THEN l.m ELSE a.m END AS m, CASE WHEN a.n < 2 AND l.n >= 4 THEN l.d ELSE a.d END AS d FROM a JOIN l ON a.run = l.run)
         SELECT run, n, CASE WHEN n >= 2 AND m >= 1e-12 THEN round(n * d / (m * m), 5) END AS noise_scale FROM u""",
@@ -243,7 +244,7 @@ ORACLE_SQL = {
     "tiered_metrics": f"""WITH {_S}, x AS (SELECT run, step - 1 AS q FROM s), d AS (SELECT run, 1 AS tier, q FROM x UNION ALL SELECT run, 2, q FROM x WHERE q % 5 = 0 UNION ALL SELECT run, 3, q FROM x WHERE q % 20 = 0 AND q > 0)
         SELECT run, cast(tier AS int) AS tier, count(*) AS n, count(*) FILTER (q > 0 AND q % 7 = 0) AS evaluations FROM d GROUP BY run, tier""",
     "gradient_weight_ratio": f"""WITH {_S}, p AS (SELECT run, arg_max(v, step) AS g, arg_min(v, step) AS w FROM s GROUP BY run)
-        SELECT CASE WHEN run % 13 = 12 THEN 'lm_head' ELSE 'layer_' || (run % 13) END AS layer, round(sqrt(sum(g * g)) / sqrt(sum(w * w)), 6) AS ratio FROM p WHERE run % 13 <> 5 GROUP BY 1""",
+        SELECT CASE WHEN run % 13 = 12 THEN 'lm_head' ELSE 'layer_' || (run % 13) END AS layer, round(sqrt(sum(CASE WHEN run % 13 <> 5 THEN g * g END)) / sqrt(sum(w * w)), 6) AS ratio FROM p GROUP BY 1 HAVING count(CASE WHEN run % 13 <> 5 THEN g END) > 0""",
     "evaluation_report": """WITH e AS (SELECT event_id % 20 AS b, abs(value) / 100 AS l, event_id % 50 + 1 AS t, event_id % 7 AS h FROM events),
         a AS (SELECT 'all' AS part, sum(l) / sum(t) AS l, sum(t) AS t, sum(h) AS h FROM e UNION ALL SELECT 'first', sum(l) / sum(t), sum(t), sum(h) FROM e WHERE b < 5)
         SELECT part, round(l, 6) AS loss, round(least(exp(l), 1e6), 5) AS ppl, cast(t AS bigint) AS tokens, round(h / t, 6) AS accuracy FROM a UNION ALL SELECT 'none', -1.0, 1e6, 0, 0.0""",
