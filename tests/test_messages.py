@@ -29,13 +29,13 @@ def spans(spark, turns):
     return M.turn_spans(df, "conv_id")
 
 
-CHAT = [("system", "be kind"), ("user", "one"), ("assistant", "ZEBRA"), ("user", "two"), ("assistant", "QUOKKA"), ("user", "three"), ("assistant", "FINALX")]
+CHAT = [("system", "answer in one word"), ("user", "name a river"), ("assistant", "Volga"), ("user", "and a lake"), ("assistant", "Baikal"), ("user", "a sea then"), ("assistant", "Azov")]
 
 
 def test_masks(spark):
     s = spans(spark, CHAT)
     trained = lambda **k: [r.content for r in M.trained_turns(s, "conv_id", **k).filter("trained").orderBy("turn").collect()]
-    assert trained() == ["ZEBRA", "QUOKKA", "FINALX"] and trained(last_only=True) == ["FINALX"]
+    assert trained() == ["Volga", "Baikal", "Azov"] and trained(last_only=True) == ["Azov"]
     rows = s.orderBy("turn").collect()
     assert rows[0].start == 0 and all(a.end == b.start for a, b in zip(rows, rows[1:], strict=False)) and rows[-1].end == rows[0].total
     assert M.labels(M.trained_turns(spans(spark, CHAT[:2]), "conv_id"), "conv_id").collect() == []

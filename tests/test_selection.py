@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tunemill.functions import ranks
 from tunemill.functions.prefix import prefix_sums
 from tunemill.functions.ranks import global_rank, nth_values
 from tunemill.operators import scoring, selection
@@ -26,7 +27,7 @@ def test_global_rank_and_nth(spark):
 
 
 def test_filter_choices(spark):
-    df = spark.createDataFrame([(1, 10000.0, 8.0, 128), (2, 20.0, 800.0, 128), (3, float("nan"), float("nan"), 128), (4, 1.0, 1.0, 4)], "sample long, ppl double, response_ppl double, length long")
+    df = spark.createDataFrame([(1, 7321.0, 6.5, 90), (2, 31.0, 2750.0, 77), (3, float("nan"), float("nan"), 64), (4, 1.0, 1.0, 4)], "sample long, ppl double, response_ppl double, length long")
     kept = lambda **k: sorted(r.sample for r in selection.filter_samples(df, **k).filter("reason is null").collect())
     assert kept() == [1, 3] and kept(use="full") == [2, 3] and kept(max_ppl=0) == [1, 2, 3]
     assert {r.sample: r.reason for r in selection.filter_samples(df).collect()}[4] == "too_easy"
@@ -52,8 +53,19 @@ def test_strategies(spark):
     for s in ("balanced", "medium_focus", "curriculum", "hard_focus", "flow", "random"):
         out = selection.select_by_budget(df, 20, s).collect()
         assert len({r.sample for r in out}) == 20
-    ranks = selection.select_by_budget(df, 20, "curriculum").orderBy("score_rank").collect()
-    assert [r.response_ppl for r in ranks] == sorted(r.response_ppl for r in ranks)
+    ranked = selection.select_by_budget(df, 20, "curriculum").orderBy("score_rank").collect()
+    assert [r.response_ppl for r in ranked] == sorted(r.response_ppl for r in ranked)
+
+
+def test_budgets_beyond_a_task_choose_the_same_rows(spark, monkeypatch):
+    rows = [(i, float(i * 37 % 50), ("easy", "medium", "hard")[i % 3]) for i in range(300)]
+    df = spark.createDataFrame(rows, "sample long, response_ppl double, bucket string")
+    chosen = lambda: {s: sorted(map(tuple, selection.select_by_budget(df, 90, s).collect())) for s in ("medium_focus", "hard_focus", "flow", "random")}
+    want = chosen()
+    monkeypatch.setattr(ranks, "WINDOW_ROWS", 20)
+    assert chosen() == want
+    plan = selection.select_by_budget(df, 90, "hard_focus")._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan and "SinglePartition" not in plan.split("Window [")[0]
 
 
 def test_holdout(spark):

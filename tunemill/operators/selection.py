@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunemill.functions import ranks
 from tunemill.functions.ranks import first_rows, global_rank, nth_values, seeded
 from tunemill.session import small, written
 
@@ -40,8 +41,15 @@ def holdout(samples: DataFrame, n: int, id_col: str = "sample", seed: int = 42)
     return global_rank(samples, [seeded(id_col, seed), F.col(id_col)], "_turn").withColumn("held_out", F.col("_turn") < n).drop("_turn")
 
 
+def _top(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows: a top-k while one task can order them, else by ranks over ranges, of which no task has them all."""
+    if n <= ranks.WINDOW_ROWS:
+        return rows.orderBy(*order).limit(max(n, 0))
+    return first_rows(rows, order, n, "_place").drop("_place")
+
+
 def random_subset(samples: DataFrame, n: int, id_col: str = "sample", seed: int = 42) -> DataFrame:
-    return samples.orderBy(seeded(id_col, seed), id_col).limit(n)
+    return _top(samples, [seeded(id_col, seed), F.asc(id_col)], n)
 
 
 def optimal_mix(budget: int) -> tuple[float, float, float, float]:
@@ -92,7 +100,7 @@ def select_by_budget(samples: DataFrame, budget: int, strategy: str = "optimal",
     if strategy == "optimal":
         return select_optimal(samples, budget, id_col, ppl)
     if strategy == "flow":
-        return _flow(samples, ppl).orderBy(F.desc("flow_weight"), id_col).limit(budget)
+        return _top(_flow(samples, ppl), [F.desc("flow_weight"), F.asc(id_col)], budget)
     if strategy == "balanced":
         each = budget // 3
         parts = {b: first_rows(samples.filter(F.col("bucket") == b), [F.asc(id_col)], budget, "_place") for b in ("easy", "medium", "hard")}
@@ -102,11 +110,11 @@ def select_by_budget(samples: DataFrame, budget: int, strategy: str = "optimal",
         return low.unionByName(mid.filter(F.col("_place") < each + left)).drop("_place")
     if strategy == "medium_focus":
         rows = samples.crossJoin(F.broadcast(nth_values(samples, ppl, _mid=0.5)))
-        return rows.orderBy(F.abs(F.col(ppl) - F.col("_mid")), id_col).limit(budget).drop("_mid")
+        return _top(rows, [F.asc(F.abs(F.col(ppl) - F.col("_mid"))), F.asc(id_col)], budget).drop("_mid")
     if strategy == "curriculum":
         return first_rows(samples, [F.asc(ppl), F.asc(id_col)], budget, "score_rank")
     if strategy == "hard_focus":
-        return samples.orderBy(F.desc(ppl), id_col).limit(budget)
+        return _top(samples, [F.desc(ppl), F.asc(id_col)], budget)
     return random_subset(samples, budget, id_col, seed)
 
 
