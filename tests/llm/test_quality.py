@@ -90,3 +90,9 @@ def test_features_and_scores_against_plain_loops():
     apart = quality.fit_nnpu(x[:30] + 3, np.concatenate([x[:20] + 3, x[20:50]]), 0.4, rounds=20, step=0.02)
     start = quality.Model(apart.edges, np.zeros_like(apart.weights), float(np.log(0.4 / 0.6)), 0.4)
     assert risk(apart) < risk(start)
+
+
+def test_the_bound_of_the_sample_holds_at_any_number_of_rows():
+    assert quality._share(10) == quality._share(quality.SAMPLE) == 1 << 60
+    for n in (10**6, 3 * 10**10, 10**13, 10**15):
+        assert abs(quality._share(n) / 2**60 * n - quality.SAMPLE) < 0.01 * quality.SAMPLE

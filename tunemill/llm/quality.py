@@ -127,11 +127,21 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds:
     return model
 
 
+#: Bits of the hash that sampling compares: enough for a bound above zero at any number of rows.
+_POINT_BITS = 60
+
+
+def _share(n: int) -> int:
+    """The bound of the hash under which SAMPLE of n rows lie."""
+    return (SAMPLE << _POINT_BITS) // max(n, SAMPLE)
+
+
 def _sample(rows: DataFrame, n: int) -> np.ndarray:
     """About SAMPLE of the n rows, by a hash of id and features; never over twice as many, however often rows repeat."""
     point = F.xxhash64("doc_id", "x", F.lit(11))
-    part = rows.filter(F.pmod(point, F.lit(1 << 20)) < F.lit(int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))))
-    got = part.orderBy(point).limit(2 * SAMPLE).select("x").toPandas()["x"]
+    got = rows.filter(F.shiftrightunsigned(point, 64 - _POINT_BITS) < F.lit(_share(n))).orderBy(point).limit(2 * SAMPLE).select("x").toPandas()["x"]
+    if n and not len(got) and n > 100 * SAMPLE:
+        raise ValueError(f"no row of {n} was sampled")
     return np.stack(got.to_list()).astype(np.float32) if len(got) else np.zeros((0, len(NAMES)), np.float32)
 
 
