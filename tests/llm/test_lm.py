@@ -108,3 +108,12 @@ def test_the_start_is_a_state_that_training_texts_pass(spark):
     texts = [(i, "a b", 0.0) for i in range(30) if zlib.crc32(str(i).encode()) % 7 != 2] + [(100 + i, t, 0.0) for i, t in enumerate(["a b", "b a"])]
     got = {r.doc_id: r.score for r in lm.score_texts(spark.createDataFrame(texts, SCHEMA), lambda n: n.cast("long") >= 100, mu=(None, None, 1.0)).collect()}
     assert got[100] > -0.2 and got[101] < got[100] - 2
+
+
+def test_counts_beyond_32_bits():
+    big = np.array([2**33 + 5, 7, 0], np.uint64)
+    assert lm._unpacked(lm._packed(big)).tolist() == big.tolist() and lm._unpacked(lm._packed(big[:0])).tolist() == []
+    got = lm._summed([np.array([1, 5, 9], np.uint64), np.array([5], np.uint64)], [big, np.array([2**33], np.uint64)])
+    assert [x.tolist() for x in got] == [[2**33 + 5, 2**33 + 7, 0], [2**33 + 7]]
+    with pytest.raises(OverflowError):
+        lm._summed([np.array([1], np.uint64)] * 2, [np.array([2**62 + 1], np.uint64)] * 2)

@@ -88,12 +88,27 @@ def _decoded(data: bytes, low: int) -> np.ndarray:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """32-bit counts, all their lowest bytes first; the higher ones are nearly all zero."""
-    return zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Counts of at most 64 bits, all their lowest bytes first, as many bytes of each as the largest one needs; the higher ones are nearly all zero."""
+    width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zlib.compress(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+    low = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1).T
+    out = np.zeros((len(low), 8), np.uint8)
+    out[:, : data[0]] = low
+    return out.view(np.uint64).ravel()
+
+
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each list of hashes, what all lists together count of each; in 64 bits, and refused beyond."""
+    _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    each = np.concatenate(counts).astype(np.uint64)
+    sums = np.zeros(int(place.max(initial=-1)) + 1, np.uint64)
+    np.add.at(sums, place, each)
+    if len(each) and float(each.max()) * len(counts) >= 2.0**63:
+        raise OverflowError("counts of an n-gram do not fit 63 bits")
+    return np.split(sums[place], np.cumsum([len(h) for h in hashes])[:-1])
 
 
 def _totals(rows: DataFrame) -> tuple[int, int, int]:
@@ -157,10 +172,10 @@ def score_texts(
         out: dict[str, list] = {"range": [], "block": [], "n": [], "hashes": [], "counts": []}
         for n, g in enumerate(per_order, 1):
             unique, place = np.unique(kept_bits(g, n), return_inverse=True)
-            counts = np.bincount(place, learn, len(unique)).astype(np.uint32)
-            edges = np.arange(1, n_ranges, dtype=np.uint64) << np.uint64(range_bits_of(n)) if range_bits else np.zeros(0, np.uint64)
-            cut = np.searchsorted(unique, edges)
-            for r, (h, c) in enumerate(zip(np.split(unique, cut), np.split(counts, cut), strict=True)):
+            counts = np.bincount(place, learn, len(unique)).astype(np.uint64)
+            number = (unique >> np.uint64(range_bits_of(n))).astype(np.int64) if range_bits else np.zeros(len(unique), np.int64)
+            cut = np.flatnonzero(np.diff(number)) + 1  # only ranges that the block has
+            for h, c, r in zip(np.split(unique, cut), np.split(counts, cut), number[np.append(0, cut)].tolist() if len(unique) else [0], strict=True):
                 if not len(h):
                     continue
                 out["range"].append(r)
@@ -175,10 +190,7 @@ def score_texts(
         blocks = table.column("block").to_pylist()
         hashes = [np.frombuffer(h, np.uint64) if n == 1 else _decoded(h, low) for h, n in zip(table.column("hashes").to_pylist(), table.column("n").to_pylist(), strict=True)]
         counts = [_unpacked(c) for c in table.column("counts").to_pylist()]
-        sizes = [len(h) for h in hashes]
-        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        sums = np.bincount(place, np.concatenate(counts)).astype(np.uint32)
-        parts = np.split(sums[place], np.cumsum(sizes)[:-1])
+        parts = _summed(hashes, counts)
         out = {"block": blocks, "range": table.column("range"), "n": table.column("n"), "counts": [_packed(p) for p in parts]}
         return pa.table(out, schema=pa.schema([("block", pa.int32()), ("range", pa.int32()), ("n", pa.int32()), ("counts", pa.binary())]))
 
@@ -188,7 +200,7 @@ def score_texts(
         got = arcs.select(["n", "range", "counts"]).sort_by([("n", "ascending"), ("range", "ascending")]).to_pylist()
         counts, places = [], []
         for n, g in enumerate(per_order, 1):
-            whole = np.concatenate([_unpacked(x["counts"]) for x in got if x["n"] == n] or [np.zeros(0, np.uint32)]).astype(np.int64)
+            whole = np.concatenate([_unpacked(x["counts"]) for x in got if x["n"] == n] or [np.zeros(0, np.uint64)]).astype(np.int64)
             counts.append(whole)
             places.append(np.unique(kept_bits(g, n), return_inverse=True)[1])
         begins = np.cumsum(n_tokens) - n_tokens
