@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tunemill.operators import messages, sequence, subword
+from tunemill.operators import embedding, messages, sequence, subword
 from tunemill.plans import q_messages
 from tunemill.plans.q_selection import table
 
@@ -46,7 +46,15 @@ def subword_reasoning(spark, sf_dir):
     return _labels(q_messages._thinking(spark, sf_dir), subword.Masking(reasoning=False))
 
 
-QUERIES = {f.__name__: f for f in (score_sequence_ppl, subword_mask, subword_last_turn, subword_reasoning)}
+def embed_texts(spark, sf_dir):
+    """Sums of the vectors of all documents; rounded to what any order of adding keeps."""
+    rows = embedding.embed(table(spark, sf_dir, "documents"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    placed = F.transform("embedding", lambda x, i: x * (i + 1))
+    return rows.select("doc_id", F.size(F.filter("embedding", lambda x: F.abs(x) > 1e-9)).alias("places"), F.round(total(F.transform("embedding", lambda x: x * x)), 6).alias("norm"), F.round(total(placed), 5).alias("checksum"))
+
+
+QUERIES = {f.__name__: f for f in (score_sequence_ppl, embed_texts, subword_mask, subword_last_turn, subword_reasoning)}
 
 ORACLE_SQL = {
     "score_sequence_ppl": r"""
@@ -60,4 +68,12 @@ ORACLE_SQL = {
                CASE WHEN len(cs) >= 2 THEN round(exp(least(a, 20)), 2) ELSE 'inf'::double END AS ppl, CASE WHEN len(cs) >= 2 THEN round(exp(least(coalesce(r, a), 20)), 2) ELSE 'inf'::double END AS response_ppl
         FROM t LEFT JOIN s USING (doc_id)
     """,
+    "embed_texts": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\s]')) AS token FROM documents),
+        c AS (SELECT doc_id, token, sqrt(count(*)) AS n, cast('0x' || substr(md5('features:' || token), 1, 8) AS bigint) AS h FROM t GROUP BY doc_id, token),
+        v AS (SELECT doc_id, h // 2 % 64 AS i, sum(CASE WHEN h % 2 = 1 THEN n ELSE -n END) AS x FROM c GROUP BY ALL),
+        s AS (SELECT doc_id, count(*) FILTER (abs(x) > 1e-9) AS places, sqrt(sum(x * x)) AS norm, sum(x * (i + 1)) AS checksum FROM v GROUP BY doc_id)
+        SELECT doc_id, cast(coalesce(places, 0) AS int) AS places, CASE WHEN coalesce(norm, 0) > 1e-9 THEN 1.0::double ELSE 0 END AS norm, coalesce(round(checksum / greatest(norm, 1e-12), 5), 0) AS checksum
+        FROM documents LEFT JOIN s USING (doc_id)
+    """,
 }
