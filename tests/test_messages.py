@@ -24,6 +24,18 @@ def test_dialects(spark):
     assert norm(spark, [{"role": "user", "body": "only other key"}])[0]["content"] == "only other key"
 
 
+def test_each_turn_tells_its_only_other_field(spark):
+    got = norm(spark, [{"role": "user", "body": "one"}, {"role": "assistant", "speech": "two"}, {"role": "user", "body": "a", "speech": "b"}, {"role": "user", "content": "c", "body": "d"}])
+    assert [m["content"] for m in got] == ["one", "two", "", "c"]
+
+
+def test_an_empty_list_falls_through(spark):
+    lines = [{"sample": 1, "messages": [], "dialogue": [{"role": "user", "content": "here"}]}, {"sample": 2, "messages": [{"role": "user", "content": "first"}], "dialogue": []}, {"sample": 3, "messages": [], "dialogue": None}]
+    df = spark.read.json(spark.sparkContext.parallelize([json.dumps(x) for x in lines]))
+    got = {r["sample"]: r.messages for r in M.normalize(df).collect()}
+    assert got[1][0].content == "here" and got[2][0].content == "first" and got[3] is None
+
+
 def spans(spark, turns):
     df = spark.createDataFrame([(1, i, r, c) for i, (r, c) in enumerate(turns)], "conv_id long, turn long, role string, content string")
     return M.turn_spans(df, "conv_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tunemill.functions.runs import Runs
 from tunemill.operators import metrics as M
 from tunemill.operators import stateful as S
+from tunemill.sources import readers
 
 INF = float("inf")
 
@@ -121,3 +122,21 @@ def test_expired_checkpoints(spark):
     df = spark.createDataFrame([(r, s) for r in (1, 2, None) for s in (5, 1, 3, 9)] + [(4, 7)], "run long, step long")
     kept = lambda k: sorted(((r.run or 0, r.step) for r in M.expired_checkpoints(df, k).collect()))
     assert kept(3) == [(0, 1), (1, 1), (2, 1)] and kept(1) == [(r, s) for r in (0, 1, 2) for s in (1, 3, 5)] and len(kept(0)) == 13
+
+
+def test_lines_have_their_number_within_the_file(spark, tmp_path):
+    for name, n in (("a.log", 2000), ("b.log", 3), ("c.log", 0)):
+        (tmp_path / name).write_text("".join(f"{name} line {i + 1}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = readers.read_log(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 2003 and all(r.line == f"{r.file.rsplit('/', 1)[1]} line {r.no}" for r in got)
+
+
+def test_rows_of_a_history_without_steps_are_numbered(spark, tmp_path):
+    path = str(tmp_path / "h")
+    spark.range(0, 50, 1, 4).selectExpr("cast(id as double) `train/loss`").write.parquet(path)
+    got = sorted((r.step, r.value) for r in readers.read_history(spark, path).collect())
+    assert [s for s, _ in got] == list(range(50)) and sorted(v for _, v in got) == [float(i) for i in range(50)]

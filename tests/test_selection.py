@@ -83,3 +83,11 @@ def test_unscoreable_and_hes(spark):
     one = spark.createDataFrame([(values, [2.0] * 100, [1.0] * 4)], "a array<double>, b array<double>, c array<double>")
     top = one.select(scoring.top_entropy_sum(F.col("a"), 0.5), scoring.top_entropy_sum(F.col("a"), 5.0), scoring.top_entropy_sum(F.col("b"), 5.0), scoring.top_entropy_sum(F.col("c"), 5.0)).first()
     assert [round(x, 6) for x in top] == [4.2, 18.8, 10.0, 0.0]
+
+
+def test_manifest_has_the_median_of_positive_hes(spark):
+    rows = [("a", 3.0, "easy", h) for h in (0.0, 1.0, 4.0, 2.0, 3.0)] + [("b", 30.0, "hard", 0.0), ("c", 9.0, "medium", None)]
+    df = spark.createDataFrame(rows, "source string, response_ppl double, bucket string, hes double")
+    got = {r.source: (r.median_hes, r.overfit_risk, r.num_samples) for r in selection.source_manifest(df).collect()}
+    assert got == {"a": (3.0, "high", 5), "b": (0.0, "low", 1), "c": (0.0, "medium", 1)}
+    assert "median_hes" not in selection.source_manifest(df.drop("hes")).columns

@@ -27,23 +27,23 @@ def normal_role(role: Column, role_map: dict[str, str] | None = None) -> Column:
 
 
 def messages_field(df: DataFrame, primary: str = "messages") -> Column:
-    """The first of the primary field and its aliases that the schema has and that is not null."""
+    """The first of the primary field and its aliases that the schema has and that holds a turn."""
     names = [c for c in dict.fromkeys((primary, *MESSAGE_FIELDS)) if c in df.columns]
-    return F.coalesce(*[F.col(c) for c in names]) if names else F.lit(None)
+    return F.coalesce(*[F.when(F.size(c) > 0, F.col(c)) for c in names]) if names else F.lit(None)
 
 
 def normalize(df: DataFrame, primary: str = "messages", role_map: dict[str, str] | None = None, out: str = "messages") -> DataFrame:
     """Any dialect's turns as an array of (role, content, reasoning_content, name, tool_calls).
 
     Field aliases resolve against the turn's struct; a field that is null counts as absent. Turns without a
-    role go; an array that is left empty becomes null. A turn whose only other field has an unknown name
-    gives its value as content."""
+    role go; an array that is left empty becomes null. A turn that has one field beside its role, of an unknown name,
+    gives its value as content; which one that is, each turn tells for itself."""
     source = messages_field(df, primary)
     raw = df.withColumn("_raw", source)
     kind = raw.schema["_raw"].dataType.elementType
     fields = kind.fieldNames()
     known = {*ROLE_FIELDS, *CONTENT_FIELDS, "reasoning_content", "reasoning", "think", "name", "tool_calls", "function_call"}
-    other = [f for f in fields if f not in known]
+    other, unknown = [f for f in fields if f not in ROLE_FIELDS], [f for f in fields if f not in known]
 
     def first(m: Column, names: tuple[str, ...]) -> Column:
         found = [m[n].cast("string") for n in names if n in fields]
@@ -54,7 +54,8 @@ def normalize(df: DataFrame, primary: str = "messages", role_map: dict[str, str]
 
     def turn(m: Column) -> Column:
         role = normal_role(first(m, ROLE_FIELDS), role_map)
-        content = first(m, CONTENT_FIELDS + (tuple(other) if len(other) == 1 else ()))
+        there = sum((F.when(m[f].isNotNull(), 1).otherwise(0) for f in other), F.lit(0))
+        content = F.coalesce(first(m, CONTENT_FIELDS), F.when(there == 1, F.coalesce(F.lit(None).cast("string"), *[text_of(m, f) for f in unknown])))
         nonempty = [F.nullif(m[n].cast("string"), F.lit("")) for n in ("reasoning", "think") if n in fields]
         reasoning = F.coalesce(*([m["reasoning_content"].cast("string")] if "reasoning_content" in fields else []), *nonempty, F.lit(None).cast("string"))
         legacy = text_of(m, "function_call")

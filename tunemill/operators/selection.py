@@ -119,18 +119,24 @@ def select_by_budget(samples: DataFrame, budget: int, strategy: str = "optimal",
 
 
 def source_manifest(samples: DataFrame, weights: DataFrame | None = None, ppl: str = "response_ppl") -> DataFrame:
-    """Per source: rows, upper-median score, bucket counts, overfit risk, normalised weight, epoch multiplier."""
+    """Per source: rows, upper-median score, bucket counts, overfit risk, normalised weight, epoch multiplier; where the samples
+    have `hes`, also median_hes, the upper median of those above zero, 0 without any."""
     counts = samples.groupBy("source").agg(
         F.count(F.lit(1)).alias("num_samples"), *[F.count(F.when(F.col("bucket") == b, 1)).alias(f"n_{b}") for b in ("easy", "medium", "hard")]
     )
     median = nth_values(samples, ppl, by="source", median=0.5)
     rows = counts.join(median, "source")
     rows = rows.join(weights, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0))) if weights is not None else rows.withColumn("weight", F.lit(1.0))
+    more = []
+    if "hes" in samples.columns:
+        hes = nth_values(samples.filter("hes > 0"), "hes", by="source", median_hes=0.5)
+        rows = rows.join(hes, "source", "left")
+        more = [F.round(F.coalesce("median_hes", F.lit(0.0)), 2).alias("median_hes")]
     total = rows.agg(F.sum("weight").alias("total"))
     risk = F.when(F.col("median") < 5, "high").when(F.col("median") < 20, "medium").otherwise("low")
     return rows.crossJoin(F.broadcast(total)).select(
         "source", "num_samples", "n_easy", "n_medium", "n_hard", F.round("median", 2).alias("median_ppl"), risk.alias("overfit_risk"),
-        F.round(F.col("weight") / F.col("total"), 4).alias("normalized_weight"), F.when(risk == "high", 0.5).when(risk == "medium", 1.0).otherwise(1.5).alias("epoch_multiplier"),
+        F.round(F.col("weight") / F.col("total"), 4).alias("normalized_weight"), F.when(risk == "high", 0.5).when(risk == "medium", 1.0).otherwise(1.5).alias("epoch_multiplier"), *more,
     )
 
 

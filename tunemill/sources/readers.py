@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tunemill.functions.runs import Runs
+from tunemill.session import written
+
 PREPARED, EVAL = "prepared_data", "eval_data"
 
 
@@ -107,8 +110,11 @@ def read_history(spark: SparkSession, path: str, metric: str = "train/loss", ste
     rows = spark.read.parquet(path)
     if "metric" in rows.columns:
         return rows.filter(F.col("metric") == metric).select("run", "step", "value").na.drop(subset=["value"])
-    at = F.col(f"`{step}`") if step in rows.columns else F.monotonically_increasing_id()
     run = F.col("run") if "run" in rows.columns else F.lit("")
+    if step not in rows.columns:  # rows count as steps, from 0, in the order of the files
+        rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"), run.alias("_of"))
+        rows = Runs(rows, "_of", ["_file", "_row"]).number("_step").select({"_step": F.col("_step") - 1}).frame()
+    at = F.col(f"`{step}`") if step in rows.columns else F.col("_step")
     return rows.select(run.alias("run"), at.cast("bigint").alias("step"), F.col(f"`{metric}`").alias("value")).na.drop(subset=["value"])
 
 
@@ -129,8 +135,10 @@ def read_eval_source(spark: SparkSession, source: dict, schema: StructType | str
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """line and its number within the file."""
-    return spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("no"), F.input_file_name().alias("file"))
+    """line, its number within the file from 1, and the file. A file of any length is numbered by ranges of its lines, in as many tasks as read it."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    numbered = Runs(written(lines, "log-lines"), "file", ["_block", "_row"]).number("no").frame()
+    return numbered.select("line", "no", "file")
 
 
 def latest_checkpoint(checkpoints: DataFrame, marker: str = "complete") -> DataFrame:
