@@ -71,16 +71,49 @@ def test_cache(spark, tmp_path):
 
 
 def test_metric_history(spark, tmp_path):
-    sink = sinks.MetricSink(spark, str(tmp_path / "m"), "r1")
-    sink.log({"train/loss": 2.0}, 1)
-    sink.log({"other": 1.0}, 2)
-    sink.log({"train/loss": 1.5}, 3)
-    got = readers.read_history(spark, str(tmp_path / "m")).orderBy("step").collect()
-    assert [(r.run, r.step, r.value) for r in got] == [("r1", 1, 2.0), ("r1", 3, 1.5)]
+    with sinks.MetricSink(spark, str(tmp_path / "m"), "r1", every=2) as sink:
+        sink.log({"train/loss": 2.0}, 1)
+        sink.log({"other": 1.0}, 2)
+        assert not sink.rows  # two steps, one flush
+        sink.log({"train/loss": 1.5}, 3)
+    history = lambda: [(r.run, r.step, r.value) for r in readers.read_history(spark, str(tmp_path / "m")).orderBy("run", "step").collect()]
+    assert history() == [("r1", 1, 2.0), ("r1", 3, 1.5)]
+    with sinks.MetricSink(spark, str(tmp_path / "m"), "r1") as again, sinks.MetricSink(spark, str(tmp_path / "m"), "r/2") as other:
+        again.log({"train/loss": 1.25}, 3)  # the run went back to a checkpoint before step 3
+        again.log({"train/loss": float("nan")}, 1)
+        other.log({"train/loss": 7.0}, 3)
+    assert history() == [("r/2", 3, 7.0), ("r1", 3, 1.25)]
     spark.createDataFrame([(1, 2.0), (2, None)], "`train/global_step` long, `train/loss` double").write.parquet(str(tmp_path / "wide"))
     assert [(r.step, r.value) for r in readers.read_history(spark, str(tmp_path / "wide")).collect()] == [(1, 2.0)]
 
 
+def test_failing_metrics_are_kept_and_reported_three_times(spark, tmp_path, caplog):
+    (tmp_path / "m").write_text("a file where the folder should be")
+    sink = sinks.MetricSink(spark, str(tmp_path / "m"), "r", every=1)
+    for step in range(5):
+        sink.log({"a": 1.0}, step)
+    sink.log({"a": "no number"}, 5)
+    assert sink.failures == 7 and len([r for r in caplog.records if "metrics not written" in r.message]) == 3
+    (tmp_path / "m").unlink()
+    sink.close()
+    assert sorted(r.step for r in readers.read_history(spark, str(tmp_path / "m"), "a").collect()) == list(range(5))
+
+
+def test_replayed_batches_change_no_metric(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "m")
+    put = lambda k, rows: spark.createDataFrame(rows, "run string, step long, metric string, value double").coalesce(1).write.parquet(f"{source}/part={k}")
+    stream = lambda: spark.readStream.schema("run string, step long, metric string, value double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(source)
+    history = lambda: sorted((r.run, r.step, r.value) for r in readers.read_history(spark, path, "x").collect())
+    put(0, [("a", 1, "x", 1.0), ("a", 2, "x", None), ("a", 2, "y", 5.0)])
+    sinks.stream_metrics(stream(), path, str(tmp_path / "c0"))
+    put(1, [("a", 1, "x", 3.0), ("b", 1, "x", 2.0)])
+    sinks.stream_metrics(stream(), path, str(tmp_path / "c0"))
+    first = history()
+    assert first == [("a", 1, 3.0), ("b", 1, 2.0)]
+    sinks.stream_metrics(stream(), path, str(tmp_path / "c1"))  # without the progress: both batches again
+    assert history() == first and spark.read.parquet(path).count() == 5
+
+
 def test_settings(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("data:\n  max_seq_length: 128\n  packing: true\npreprocess: {budget: 7}\nother: 1\n")

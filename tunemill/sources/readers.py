@@ -105,9 +105,13 @@ def first_read(df: DataFrame, n: int) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str, metric: str = "train/loss", step: str = "train/global_step") -> DataFrame:
-    """(run, step, value) of a metric from the rows that a MetricSink wrote, or from a table with a column for each metric;
-    steps without the metric are left out."""
+    """(run, step, value) of a metric from the rows that a MetricSink or stream_metrics wrote, or from a table with a column for
+    each metric; steps without the metric, or with NaN, are left out. Of several values that flushes have for a step, the
+    latest flush's counts, of those within one the largest."""
     rows = spark.read.parquet(path)
+    if "flush" in rows.columns:
+        of = rows.filter(F.col("metric") == metric)
+        return of.groupBy("run", "step").agg(F.max(F.struct("flush", "value"))["value"].alias("value")).na.drop(subset=["value"])
     if "metric" in rows.columns:
         return rows.filter(F.col("metric") == metric).select("run", "step", "value").na.drop(subset=["value"])
     run = F.col("run") if "run" in rows.columns else F.lit("")

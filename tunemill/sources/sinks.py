@@ -93,17 +93,66 @@ def materialize(build: Callable[[], DataFrame], spark: SparkSession, folder: str
     return spark.read.parquet(f"{base}/tokens.parquet")
 
 
+_METRICS = "run string, step bigint, metric string, value double"
+
+
+def stream_metrics(stream: DataFrame, path: str, checkpoint: str, name: str = "stream") -> None:
+    """Writes a stream of (run, step, metric, value) rows, all that is available, for `read_history`.
+
+    A batch has a folder of its own, named by the stream's `name` and its number, so that a batch that is written again after a
+    failure, or by a stream that starts anew over the same input, replaces itself. A failing batch stops the stream,
+    as the next start repeats it. Two streams at one time need two names."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.select("run", F.col("step").cast("bigint"), "metric", F.col("value").cast("double")).write.mode("overwrite").parquet(f"{path}/writer={name}/flush={batch}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 class MetricSink:
-    """Appends (run, step, metric, value) rows; a failing backend is reported three times and never stops a run."""
+    """Keeps (run, step, metric, value) rows and writes those of `every` steps at a time; close() writes the rest.
 
-    def __init__(self, spark: SparkSession, path: str, run: str):
-        self.spark, self.path, self.run, self.failures = spark, path, run, 0
+    Each flush is a folder of its own, numbered on from those that are there, so a repeated one changes nothing for
+    `read_history`, which takes the latest value that a run has for a step: a run that goes on from a checkpoint replaces
+    the steps after it. A failing backend is reported three times and never stops a run; its rows are kept for the next flush."""
+
+    def __init__(self, spark: SparkSession, path: str, run: str, every: int = 100):
+        self.spark, self.path, self.run, self.every, self.failures = spark, path.rstrip("/"), run, every, 0
+        self.rows: list[tuple[str, int, str, float]] = []
+        self.steps = 0
+        self.folder = f"{self.path}/writer={hashlib.sha256(run.encode()).hexdigest()[:32]}"
+        self.flushes: int | None = None
 
     def log(self, metrics: dict[str, float], step: int) -> None:
-        rows = [(self.run, step, k, float(v)) for k, v in {**metrics, "train/global_step": step}.items()]
         try:
-            self.spark.createDataFrame(rows, "run string, step bigint, metric string, value double").write.mode("append").parquet(self.path)
+            self.rows += [(self.run, step, k, float(v)) for k, v in {**metrics, "train/global_step": step}.items()]
+        except (TypeError, ValueError) as e:
+            self._warn(e)
+        self.steps += 1
+        if self.steps % self.every == 0:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.rows:
+            return
+        try:
+            if self.flushes is None:
+                self.flushes = 1 + max((int(name.rsplit("=", 1)[1]) for name, _, _ in listing(self.spark, self.folder)), default=-1)
+            self.spark.createDataFrame(self.rows, _METRICS).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/flush={self.flushes}")
+            self.rows, self.flushes = [], self.flushes + 1
         except Exception as e:  # noqa: BLE001  metrics never stop a run
-            self.failures += 1
-            if self.failures <= 3:
-                log.warning("metrics not written: %s", e)
+            self._warn(e)
+
+    def close(self) -> None:
+        self.flush()
+
+    def _warn(self, e: Exception) -> None:
+        self.failures += 1
+        if self.failures <= 3:
+            log.warning("metrics not written: %s", e)
+
+    def __enter__(self) -> MetricSink:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()

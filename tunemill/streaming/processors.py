@@ -56,16 +56,29 @@ def spike_states(stream: DataFrame, run: str = "run", order: str = "event_id", v
     return stream.groupBy(run).applyInPandasWithState(update, f"{run} {kind}, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, mode: str, folder: str, keys: list[str]) -> DataFrame:
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_once(stream: DataFrame, mode: str, folder: str, keys: list[str], rocksdb: bool = False) -> DataFrame:
     """The result for everything that is available, as a table in `folder`, which driver and executors share; the
     progress is kept beside it, so that a later call goes on from there.
 
     Each micro-batch is written by the executors. In complete mode the last batch holds the result, in append mode all
-    of them do; in update mode it is each key's row of the last batch that has the key."""
-    out = f"{folder}/batches"
+    of them do; in update mode it is each key's row of the last batch that has the key. With `rocksdb` the state is kept
+    there, as list state needs it."""
+    spark, out = stream.sparkSession, f"{folder}/batches"
     write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rows = stream.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(out)
+    before = spark.conf.get(_PROVIDER, None)
+    if rocksdb:
+        spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:  # the query has the settings of its start
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        if rocksdb:
+            spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+    query.awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(out)
     if mode == "append":
         return rows.drop("batch")
     if mode == "complete":
