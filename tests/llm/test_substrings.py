@@ -3,15 +3,22 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tunemill.llm import substrings
 
 SCHEMA = "doc_id long, text string, n_bytes int, block int"
 
 
-def brute(rows):
-    """Rows in order of id (null last), equal ids in order of text."""
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, (rows[k][1] or "").encode()))
+def ties(df):
+    """The hash of each row, by id and text."""
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return {(r.doc_id, bytes(r.t)): r.tie for r in df.select("doc_id", text.alias("t"), F.xxhash64("doc_id", text).alias("tie")).collect()}
+
+
+def brute(rows, tie):
+    """Rows in order of id (null last), equal ids in order of their hash, then of text."""
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, tie[rows[k][0], (rows[k][1] or "").encode()], (rows[k][1] or "").encode()))
     seen, out = set(), [None] * len(rows)
     for k in order:
         d = (rows[k][1] or "").encode()
@@ -45,7 +52,7 @@ def test_against_brute_force(spark, monkeypatch, block, hot, share):
     rows = rows_of()
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA)
     got = substrings.remove_repeats(df).collect()
-    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows, ties(df))
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in got)
 
 
@@ -67,3 +74,23 @@ def test_expansion_finds_common_prefixes(length):
 
 def test_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("hot,share", [(16384, 256), (2, 7)])
+def test_rows_of_one_id_are_spread(spark, monkeypatch, hot, share):
+    """Half of all rows have a null id, a quarter one id: they stand in many blocks, and the result is that of brute force."""
+    monkeypatch.setattr(substrings, "PART_BLOCKS", share)
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 8000)
+    monkeypatch.setattr(substrings, "HOT", hot)
+    rng = random.Random(4)
+    passage = ["".join(rng.choice("abcde ") for _ in range(160)) for _ in range(3)]
+    rows = [(None if i % 2 else 7 if i % 4 == 0 else i, f"{rng.random()} {rng.choice(passage)} {rng.random()} {rng.choice(passage)}"[rng.randrange(30) :]) for i in range(120)]
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA)
+    seen = []
+    monkeypatch.setattr(substrings.F, "expr", lambda e, plain=F.expr: seen.append(e) or plain(e))
+    got = substrings.remove_repeats(df).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows, ties(df))
+    block = next(e for e in seen if "tie" in e)
+    spread = df.withColumn("tie", F.xxhash64("doc_id", F.col("text").cast("binary"))).selectExpr("doc_id", f"{block} AS b").groupBy("doc_id").agg(F.countDistinct("b").alias("n"), F.min("b").alias("least"))
+    assert {r.doc_id: r.n for r in spread.collect()}[None] > 10 and all(r.least >= 0 for r in spread.collect())

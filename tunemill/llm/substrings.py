@@ -209,25 +209,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_bytes, n_removed, n_spans, kept (binary; null unless with_text), kept_sha256; one row per row of docs.
 
     Earlier means a smaller id, or the same row and an earlier start. Ids are integers; a null id comes after
-    all others, and rows that repeat an id come in the order of their texts. Null text counts as empty; texts
+    all others, and rows that repeat an id come in the order of a hash of id and text, then of their texts. Blocks are
+    ranges of that hash, so rows of one id, null ids among them, are spread by their texts. Null text counts as empty; texts
     under LENGTH bytes keep all. Texts of any length are taken whole. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = int(docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n)
     n_blocks, range_bits = 1 + total // BLOCK_BYTES, (total // RANGE_BYTES).bit_length()
     kind = docs.schema[id_col].dataType.simpleString()
-    block = F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), block.alias("block")).repartition(n_blocks, "block")
+    block = F.expr(f"cast(((shiftright(tie, 32) + 2147483648) * {n_blocks}L) div 4294967296 as int)")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("tie")).withColumn("block", block).repartition(n_blocks, "block")
 
     def opened(table: pa.Table) -> tuple[pa.Table, bytes, np.ndarray, np.ndarray]:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")])
         texts = table.column("text").to_pylist()
         ends = np.cumsum([len(t) for t in texts])
         return table, b"".join(texts), ends - [len(t) for t in texts], ends
 
-    def cut_at(sorted_hashes: np.ndarray) -> np.ndarray:
-        edges = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits) if range_bits else np.zeros(0, np.uint64)
-        return np.searchsorted(sorted_hashes, edges)
+    def ranges(sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges that sorted hashes have, and where the next one begins."""
+        of = sorted_hashes >> np.uint64(64 - range_bits) if range_bits else np.zeros(len(sorted_hashes), np.uint64)
+        cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+        return of[np.concatenate([[0], cut]).astype(np.int64)] if len(of) else of, cut
 
     def ask(table: pa.Table) -> pa.Table:
         table, data, begins, ends = opened(table)
@@ -235,13 +238,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _, h, first, last = segments(raw, begins, ends)
         unique, count = np.unique(h, return_counts=True)
         out: dict[str, list] = {"range": [], "block": [], "hashes": [], "counts": []}
-        cut = cut_at(unique)
-        for r, (part, c) in enumerate(zip(np.split(unique, cut), np.split(count, cut), strict=True)):
-            if len(part):
-                out["range"].append(r)
-                out["block"].append(table.column("block")[0].as_py())
-                out["hashes"].append(part.tobytes())
-                out["counts"].append(zlib.compress(c.astype(np.uint32).tobytes(), 1))
+        numbers, cut = ranges(unique)
+        for r, part, c in zip(numbers.tolist(), np.split(unique, cut), np.split(count, cut)):  # no range without hashes
+            out["range"].append(r)
+            out["block"].append(table.column("block")[0].as_py())
+            out["hashes"].append(part.tobytes())
+            out["counts"].append(zlib.compress(c.astype(np.uint32).tobytes(), 1))
         return pa.table(out, schema=pa.schema([("range", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     def answer(table: pa.Table) -> pa.Table:
@@ -295,7 +297,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Of the rows of each hot window all but the earliest are repeated; the earliest goes on, but after the last step."""
 
         def run(table: pa.Table) -> pa.Table:
-            rows = table.select(sent.names).sort_by([(c, "ascending") for c in ("hash", "part", "doc", "row", "lo")]).combine_chunks()
+            rows = table.select(sent.names).sort_by([(c, "ascending") for c in ("hash", "part", "doc", "block", "row", "lo")]).combine_chunks()
             if not rows.num_rows:
                 return rows
             key = np.frombuffer(b"".join(rows.column("part").to_pylist()), np.uint64).reshape(-1, 2)
@@ -313,11 +315,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Flags of repeated bytes: later copies of a segment whole, of different segments what the expansion finds."""
         done = table.column("hash").is_null().to_numpy()
         block, row, doc, lo, hi = (table.column(c).to_numpy() for c in ("block", "row", "doc", "lo", "hi"))
+        place = (block.astype(np.int64) << 32) | row
         flags = [np.stack([block[done], row[done], lo[done], hi[done]], 1)]
         todo = np.flatnonzero(~done)
         hashes = table.column("hash").to_numpy(zero_copy_only=False)[todo].astype(np.int64) if not done.any() else np.array([v for v in table.column("hash").to_pylist() if v is not None], np.int64)
         parts = np.array(table.column("part").take(pa.array(todo)).to_pylist(), dtype=object)
-        by_place = np.lexsort((lo[todo], row[todo], doc[todo], hashes))
+        by_place = np.lexsort((lo[todo], place[todo], doc[todo], hashes))
         todo, hashes, parts = todo[by_place], hashes[by_place], parts[by_place]
         chunk: list[int] = []
         group: dict[bytes, int] = {}
@@ -327,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             nonlocal chunk, size
             if chunk:
                 at = todo[chunk]
-                found = repeats([parts[i] for i in chunk], doc[at], row[at], lo[at])
+                found = repeats([parts[i] for i in chunk], doc[at], place[at], lo[at])
                 own = at[found[:, 0]]
                 flags.append(np.stack([block[own], row[own], lo[own] + found[:, 1], lo[own] + found[:, 2]], 1))
             chunk, size = [], 0
