@@ -385,19 +385,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"doc_id": table.column("doc_id"), **longs, "kept": pa.array(out["kept"], pa.binary()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())})
 
     asked = rows.groupBy("block").applyInArrow(ask, "range int, block int, hashes binary, counts binary")
-    answers = asked.groupBy("range").applyInArrow(answer, "block int, range int, state binary")
+    wide = 1 << range_bits  # tasks of these shuffles: as many as the input gives, not as the session sets
+    answers = asked.repartition(wide, "range").groupBy("range").applyInArrow(answer, "block int, range int, state binary")
     found = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(send, "hash long, block int, row int, doc long, lo int, hi int, part binary")
     late = None
     if n_blocks > PART_BLOCKS:
         columns = "hash long, block int, row int, doc long, lo int, hi int, part binary"
         spot = F.pmod(F.xxhash64("part"), F.lit(8 << range_bits))
         hot = found.filter(F.octet_length("part") < LENGTH).withColumn("spot", spot).withColumn("share", F.expr(f"block div {PART_BLOCKS}"))
-        first = hot.groupBy("spot", "share").applyInArrow(first_places(False), columns)
-        last = first.filter("hash is not null").withColumn("spot", spot).groupBy("spot").applyInArrow(first_places(True), columns)
+        first = hot.repartition(wide, "spot", "share").groupBy("spot", "share").applyInArrow(first_places(False), columns)
+        last = first.filter("hash is not null").withColumn("spot", spot).repartition(wide, "spot").groupBy("spot").applyInArrow(first_places(True), columns)
         late = first.filter("hash is null").unionByName(last).select(*_FLAGS.names)
         found = found.filter((F.octet_length("part") >= LENGTH) | F.col("part").isNull())
     bucket = F.pmod(F.when(F.col("hash").isNotNull(), F.xxhash64("hash")).otherwise(F.xxhash64("block", "row")), F.lit(8 << range_bits))
-    flags = found.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(expand, "block int, row int, lo int, hi int")
+    flags = found.withColumn("bucket", bucket).repartition(wide, "bucket").groupBy("bucket").applyInArrow(expand, "block int, row int, lo int, hi int")
     flags = flags.unionByName(late) if late is not None else flags
     out = rows.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out
