@@ -150,6 +150,16 @@ def test_jobs(tmp_path):
     assert [jobs.will_resume(*x) for x in (("", "c"), ("auto", None), ("auto", "c"), ("path", None))] == [False, False, True, True]
 
 
+def test_jobs_on_the_shared_file_system(spark, tmp_path):
+    path, done = f"file:{tmp_path}/deep/s.json", []
+    phases = {"a": lambda s: done.append("a") or {"x": "é"}, "b": lambda s: done.append("b") or {"y": s["x"] * 2}}
+    assert jobs.run_phases(phases, path, spark)["y"] == "éé" == jobs.run_phases(phases, path, spark)["y"] and done == ["a", "b"]
+    (tmp_path / "deep" / "s.json").rename(tmp_path / "deep" / "s.json.new")  # as a crash before the last step leaves it
+    assert jobs.load_state(path, spark)["completed_phases"] == ["a", "b"] and jobs.load_state(f"{path}.none", spark) == {}
+    first = jobs.run_id(f"file:{tmp_path}", "n", False, spark)
+    assert jobs.run_id(f"file:{tmp_path}", "n", True, spark) == first == jobs.run_id(tmp_path, "n", True)
+
+
 def test_ranks_without_one_task(spark, monkeypatch):
     rows = written(spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 101).cast("double").alias("x"), "id"), "t")
     plain = {n: sorted(map(tuple, f().collect())) for n, f in (("run", lambda: running_total(rows, ["g", "x", "id"], "id", "s")), ("nth", lambda: nth_values(rows, "x", by="g", a=0.5, b=0.9)), ("one", lambda: nth_values(rows, "x", a=0.5)))}

@@ -46,6 +46,30 @@ def listing(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
     return sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", ".")))
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is no such file."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside the old one, as path.new, and puts it in its place; a crash leaves one of the two."""
+    p, fs = _fs(spark, f"{path}.new")
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    delete(spark, path)
+    rename(spark, f"{path}.new", path)
+
+
 @dataclass
 class Registry:
     """Names of data sets that are no paths: a catalog table or a path for each (name, split)."""
@@ -145,6 +169,24 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("line", "no", "file")
 
 
+#: Files of which one at least stands in a checkpoint that was written to its end. Fixed values.
+MARKERS = ("training_meta.json", "dcp/.metadata", "model/model.safetensors.index.json")
+
+
+def scan_checkpoints(spark: SparkSession, folder: str, run: str = "*", markers: tuple[str, ...] = MARKERS) -> DataFrame:
+    """(run, step, path, complete) of the folders step-N below the runs of a folder, or below one run; complete if a marker is there.
+
+    Folders of other names are left out. Folders are listed on the driver, no file is opened. No folder gives no rows."""
+    p, fs = _fs(spark, f"{folder.rstrip('/')}/{run}/step-*")
+    rows = []
+    for s in fs.globStatus(p) or []:
+        name, path = s.getPath().getName(), s.getPath().toString()
+        number = name.split("-")[1]
+        if s.isDirectory() and number.isascii() and number.isdigit():
+            rows.append((s.getPath().getParent().getName(), int(number), path, any(exists(spark, f"{path}/{m}") for m in markers)))
+    return spark.createDataFrame(rows, "run string, step bigint, path string, complete boolean")
+
+
 def latest_checkpoint(checkpoints: DataFrame, marker: str = "complete") -> DataFrame:
     """(run, step, path, marker): the newest marked checkpoint of each run."""
     return checkpoints.filter(marker).groupBy("run").agg(F.max_by("path", "step").alias("path"), F.max("step").alias("step"))

@@ -12,7 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunemill.sources.readers import PREPARED, delete, exists, listing, rename
+from tunemill.operators.metrics import expired_checkpoints
+from tunemill.sources.readers import PREPARED, delete, exists, listing, rename, scan_checkpoints
 
 log = logging.getLogger(__name__)
 
@@ -93,6 +94,21 @@ def materialize(build: Callable[[], DataFrame], spark: SparkSession, folder: str
     return spark.read.parquet(f"{base}/tokens.parquet")
 
 
+def prune_checkpoints(spark: SparkSession, folder: str, keep: int, run: str = "*") -> int:
+    """Deletes all but the newest `keep` folders step-N of each run, complete or not, and says how many. Folders of other names stay;
+    0 keeps all. One that cannot be deleted is reported and stays."""
+    if keep < 0:
+        raise ValueError("keep is not negative")
+    gone = 0
+    for path in [r.path for r in expired_checkpoints(scan_checkpoints(spark, folder, run), keep).collect()] if keep else []:
+        try:
+            delete(spark, path)
+            gone += 1
+        except Exception as e:  # noqa: BLE001  any file system's own error
+            log.warning("cannot delete %s: %s", path, e)
+    return gone
+
+
 _METRICS = "run string, step bigint, metric string, value double"
 
 
