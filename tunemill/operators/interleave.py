@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunemill.functions.ranks import global_rank
-from tunemill.session import written
+from tunemill.session import small, written
 
 
 def interleave(rows: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -21,7 +21,7 @@ def interleave(rows: DataFrame, weights: dict[str, float], id_col: str = "doc_id
     ranked = written(global_rank(weighted, [F.asc(source_col), F.asc(id_col)], "_at"), "interleave")
     first = ranked.groupBy(source_col).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.max("_w").alias("_weight"))
     stop = first.agg(F.min((F.col("_last") - F.col("_first") + 0.5) / F.col("_weight")).alias("_stop"))
-    keyed = ranked.join(F.broadcast(first.drop("_weight", "_last").crossJoin(stop)), source_col)
+    keyed = ranked.join(small(written(first.drop("_weight", "_last").crossJoin(stop), "interleave-first")), source_col)
     keyed = keyed.withColumn("key", (F.col("_at") - F.col("_first") + 0.5) / F.col("_w")).filter(F.col("key") <= F.col("_stop"))
     return global_rank(keyed.drop("_at", "_first", "_stop", "_w"), [F.asc("key"), F.asc(source_col), F.asc(id_col)], "place")
 
