@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tunemill.functions.runs import Runs
 from tunemill.operators import metrics as M
 from tunemill.operators import stateful as S
+from tunemill.operators import tuning
 from tunemill.sources import readers
 
 INF = float("inf")
@@ -140,3 +141,14 @@ def test_rows_of_a_history_without_steps_are_numbered(spark, tmp_path):
     spark.range(0, 50, 1, 4).selectExpr("cast(id as double) `train/loss`").write.parquet(path)
     got = sorted((r.step, r.value) for r in readers.read_history(spark, path).collect())
     assert [s for s, _ in got] == list(range(50)) and sorted(v for _, v in got) == [float(i) for i in range(50)]
+
+
+@pytest.mark.parametrize("limit", [200_000, 5])
+def test_curve_points_are_those_of_the_whole_curve(spark, limit):
+    lengths = {"a": 1, "b": 2, "c": 3, "d": 11, None: 40}
+    rows = [(r, 10 * i, None if r == "b" else float(i * 37 % 41)) for r, n in lengths.items() for i in range(n)]
+    got = {r.run: tuple(r.curve) for r in tuning.curve_points(spark.createDataFrame(rows, "run string, step long, value double"), limit=limit).collect()}
+    for run, n in lengths.items():
+        curve = [v for r, _, v in rows if r == run]
+        assert got[run] == (n, curve[0], curve[n // 2], curve[-min(max(3, n // 3), n)], curve[-1])
+    assert len(got) == 5 and tuning.curve_points(spark.createDataFrame([], "run string, step long, value double")).collect() == []

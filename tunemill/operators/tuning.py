@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunemill.functions.ranks import global_rank
+from tunemill.functions.runs import RUN_ROWS, Runs
+from tunemill.session import small, written
 
 INF = float("inf")
 
@@ -29,9 +32,20 @@ def coarse_candidates(runs: DataFrame, params_b: str = "params_b", tokens: str =
     return runs.withColumn("center", center).withColumn("offset", F.explode(offsets)).withColumn("lr", clamp(F.pow(F.lit(10.0), F.log10("center") + F.col("offset")), 1e-7, 5e-3))
 
 
+def curve_points(series: DataFrame, run: str = "run", step: str = "step", value: str = "value", limit: int = RUN_ROWS) -> DataFrame:
+    """For each run, what the scores of its curve need: run, and `curve` with n, first, mid, back (the value a third of the
+    curve before the end, three steps at least) and last. Values are taken by their number within the run, so no task holds a
+    whole curve. Runs without rows have none; a null value stays null."""
+    rows = Runs(series.select(F.col(run).alias("_run"), F.col(step).alias("_step"), F.col(value).alias("_v")), "_run", ["_step", "_v"], limit).number("_i").frame()
+    counts = written(rows.groupBy("_run").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_run", "_of"), "curve-lengths")
+    at = {"first": F.lit(1), "mid": F.expr("n div 2 + 1"), "back": F.expr("n - least(greatest(3, n div 3), n) + 1"), "last": F.col("n")}
+    picked = rows.join(small(counts), F.col("_run").eqNullSafe(F.col("_of"))).filter(reduce(Column.__or__, (F.col("_i") == p for p in at.values())))
+    points = [F.max(F.when(F.col("_i") == p, F.col("_v"))).alias(name) for name, p in at.items()]
+    return picked.groupBy("_run").agg(F.max("n").alias("n"), *points).select(F.col("_run").alias(run), F.struct("n", *at).alias("curve"))
+
+
 def curve_curvature(curve: Column) -> Column:
-    n = F.size(curve)
-    first, mid, last = curve[0], F.element_at(curve, (F.floor(n / 2) + 1).cast("int")), F.element_at(curve, -1)
+    n, first, mid, last = (curve[c] for c in ("n", "first", "mid", "last"))
     return F.when(n < 3, F.lit(0.0)).otherwise((first + last - 2 * mid) / F.greatest(F.abs(first), F.lit(1e-8)))
 
 
@@ -80,12 +94,11 @@ def scaling_law_lr(params_b: Column, tokens: Column, steps: Column) -> Column:
 
 
 def early_stop(curve: Column, total_steps: Column, best: Column) -> Column:
-    n, last = F.size(curve), F.element_at(curve, -1)
+    n, last = curve["n"], curve["last"]
     bad = F.isnan(last) | (F.abs(last) == INF)
-    back = F.greatest(F.lit(3), F.floor(n / 3).cast("int"))
-    rising = (n >= back) & (last > F.element_at(curve, -F.least(back, n)) * 1.1)
+    rising = (n >= F.greatest(F.lit(3), F.floor(n / 3))) & (last > curve["back"] * 1.1)
     worse = (n >= F.floor(total_steps / 2)) & (last > best * 1.05)
-    stuck = (n >= F.floor(total_steps / 4)) & (last >= curve[0] * 0.99)
+    stuck = (n >= F.floor(total_steps / 4)) & (last >= curve["first"] * 0.99)
     waiting = n < F.greatest(F.lit(5), F.floor(total_steps / 4))
     return F.when(n == 0, F.lit(False)).when(bad, True).when(waiting, False).otherwise(rising | worse | stuck)
 

@@ -223,16 +223,13 @@ def scaling_law_lr(spark, sf_dir):
 
 
 def early_stop(spark, sf_dir):
-    curve = F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"])
-    rows = _holed(spark, sf_dir).groupBy("run").agg(curve.alias("curve"))
-    return rows.select("run", T.early_stop(F.col("curve"), F.size("curve") * 2, F.lit(30.0)).alias("stop"))
+    rows = T.curve_points(_holed(spark, sf_dir, cut=True))
+    return rows.select("run", T.early_stop(F.col("curve"), F.col("curve.n") * 2, F.lit(30.0)).alias("stop"))
 
 
 def trial_scores(spark, sf_dir):
-    curve = F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda x: x["value"])
-    rows = _series(spark, sf_dir).groupBy("run").agg(curve.alias("curve"))
-    last = F.element_at("curve", -1)
-    return rows.select("run", F.round(T.curve_curvature(F.col("curve")), 5).alias("curvature"), F.round(T.trial_score(last, F.col("curve"), F.lit(False)), 5).alias("score"), F.round(T.loss_reduction(F.col("curve")[0], last), 5).alias("reduction"))
+    rows, last = T.curve_points(_series(spark, sf_dir, cut=True)), F.col("curve.last")
+    return rows.select("run", F.round(T.curve_curvature(F.col("curve")), 5).alias("curvature"), F.round(T.trial_score(last, F.col("curve"), F.lit(False)), 5).alias("score"), F.round(T.loss_reduction(F.col("curve.first"), last), 5).alias("reduction"))
 
 
 def lr_schedule(spark, sf_dir):
