@@ -11,14 +11,17 @@ from tunemill.session import small, written
 HOT = 20_000
 
 
-def hot_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: int = HOT) -> DataFrame:
+def hot_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str, hot: int = HOT, many: DataFrame | None = None) -> DataFrame:
     """left joined with right, which has one row for each key; how is inner or left.
 
+    `many` names the keys with over `hot` left rows, without repeats, where the caller has counted them already.
+
     Keys that many rows of left share are not shuffled: their few right rows are sent to left's tasks. All others
     meet by a shuffle, in which no key has more than `hot` rows. Should there be too many hot keys to send, they are
     shuffled in as many shares as there are salts.
     """
-    many = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot)
+    if many is None:
+        many = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot)
     rows = written(right.join(many.select(*keys), keys, "left_semi"), "hot-keys")
     if rows.isEmpty():
         return left.join(right, keys, how)
