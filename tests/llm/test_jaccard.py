@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from tunemill.llm import jaccard
+from tunemill.functions import skew
+from tunemill.llm import components, jaccard
 
 SCHEMA = "doc_id long, text string, component_id long, n long"
 
@@ -85,6 +86,37 @@ def test_boilerplate_asks_few_tiles(spark):
         assert len(got) <= 400 * 40 // ratio
 
 
+def test_long_texts_fill_no_tile(spark, monkeypatch):
+    rng = random.Random(11)
+    long = [f"l{i}" for i in range(900)]
+    texts = variants(rng, long, 30) + variants(rng, [f"s{i}" for i in range(60)], 30) + [" ".join([f"u{k}w{i}" for i in range(300)] + long[:200]) for k in range(10)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA)
+    monkeypatch.setattr(jaccard, "LOAD", 100)
+    monkeypatch.setattr(jaccard, "BUCKET", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    got = jaccard.near_groups(df, tile=16).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def test_hot_shingles_and_hubs(spark, monkeypatch):
+    for module in (skew, components, jaccard):
+        monkeypatch.setattr(module, "HOT", 5)
+    monkeypatch.setattr(skew.hot_safe_join, "__defaults__", (5, None))
+    rows = rows_of(6)
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in rows], SCHEMA)
+    got = jaccard.near_groups(df, tile=8).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
+
+
+def test_components_of_a_star_and_a_path(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 5)
+    links = [(500, i) for i in range(400, 440)] + [(i, i + 1) for i in range(20)] + [(7, 7)]
+    got = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {**dict.fromkeys([500, *range(400, 440)], 400), **dict.fromkeys(range(21), 0)}
+
+
 def test_overlaps_equal_set_intersections():
     rng = np.random.default_rng(1)
     a = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(30)]

@@ -12,7 +12,8 @@ larger one's n n-grams, so
    block. Blocks are multiplied by themselves, each overlap count is held against the bound from the two
    sizes, and the links within a block give its components.
 
-A block over TILE documents is cut into tiles. First every tile is multiplied by the block's pivots, the
+A block over TILE documents is cut into tiles, in which a document counts once more for every LOAD n-grams that it has, so
+neither many texts nor long ones fill a tile. First every tile is multiplied by the block's pivots, the
 documents whose n-grams are the most frequent; a large group of near copies thereby turns into one component.
 Pairs within that component need no test. What it does not hold is multiplied by those tiles alone that hold a
 document which shares one of the first n-grams of 3. and has a size within the bounds, so a block that boilerplate
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunemill.functions.skew import hot_safe_join
+from tunemill.functions.skew import HOT, hot_safe_join
 from tunemill.llm.components import connected_components
 from tunemill.llm.names import fresh
 from tunemill.llm.shingles import Words, grams, mixed, tokens
@@ -39,6 +40,8 @@ from tunemill.session import small, written
 PERCENT, N = 80, 5
 #: Documents of a tile, pivots of a block of more, and documents of a bucket of small blocks.
 TILE, PIVOTS, BUCKET = 1024, 32, 1024
+#: N-grams for which a document counts once more in tiles and buckets: these hold TILE * LOAD n-grams, and one text more.
+LOAD = 4096
 #: Text that a task turns into shingles at once.
 SLICE_BYTES = 2 << 20
 
@@ -194,11 +197,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sets = texts.join(passed, "doc_id", "left_semi").mapInArrow(releasing(whole_sets), f"doc_id {kind}, n int, d1 long, d2 long, grams array<long>")
     sets = written(sets.filter("n > 0").withColumn("node", F.monotonically_increasing_id()), "near-sets")
-    n_sets = sets.count()
+    load = F.expr(f"1 + n div {LOAD}")
+    buckets = 1 + (sets.agg(F.sum(load).alias("n")).first().n or 0) // BUCKET
 
     matrix = sets.select("node", "n", F.explode("grams").alias("gram"))
-    often = matrix.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    matrix = matrix.join(often, "gram").withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(1 + n_sets // BUCKET)))
+    often = written(matrix.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-often")
+    matrix = hot_safe_join(matrix, often, ["gram"], "inner", many=often.filter(F.col("df") > HOT).select("gram"))
+    matrix = matrix.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(buckets)))
 
     def second_bound(table: pa.Table) -> pa.Table:
         node, size, gram, df = (table.column(c).to_numpy() for c in ("node", "n", "gram", "df"))
@@ -220,10 +225,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = written(matrix.groupBy("bucket").applyInArrow(second_bound, "node long, n long, weight double, grams array<long>, head array<long>"), "near-rows")
     heads2 = kept.select("node", F.explode("head").alias("gram"))
-    hubs = heads2.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    shared = heads2.join(hubs, "gram").select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
+    hubs = written(heads2.groupBy("gram").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "near-hubs")
+    shared = hot_safe_join(heads2, hubs.drop("c"), ["gram"], "inner", many=hubs.filter(F.col("c") > HOT).select("gram")).select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
     blocks = connected_components(shared).withColumnRenamed("component", "block")
-    sizes = written(blocks.groupBy("block").agg(F.count(F.lit(1)).alias("size")), "near-blocks")
+    sizes = written(blocks.join(kept.select("node", load.alias("load")), "node").groupBy("block").agg(F.sum("load").alias("size")), "near-blocks")
     members = written(kept.select("node", "n", "weight", "grams").join(blocks, "node").join(small(sizes), "block"), "near-members")
 
     def product(table: pa.Table) -> pa.Table:
@@ -238,7 +243,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             labels.append(node[own][label])
         return pa.table({"a": np.concatenate(nodes), "b": np.concatenate(labels)})
 
-    bucket = F.pmod(F.xxhash64("block"), F.lit(1 + n_sets // BUCKET))
+    bucket = F.pmod(F.xxhash64("block"), F.lit(buckets))
     links = members.filter(F.col("size") <= tile).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(product, "a long, b long")
     if not sizes.filter(F.col("size") > tile).isEmpty():
         links = links.union(_tiled(members.filter(F.col("size") > tile), heads2, percent, tile))
@@ -299,7 +304,8 @@ def _tiled(members: DataFrame, heads: DataFrame, percent: int, tile: int) -> Dat
     rest = label.join(largest, "block", "left").filter("component is null OR largest is null OR component <> largest").select("node")
     rest = written(docs.join(rest, "node", "left_semi"), "near-rest")
     asked = written(asked_tiles(rest, docs, heads, percent), "near-asked")
-    strips = asked.groupBy("block", "tile").agg(F.expr(f"cast(ceil(count(1) / {tile}) as int)").alias("strips"))
+    asking = asked.join(rest.select("node", F.expr(f"1 + n div {LOAD}").alias("load")), "node")
+    strips = asking.groupBy("block", "tile").agg(F.expr(f"cast(ceil(sum(load) / {tile}) as int)").alias("strips"))
     strips = small(written(strips, "near-strips"))
     cell = ["block", "strip", "tile", "role", "node", "n", "grams"]
     strip = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("strips")).cast("int")
