@@ -59,6 +59,18 @@ def test_recall_holds_as_rows_outgrow_blocks(spark, monkeypatch):
     assert sum(r.vec_id in want[r.query_id] for r in got) >= 0.9 * 5 * len(want)
 
 
+def test_groups_of_blocks_find_what_blocks_find(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 16)
+    monkeypatch.setattr(ann, "MOST_BLOCK", 16)
+    df = spark.createDataFrame([(i, v, 0.0) for i, v in rows_of(1500)], SCHEMA)
+    assert ann.window(1200)[1] // 2 > 1
+    answers = []
+    for together in (1, 2, 16):
+        monkeypatch.setattr(ann, "GROUP", together)
+        answers.append(sorted(map(tuple, ann.nearest(df, lambda c: c % 20 == 0).collect())))
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) > 300
+
+
 def test_window_is_a_share_of_the_rows():
     for n in (1, 10_000, 200_000, 3_000_000, 10**9):
         block, reach = ann.window(n)

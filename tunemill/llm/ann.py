@@ -26,6 +26,8 @@ CURVES, AXES, AXIS_BITS = 8, 8, 7
 BLOCK, MOST_BLOCK = 4096, 32768
 #: The share of all rows that a query's blocks on one curve hold at least.
 WINDOW = 0.12
+#: Most blocks that are searched as one group, to which a query is sent once; a block's vectors take at most 8 MB for 64 components.
+GROUP = 16
 
 
 def window(n: int) -> tuple[int, int]:
@@ -119,6 +121,7 @@ def nearest(
     classes = classes.join(asked.select("k1", "k2").distinct().withColumn("asked", F.lit(True)), ["k1", "k2"], "left")
     classes = written(classes.select("k1", "k2", F.element_at("ids", 1).alias("class"), "ids", F.coalesce("asked", F.lit(False)).alias("asked"), "vec"), "ann-classes")
     block, reach = (block, 1) if block else window(classes.count())
+    together = max(1, min(GROUP, reach // 2))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,36 +154,40 @@ def nearest(
     starts = ordered.groupBy("curve", "part").count().select("curve", "part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
     ranked = ordered.join(small(written(starts, "ann-starts")), ["curve", "part"]).withColumn("block", F.expr(f"(start + at) div {block}"))
     spread = ranked.join(classes.select("class", "vec"), "class")
-    around = F.when(F.col("asked"), F.array(F.struct(F.col("block"), F.lit(False).alias("q")), *(F.struct((F.col("block") + d).alias("block"), F.lit(True).alias("q")) for d in range(-reach, reach + 1)))).otherwise(
-        F.array(F.struct(F.col("block"), F.lit(False).alias("q")))
-    )
-    spread = spread.select("curve", "class", "vec", F.explode(around).alias("to")).select("curve", "to.block", "to.q", "class", "vec")
+    own = F.array(F.struct(F.expr(f"block div {together}").alias("group"), F.lit(False).alias("q")))
+    groups = F.expr(f"sequence(greatest(block - {reach}, 0) div {together}, (block + {reach}) div {together})")
+    sent = F.concat(own, F.transform(groups, lambda g: F.struct(g.alias("group"), F.lit(True).alias("q"))))
+    spread = spread.withColumn("to", F.explode(F.when(F.col("asked"), sent).otherwise(own))).select("curve", "to.group", "to.q", "block", "class", "vec")
 
     def search(table: pa.Table) -> pa.Table:
-        q = table.column("q").to_numpy()
+        q, blocks = table.column("q").to_numpy(), table.column("block").to_numpy()
         ids, v = table.column("class").to_numpy(), _matrix(table.column("vec"), dim)
-        out = {"asked": [], "class": [], "score": []}
-        if q.any() and not q.all():
-            qi, qv, ci, cv = ids[q], v[q], ids[~q], v[~q]
-            by_id = np.argsort(ci, kind="stable")
-            ci, cv = ci[by_id], cv[by_id]
-            cu = _unit(cv)
-            for lo in range(0, len(qi), 256):
-                near = _unit(qv[lo : lo + 256]) @ cu.T
-                most = min(keep + 4, len(ci))
+        asked, found, score = np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)
+        askers = np.flatnonzero(q)
+        for b in np.unique(blocks[~q]) if len(askers) else ():
+            ci = np.flatnonzero(~q & (blocks == b))
+            ci = ci[np.argsort(ids[ci], kind="stable")]
+            cu, most = _unit(v[ci]), min(keep + 4, len(ci))
+            near_b = askers[np.abs(blocks[askers] - b) <= reach]
+            parts = [(asked, found, score)]
+            for lo in range(0, len(near_b), 256):
+                qi = near_b[lo : lo + 256]
+                near = _unit(v[qi]) @ cu.T
                 least = np.partition(near, len(ci) - most, axis=1)[:, len(ci) - most]
                 at, best = np.nonzero(near >= least[:, None] - 1e-12)
-                score = cosines(qv[lo + at], cv[best])
-                order = np.lexsort((ci[best], -score, at))  # all that are equal at the cut-off meet here, and the smaller ids stay
-                at, best, score = at[order], best[order], score[order]
+                value = cosines(v[qi[at]], v[ci[best]])
+                order = np.lexsort((ids[ci[best]], -value, at))  # all that are equal at the cut-off meet here, and the smaller ids stay
+                at, best, value = at[order], best[order], value[order]
                 kept = np.arange(len(at)) - np.searchsorted(at, at) < keep
-                out["asked"].append(qi[lo + at[kept]])
-                out["class"].append(ci[best[kept]])
-                out["score"].append(score[kept])
-        none = {"asked": np.int64, "class": np.int64, "score": np.float64}
-        return pa.table({name: np.concatenate(parts) if parts else np.array([], none[name]) for name, parts in out.items()})
-
-    found = spread.groupBy("curve", "block").applyInArrow(search, "asked long, class long, score double")
+                parts.append((ids[qi[at[kept]]], ids[ci[best[kept]]], value[kept]))
+            asked, found, score = (np.concatenate(p) for p in zip(*parts, strict=True))
+            order = np.lexsort((found, -score, asked))
+            asked, found, score = asked[order], found[order], score[order]
+            kept = np.arange(len(asked)) - np.searchsorted(asked, asked) < keep
+            asked, found, score = asked[kept], found[kept], score[kept]
+        return pa.table({"asked": asked, "class": found, "score": score})
+
+    found = spread.groupBy("curve", "group").applyInArrow(search, "asked long, class long, score double")
     found = found.groupBy("asked", "class").agg(F.max("score").alias("score"))
     best = found.withColumn("turn", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "class"))).filter(F.col("turn") <= keep)
     ids = best.join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("id"))
