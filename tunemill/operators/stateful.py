@@ -207,8 +207,10 @@ def source_summary(weights: DataFrame, source: str = "source", original: float =
     ratio = F.format_string("%.0f%%", F.bround(F.col("weight") / original * 100, 0))
     short = F.concat(F.col(source).cast("string"), F.lit("="), ratio, F.when(F.col("rises") == 0, "↑").otherwise(F.concat(F.lit("↓"), F.col("rises"))))
     status = F.when(F.col("rises") == 0, "improving").otherwise(F.concat(F.lit("overfitting×"), F.col("rises")))
-    best = F.when(F.col("best").isNull(), "no eval").otherwise(F.format_string("best=%.4f", "best"))
-    detail = F.concat(F.rpad(F.col(source).cast("string"), 20, " "), F.format_string(": weight=%.4f (", "weight"), ratio, F.lit(" of original), "), status, F.lit(", "), best, F.lit(", decays="), F.col("decays"))
+    # format_string rounds the shortest decimals of a double, halves up; this rounds the double itself
+    four = F.udf(lambda x: f"{x:.4f}" if x is not None else None, "string")
+    best = F.when(F.col("best").isNull(), "no eval").otherwise(F.concat(F.lit("best="), four("best")))
+    detail = F.concat(F.rpad(F.col(source).cast("string"), 20, " "), F.lit(": weight="), four("weight"), F.lit(" ("), ratio, F.lit(" of original), "), status, F.lit(", "), best, F.lit(", decays="), F.col("decays"))
     return weights.select(source, short.alias("short"), detail.alias("detail"))
 
 

@@ -173,9 +173,16 @@ def adagc_fold(spark, sf_dir):
     return S.adaptive_clip(_series(spark, sf_dir, cut=True)).select("run", "n", F.round("ema", 5).alias("ema"), "clips")
 
 
+def _rounded(name, digits):
+    """As the SQL rounds doubles: the scaled double to the nearest whole number, halves away from zero."""
+    scaled = F.col(name) * 10.0**digits
+    near = F.rint(scaled)
+    return (F.when(F.abs(scaled - near) == 0.5, scaled + 0.5 * F.signum(scaled)).otherwise(near) / 10.0**digits).alias(name)
+
+
 def source_weight_fold(spark, sf_dir):
     out = S.source_weights(_series(spark, sf_dir).withColumn("loss", F.col("value") + 50), source="run")
-    return out.select("run", F.round("weight", 6).alias("weight"), F.round("best", 4).alias("best"), "rises", "decays", F.round("prob", 8).alias("prob"))
+    return out.select("run", _rounded("weight", 6), _rounded("best", 4), "rises", "decays", _rounded("prob", 8))
 
 
 def ema_fold(spark, sf_dir):

@@ -154,8 +154,7 @@ def evaluation_report(spark, sf_dir):
 
 
 def source_summary(spark, sf_dir):
-    out = S.source_weights(q_metrics._series(spark, sf_dir).withColumn("loss", F.col("value") + 50), source="run")
-    return S.source_summary(out, "run")
+    return S.source_summary(q_metrics.source_weight_fold(spark, sf_dir), "run")
 
 
 def behaviour_signals(spark, sf_dir):
