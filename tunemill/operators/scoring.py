@@ -7,8 +7,9 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tunemill import session
 from tunemill.functions.skew import hot_safe_join
-from tunemill.session import small, written
+from tunemill.session import written
 
 #: A run of letters and digits, or one other visible character.
 TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
@@ -23,7 +24,7 @@ class Tokenizer(Protocol):
 
 
 class Scorer(Protocol):
-    """Gives `nll` to each row of a table of distinct tokens: token, c (its count in the corpus)."""
+    """Adds `nll` to each row of a table of distinct tokens: token, c (its count in the corpus)."""
 
     def __call__(self, counts: DataFrame) -> DataFrame: ...
 
@@ -48,30 +49,48 @@ def response_start(length: Column, prefix: Column | None = None, inclusive: Colu
     return fallback if known is None else F.when(known.isNotNull() & (known >= 0) & (known < length), known).otherwise(fallback)
 
 
+def _frequent(scores: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of token, c, nll, a written table, the most frequent tokens that can be sent to all executors, marked for that, and the others, if any.
+
+    The cut is at a count: there are four steps to each doubling, so few rows tell where."""
+    step = F.floor(F.log2("c") * 4)
+    sizes = scores.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("token") + 16).alias("size")).orderBy(F.desc("step")).collect()
+    rows = size = 0
+    for s in sizes:
+        rows, size = rows + s.n, size + s["size"]
+        if rows > session.BROADCAST_ROWS or size > session.BROADCAST_BYTES:
+            return F.broadcast(scores.filter(step > s.step)), scores.filter(step <= s.step)
+    return F.broadcast(scores), None
+
+
 def score(docs: DataFrame, scorer: Scorer = unigram_scorer, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, tokenizer: Tokenizer | None = None, prefix_col: str | None = None) -> DataFrame:
     """sample, length, avg_nll, response_nll, response_token_count, ppl, response_ppl; inf where under two tokens.
 
-    The corpus's counts are aggregated map-side. If the distinct tokens can be sent to all executors, each sample is
-    scored where its text is read. Else tokens are counted per sample first, all and those of the response, so that a
-    frequent token is one row of each sample that has it, and these rows meet the scores. Whole texts are read unless a
-    limit is set. `prefix_col` may hold the number of tokens before the response."""
+    The corpus's counts are aggregated map-side. The scores of the most frequent tokens, as many as can be sent to all
+    executors, score each sample where its text is read. What a sample has of other tokens is counted there, one row for
+    each of them, and only these rows meet their scores by a shuffle. Whole texts are read unless a limit is set.
+    `prefix_col` may hold the number of tokens before the response."""
     tokens = tokenizer(F.col(text_col)) if tokenizer else tokenize(F.col(text_col), limit)
     texts = docs.select(F.col(id_col).alias("sample"), tokens.alias("_t"), *([F.col(prefix_col).alias("_p")] if prefix_col else []))
     # an outer explode, as from an inner one Spark infers a filter that tokenises every text once more
     counts = texts.select(F.explode_outer("_t").alias("token")).filter("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    known = written(scorer(written(counts, "token-counts")).select("token", "nll"), "token-scores")
+    known = written(scorer(written(counts, "token-counts")).select("token", "c", "nll"), "token-scores")
+    frequent, rare = _frequent(known)
     rows = texts.withColumn("length", F.coalesce(F.when(F.size("_t") >= 0, F.size("_t")), F.lit(0)))
     rows = rows.withColumn("_from", response_start(F.col("length"), F.col("_p") if prefix_col else None))
     rows = rows.select("sample", "length", "_from", F.posexplode_outer("_t").alias("pos", "token"))
-    in_response = F.col("pos") >= F.col("_from")
-    near = small(known)
-    if near is not known:
-        joined = rows.join(near, "token", "left").withColumns({"n": F.when(F.col("token").isNotNull(), 1), "n_response": F.when(in_response, 1)})
+    rows = rows.join(frequent.select("token", "nll", F.lit(True).alias("_near")), "token", "left")
+    in_response = F.col("token").isNotNull() & (F.col("pos") >= F.col("_from"))
+    sums = [F.sum("nll").alias("nll"), F.sum(F.when(in_response, F.col("nll"))).alias("nll_response"), F.count("token").alias("n"), F.count(F.when(in_response, 1)).alias("n_response")]
+    if rare is None:
+        joined = rows.groupBy("sample", "length").agg(*sums)
     else:
-        per = rows.groupBy("sample", "length", "token").agg(F.count("token").alias("n"), F.count(F.when(in_response, F.col("token"))).alias("n_response"))
-        joined = hot_safe_join(written(per, "sample-tokens"), known, ["token"], "left")
-    weigh = lambda n: F.sum(F.col("nll") * F.col(n)) / F.expr(f"nullif(sum({n}), 0)")
-    out = joined.groupBy("sample", "length").agg(weigh("n").alias("avg_nll"), weigh("n_response").alias("response_nll"), F.coalesce(F.sum("n_response"), F.lit(0)).cast("bigint").alias("response_token_count"))
+        per = written(rows.groupBy("sample", "length", F.when(F.col("_near").isNull(), F.col("token")).alias("token")).agg(*sums), "sample-tokens")
+        others = hot_safe_join(per.filter("token is not null").drop("nll", "nll_response"), rare.select("token", "nll"), ["token"], "left")
+        others = others.select("sample", "length", (F.col("nll") * F.col("n")).alias("nll"), (F.col("nll") * F.col("n_response")).alias("nll_response"), "n", "n_response")
+        joined = per.filter("token is null").drop("token").unionByName(others)
+    weigh = lambda nll, n: F.sum(nll) / F.expr(f"nullif(sum({n}), 0)")
+    out = joined.groupBy("sample", "length").agg(weigh("nll", "n").alias("avg_nll"), weigh("nll_response", "n_response").alias("response_nll"), F.coalesce(F.sum("n_response"), F.lit(0)).cast("bigint").alias("response_token_count"))
     out = out.withColumn("response_nll", F.coalesce("response_nll", "avg_nll"))
     fine = F.col("length") >= 2
     ppl = lambda c: F.when(fine, F.round(F.exp(F.least(F.col(c), F.lit(20.0))), 2)).otherwise(F.lit(float("inf")))

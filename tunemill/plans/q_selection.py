@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(table(spark, sf_dir, "documents"))
+    return written(scoring.score(table(spark, sf_dir, "documents")), "scores")  # most queries read it more than once
 
 
 def _bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
