@@ -113,8 +113,8 @@ def mix_replay(spark, sf_dir):
 
 
 def band_neighbors(spark, sf_dir):
-    """Queries are the vectors whose id is divisible by 20; they meet all."""
-    found = ordering.band_neighbours(table(spark, sf_dir, "embeddings"), 0.3, 0.5, queries=lambda i: i % 20 == 0)
+    """Every vector is a query and meets all."""
+    found = ordering.band_neighbours(table(spark, sf_dir, "embeddings"), 0.3, 0.5)
     return found.select("vec_id", "in_band", "nearest", F.round("similarity", 6).alias("similarity"))
 
 
@@ -239,7 +239,7 @@ ORACLE_SQL = {
         c AS (SELECT min(m) AS stop FROM (SELECT max(key) AS m FROM k GROUP BY source))
         SELECT doc_id, source, row_number() OVER (ORDER BY key, source, doc_id) - 1 AS place FROM k, c WHERE key <= stop""",
     "band_neighbors": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v),
-        p AS (SELECT a.vec_id, b.vec_id AS o, round(list_dot_product(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+        p AS (SELECT a.vec_id, b.vec_id AS o, round(list_dot_product(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.vec_id <> b.vec_id)
         SELECT vec_id, count(*) FILTER (s BETWEEN 0.3 AND 0.5) AS in_band, (array_agg(o ORDER BY s DESC, o))[1] AS nearest, round(max(s), 6) AS similarity FROM p GROUP BY vec_id""",
     "l2_normalize": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double * 3) AS v FROM embeddings) SELECT vec_id, round(list_sum(v) / sqrt(list_dot_product(v, v)), 5) AS unit_sum FROM v",
     "token_entropy": f"WITH {_SOFT} SELECT vec_id, round(h, 6) AS entropy FROM u",
