@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tunemill.plans.q_metrics import _stream
+from tunemill.plans.q_selection import table
 from tunemill.session import scratch_dir
 from tunemill.sources import readers, sinks
 from tunemill.streaming import buffers, processors
@@ -20,13 +21,16 @@ def _folder(spark):
 
 def stream_recent_values(spark, sf_dir):
     """Over the latest 50 events of each user; means of so few cents have no tie at seven digits."""
-    out = processors.run_once(buffers.recent_values(_stream(spark, sf_dir), 50, run="user_id"), "append", _folder(spark), [], rocksdb=True)
+    folder = _folder(spark)
+    rows = buffers.in_order(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "event_id", f"{folder}/rows")
+    out = processors.run_once(buffers.recent_values(rows, 50, run="user_id"), "append", folder, [], rocksdb=True)
     return out.select("user_id", "event_id", "n", F.round("mean", 7).alias("mean"), "least", "most")
 
 
 def stream_shuffle_buffer(spark, sf_dir):
     """All events in shuffled order by shard, with those that the buffers keep at the end."""
-    folder, rows = _folder(spark), _stream(spark, sf_dir).select("event_id", "user_id", "value")
+    folder = _folder(spark)
+    rows = buffers.in_order(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "event_id", f"{folder}/rows")
     out = processors.run_once(buffers.shuffle_buffer(rows, BUFFER, "event_id", SHARDS, SEED), "append", folder, [], rocksdb=True)
     return out.unionByName(buffers.left_in_buffer(spark, folder, SEED))
 

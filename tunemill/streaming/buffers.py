@@ -1,7 +1,8 @@
 """Bounded buffers of a stream as list state: the latest values of a run, and a shuffle buffer.
 
 Both keep their state in RocksDB (`processors.run_once(..., rocksdb=True)`), of a size that the parameters fix. The rows of
-one key in one micro-batch are ordered in the task; the source's maxFilesPerTrigger or maxBytesPerTrigger bounds them.
+one key in one micro-batch are ordered in the task, and what they give is one Arrow batch there; the source's
+maxFilesPerTrigger or maxBytesPerTrigger bounds them. `in_order` makes such a source of a table.
 """
 
 from __future__ import annotations
@@ -15,6 +16,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tunemill.functions.ranks import global_rank
+from tunemill.session import written
+
+#: Rows of a micro-batch of `in_order`.
+BATCH_ROWS = 400_000
+
+
+def in_order(table: DataFrame, order: str, folder: str, batch_rows: int | None = None) -> DataFrame:
+    """A stream of all rows of a table by `order`, nulls first, in micro-batches of at most `batch_rows` rows.
+
+    Ranges of rows are written to `folder` as one file each, one after another, as a file source takes files by their time."""
+    spark, rows = table.sparkSession, batch_rows or BATCH_ROWS
+    ranked = global_rank(table, [F.asc_nulls_first(order), *(c for c in table.columns if c != order)], "_place")
+    parts = written(ranked.withColumn("_part", F.expr(f"_place div {rows}")), "in-order", by="_part")
+    table.limit(0).write.mode("append").parquet(folder)  # so that an empty table has a folder
+    for part in range(-(-(parts.agg(F.max("_place") + 1).first()[0] or 0) // rows)):
+        parts.filter(F.col("_part") == part).select(*table.columns).coalesce(1).write.mode("append").option("maxRecordsPerFile", 0).parquet(folder)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
 
 def _sorted(rows: Iterator[Row], order: str) -> list[Row]:
     return sorted(rows, key=lambda r: (r[order] is not None, r[order]))
