@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunemill import session
-from tunemill.functions.skew import hot_safe_join
-from tunemill.session import written
+from tunemill.functions.skew import HOT, hot_safe_join
+from tunemill.session import small, written
 
 #: A run of letters and digits, or one other visible character.
 TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
@@ -86,7 +86,9 @@ def score(docs: DataFrame, scorer: Scorer = unigram_scorer, id_col: str = "doc_i
         joined = rows.groupBy("sample", "length").agg(*sums)
     else:
         per = written(rows.groupBy("sample", "length", F.when(F.col("_near").isNull(), F.col("token")).alias("token")).agg(*sums), "sample-tokens")
-        others = hot_safe_join(per.filter("token is not null").drop("nll", "nll_response"), rare.select("token", "nll"), ["token"], "left")
+        # no more samples have a token than the corpus has of it, so its count tells which are hot
+        hot = small(rare.filter(F.col("c") > HOT).select("token"))
+        others = hot_safe_join(per.filter("token is not null").drop("nll", "nll_response"), rare.select("token", "nll"), ["token"], "left", many=hot)
         others = others.select("sample", "length", (F.col("nll") * F.col("n")).alias("nll"), (F.col("nll") * F.col("n_response")).alias("nll_response"), "n", "n_response")
         joined = per.filter("token is null").drop("token").unionByName(others)
     weigh = lambda nll, n: F.sum(nll) / F.expr(f"nullif(sum({n}), 0)")
