@@ -20,7 +20,7 @@ TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]"
 #: Part of a text without turns that counts as the response, from its end.
 RESPONSE_SHARE = 0.6
 #: Distinct tokens from which their scores are looked up in arrays, and how many such an array has at most (10 to 16 bytes each).
-PACK_FROM, PACKED = 500_000, 4_000_000
+PACK_FROM, PACKED = 500_000, 6_000_000
 #: Tokens that a Python task looks up at once, more only for one long text.
 LOOKUP_TOKENS = 1 << 19
 
