@@ -57,6 +57,7 @@ def spike_states(stream: DataFrame, run: str = "run", order: str = "event_id", v
 
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTS = "spark.sql.shuffle.partitions"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -66,17 +67,19 @@ def run_once(stream: DataFrame, mode: str, folder: str, keys: list[str], rocksdb
 
     Each micro-batch is written by the executors. In complete mode the last batch holds the result, in append mode all
     of them do; in update mode it is each key's row of the last batch that has the key. With `rocksdb` the state is kept
-    there, as list state needs it."""
+    there, as list state needs it, in at most two parts a core: each micro-batch opens and commits every part, empty or not."""
     spark, out = stream.sparkSession, f"{folder}/batches"
     write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-    before = spark.conf.get(_PROVIDER, None)
+    before, width = spark.conf.get(_PROVIDER, None), spark.conf.get(_PARTS)
     if rocksdb:
         spark.conf.set(_PROVIDER, _ROCKSDB)
+        spark.conf.set(_PARTS, min(int(width), max(16, 2 * spark.sparkContext.defaultParallelism)))
     try:  # the query has the settings of its start
         query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     finally:
         if rocksdb:
             spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+            spark.conf.set(_PARTS, width)
     query.awaitTermination()
     rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(out)
     if mode == "append":
