@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.conversion import ArrowTableToRowsConversion, LocalDataToArrowConversion
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, FloatType, LongType, StructField, StructType
 
@@ -213,19 +214,15 @@ def recent_values(stream: DataFrame, length: int, run: str = "run", order: str =
     return _with_state(rows, "_bucket", ["_run", "_order", "_value"], _Recent(length, schema.names, arrow), schema)
 
 
-def _sorted(rows: Iterator[Row], order: str) -> list[Row]:
-    return sorted(rows, key=lambda r: (r[order] is not None, r[order]))
-
-
-def slots(seed: int, shard: int, first: int, n: int, size: int) -> list[int]:
+def slots(seed: int, shard: int, first: int, n: int, size: int) -> np.ndarray:
     """The buffer's place that the rows first, first + 1, ... of a shard take, from 0 to size - 1: a hash of seed, shard and number."""
-    out, mask = [], (1 << 64) - 1
-    for i in range(first, first + n):
-        x = (seed * 0xD1B54A32D192ED03 + shard * 0x8CB92BA72F3D8DD7 + (i + 1) * 0x9E3779B97F4A7C15) & mask
-        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
-        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
-        out.append(((x ^ (x >> 31)) * size) >> 64)
-    return out
+    start = (seed * 0xD1B54A32D192ED03 + shard * 0x8CB92BA72F3D8DD7 + (first + 1) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)
+    x = np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(start)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    half, of = np.uint64(32), np.uint64(size)  # the upper half of x * size, for sizes below 2 ** 32
+    return (((x >> half) * of + (((x & np.uint64(0xFFFFFFFF)) * of) >> half)) >> half).astype(np.int64)
 
 
 class _Shuffle(StatefulProcessor):
@@ -237,20 +234,25 @@ class _Shuffle(StatefulProcessor):
         self.seen = handle.getValueState("seen", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        buffer, out = [tuple(r) for r in self.kept.get()], []
+        came = _ordered(_table(r["rows"] for r in rows), self.order)
         seen = self.seen.get()[0] if self.seen.exists() else 0
-        names = self.schema.names
-        given = Row("shard", "position", *names)
-        came = [tuple(r[c] for c in names) for r in _sorted(rows, self.order)]
-        for i, (row, at) in enumerate(zip(came, slots(self.seed, key[0], seen, len(came), self.size), strict=True), seen):
-            if len(buffer) < self.size:
-                buffer.append(row)
-            else:
-                out.append(given(key[0], i - self.size, *buffer[at]))
-                buffer[at] = row
-        self.kept.put(buffer)
-        self.seen.update((seen + len(came),))
-        return iter(out)
+        kept = [tuple(r) for r in self.kept.get()]
+        held = LocalDataToArrowConversion.convert(kept, self.schema, False).cast(came.schema) if kept else came.slice(0, 0)
+        both = pa.concat_tables([held, came]).combine_chunks()
+        number = np.arange(seen, seen + came.num_rows)
+        taken = np.where(number < self.size, number, slots(self.seed, key[0], seen, len(number), self.size))
+        place = np.concatenate([np.arange(held.num_rows), taken])
+        at = np.argsort(place, kind="stable")  # the rows that each place has had, one after another
+        before = np.empty_like(at)
+        before[at[1:]] = at[:-1]
+        full = number >= self.size
+        left = both.take(pa.array(before[held.num_rows :][full]))
+        stay = at[np.append(np.diff(place[at]) != 0, True)]
+        held = ArrowTableToRowsConversion.convert(both.take(pa.array(stay)), self.schema)
+        self.kept.put([tuple(r.asDict(True).values()) for r in held])
+        self.seen.update((seen + len(number),))
+        shard = pa.array(np.full(left.num_rows, key[0], np.int64))
+        return _given(left.add_column(0, "position", pa.array(number[full] - self.size)).add_column(0, "shard", shard))
 
     def close(self) -> None:
         pass
@@ -267,7 +269,7 @@ def shuffle_buffer(stream: DataFrame, size: int, order: str, shards: int, seed:
         raise ValueError("shard and position are columns of the result")
     schema = StructType([StructField("shard", LongType()), StructField("position", LongType()), *stream.schema.fields])
     rows = stream.withColumn("shard", F.pmod(F.xxhash64(*stream.columns), F.lit(shards)))
-    return rows.groupBy("shard").transformWithState(_Shuffle(size, seed, order, stream.schema), schema, "append", "none")
+    return _with_state(rows, "shard", stream.columns, _Shuffle(size, seed, order, stream.schema), schema)
 
 
 def left_in_buffer(spark: SparkSession, folder: str, seed: int = 0) -> DataFrame:
