@@ -203,7 +203,7 @@ def recent_values(stream: DataFrame, length: int, run: str = "run", order: str =
 
     Rows count in the order in which micro-batches bring them, within one by `order`, nulls first. A null value takes a
     place and no part in mean, least and most, which are null if all are; null runs are one run. No rows give none.
-    Mean, least and most are doubles, or floats for a float. The runs of a bucket share a state, which a task holds whole:
+    Mean, least and most are doubles, or floats for a float. Structs, arrays and maps as run or order are an error. The runs of a bucket share a state, which a task holds whole:
     8 bytes for each of the `length` values of runs / buckets runs."""
     kind = {f.name: f for f in stream.schema}
     number, arrow = (FloatType(), pa.float32()) if isinstance(kind[value].dataType, FloatType) else (DoubleType(), pa.float64())
